@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.functions.keys import micros, norm_key
+from tidemark.operators.asof import asof_join, bitemporal_asof
 from tidemark.operators.orphans import Parents, References, find_orphans, orphan_report
 from tidemark.sources.tables import table
 
@@ -26,6 +29,26 @@ def p1_report(spark: SparkSession, folder: str) -> DataFrame:
     return orphan_report(p1_found(spark, folder))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    key = norm_key("event_id").alias("key")
+    aligned = table(spark, folder, "event_master", "event_id", "security_id", "order_submission_cutoff").where("order_submission_cutoff is not null")
+    aligned = aligned.select("event_id", key, norm_key("security_id").alias("security"), micros("order_submission_cutoff").alias("cutoff"))
+    told = table(spark, folder, "announcements", "event_id", "announcement_timestamp").select(key, micros("announcement_timestamp").alias("told"))
+    events = aligned.join(told.groupBy("key").agg(F.min("told").alias("told")), "key", "left")
+    estimates = table(spark, folder, "estimates").select(key, micros("estimate_timestamp").alias("t"), F.col("estimate_id").alias("id"))
+    features = table(spark, folder, "features").select(key, micros("feature_available_at").alias("t"), F.col("feature_id").alias("id"))
+    securities = table(spark, folder, "security_master").select(
+        norm_key("security_id").alias("key"), F.col("version_id").alias("id"), F.unix_date("valid_at").alias("valid"), micros("recorded_at").alias("recorded"), micros("deleted_at").alias("deleted")
+    )
+    parts = {
+        "estimate": asof_join(events.select("event_id", "key", F.col("told").alias("t")), estimates),
+        "feature": asof_join(aligned.select("event_id", "key", F.col("cutoff").alias("t")), features),
+        "security": bitemporal_asof(events.select("event_id", F.col("security").alias("key"), F.col("told").alias("t")), securities),
+    }
+    found = [df.select("event_id", F.lit(kind).alias("kind"), "row_id") for kind, df in parts.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 #: DuckDB's form of the key: without surrounding white space, upper case, null if blank.
 KEY = "nullif(upper(trim({0}, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11) || chr(160))), '')"
 
@@ -43,5 +66,23 @@ FROM ref LEFT JOIN agg a ON a.parent = ref.parent AND a.k = ref.k
 WHERE ref.k IS NOT NULL AND (a.k IS NULL OR a.live = 0 OR a.arrived > ref.ingested_at)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report}
-SQL = {"p1_found": P1, "p1_report": f"SELECT table_name, ref_month, reason, count(*) AS n FROM ({P1}) GROUP BY 1, 2, 3"}
+P2 = f"""
+WITH ev AS (
+  SELECT m.event_id, {KEY.format('m.event_id')} AS k, {KEY.format('m.security_id')} AS s, order_submission_cutoff AS cutoff, a.announcement_timestamp AS told
+  FROM event_master m LEFT JOIN announcements a ON {KEY.format('a.event_id')} = {KEY.format('m.event_id')} WHERE order_submission_cutoff IS NOT NULL)
+SELECT event_id, 'estimate' AS kind, row_id FROM (
+  SELECT ev.event_id, estimate_id AS row_id, row_number() OVER (PARTITION BY ev.event_id ORDER BY estimate_timestamp DESC, estimate_id) AS rn
+  FROM ev JOIN estimates e ON {KEY.format('e.event_id')} = ev.k AND e.estimate_timestamp < ev.told) WHERE rn = 1
+UNION ALL
+SELECT event_id, 'feature', row_id FROM (
+  SELECT ev.event_id, feature_id AS row_id, row_number() OVER (PARTITION BY ev.event_id ORDER BY feature_available_at DESC, feature_id) AS rn
+  FROM ev JOIN features f ON {KEY.format('f.event_id')} = ev.k AND f.feature_available_at < ev.cutoff) WHERE rn = 1
+UNION ALL
+SELECT event_id, 'security', row_id FROM (
+  SELECT ev.event_id, version_id AS row_id, row_number() OVER (PARTITION BY ev.event_id ORDER BY valid_at DESC, recorded_at DESC, version_id) AS rn
+  FROM ev JOIN security_master v ON {KEY.format('v.security_id')} = ev.s AND v.recorded_at < ev.told AND (v.deleted_at IS NULL OR v.deleted_at > ev.told)
+    AND v.valid_at <= CAST(ev.told AT TIME ZONE 'America/New_York' AS DATE)) WHERE rn = 1
+"""
+
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found}
+SQL = {"p1_found": P1, "p2_found": P2, "p1_report": f"SELECT table_name, ref_month, reason, count(*) AS n FROM ({P1}) GROUP BY 1, 2, 3"}
