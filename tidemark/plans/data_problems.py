@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.keys import micros, norm_key
 from tidemark.operators.asof import asof_join, bitemporal_asof
 from tidemark.operators.orphans import Parents, References, find_orphans, orphan_report
+from tidemark.operators.regularize import latest_reading, regularize, session_of
+from tidemark.operators.rolling import rolling_totals
 from tidemark.sources.tables import table
 
 
@@ -49,6 +51,35 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
+SERIES = ["security_id", "contributor"]
+
+
+def p6_grid(spark: SparkSession, folder: str) -> DataFrame:
+    sessions = table(spark, folder, "trading_sessions")
+    bars = table(spark, folder, "prices", "security_id", "contributor", "date", "close", "ingested_at", "bar_id").withColumn("security_id", norm_key("security_id"))
+    placed = session_of(bars.where("security_id is not null and close is not null"), "date", sessions, "ord")
+    # a bar dated on the session itself goes before one moved to it from a closed day
+    grid = regularize(placed, SERIES, "ord", "close", ["date", "ingested_at", "bar_id"])
+    return grid.join(F.broadcast(sessions), "ord").select(*SERIES, F.date_format("session_date", "yyyy-MM-dd").alias("session_date"), "close", "filled")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p6_grid(spark, folder).where("filled").select(*SERIES, "session_date")
+
+
+def p7_trailing(spark: SparkSession, folder: str) -> DataFrame:
+    bars = table(spark, folder, "prices", "security_id", "contributor", "date", "close", "volume", "ingested_at", "bar_id").withColumn("security_id", norm_key("security_id"))
+    daily = latest_reading(bars.where("security_id is not null and date is not null"), SERIES, "date", ["volume", "close"], ["ingested_at", "bar_id"])
+    full = rolling_totals(daily, SERIES, "date", ["volume", "close"], [7, 30])
+    return full.where("day_no >= first_day + 29").drop("first_day").withColumn("day_no", F.date_format(F.date_from_unix_date("day_no"), "yyyy-MM-dd")).withColumnRenamed("day_no", "calendar_day")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    week, month = F.col("total_volume_7"), F.col("total_volume_30")
+    state = F.when(week == 0, "silent").when(week * 2 > month, "burst")
+    return p7_trailing(spark, folder).select(*SERIES, "calendar_day", state.alias("state")).where("state is not null")
+
+
 #: DuckDB's form of the key: without surrounding white space, upper case, null if blank.
 KEY = "nullif(upper(trim({0}, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11) || chr(160))), '')"
 
@@ -84,5 +115,28 @@ SELECT event_id, 'security', row_id FROM (
     AND v.valid_at <= CAST(ev.told AT TIME ZONE 'America/New_York' AS DATE)) WHERE rn = 1
 """
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found}
-SQL = {"p1_found": P1, "p2_found": P2, "p1_report": f"SELECT table_name, ref_month, reason, count(*) AS n FROM ({P1}) GROUP BY 1, 2, 3"}
+BARS = f"SELECT *, {KEY.format('security_id')} AS s FROM prices"
+
+P6 = f"""
+WITH ses AS (SELECT session_date, ord, lead(session_date) OVER (ORDER BY session_date) AS nxt FROM trading_sessions),
+b AS (SELECT DISTINCT s, contributor, ord FROM ({BARS}) p JOIN ses ON p.date >= ses.session_date AND (ses.nxt IS NULL OR p.date < ses.nxt) WHERE s IS NOT NULL AND close IS NOT NULL),
+life AS (SELECT s, contributor, min(ord) AS lo, max(ord) AS hi FROM b GROUP BY 1, 2)
+SELECT life.s AS security_id, life.contributor, strftime(ses.session_date, '%Y-%m-%d') AS session_date
+FROM life JOIN ses ON ses.ord > lo AND ses.ord < hi ANTI JOIN b ON b.s = life.s AND b.contributor IS NOT DISTINCT FROM life.contributor AND b.ord = ses.ord
+"""
+
+P7 = f"""
+WITH d AS (SELECT s, contributor, date, greatest(coalesce(volume, 0), 0) AS volume, greatest(coalesce(close, 0), 0) AS close FROM ({BARS}) WHERE s IS NOT NULL AND date IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY s, contributor, date ORDER BY ingested_at DESC, bar_id DESC) = 1),
+life AS (SELECT s, contributor, min(date) AS lo, max(date) AS hi FROM d GROUP BY 1, 2),
+cal AS (SELECT s, contributor, lo, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day FROM life),
+f AS (SELECT cal.*, coalesce(volume, 0) AS v, coalesce(close, 0) AS c FROM cal LEFT JOIN d ON d.s = cal.s AND d.contributor IS NOT DISTINCT FROM cal.contributor AND d.date = cal.day),
+t AS (SELECT s AS security_id, contributor, strftime(day, '%Y-%m-%d') AS calendar_day, day - lo AS age,
+  sum(v) OVER w7 AS total_volume_7, sum(v) OVER w30 AS total_volume_30, sum(c) OVER w7 AS total_close_7, sum(c) OVER w30 AS total_close_30
+  FROM f WINDOW w7 AS (PARTITION BY s, contributor ORDER BY day ROWS 6 PRECEDING), w30 AS (PARTITION BY s, contributor ORDER BY day ROWS 29 PRECEDING))
+"""
+
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p6_found": p6_found, "p6_grid": p6_grid, "p7_found": p7_found, "p7_trailing": p7_trailing}
+SQL = {"p1_found": P1, "p2_found": P2, "p1_report": f"SELECT table_name, ref_month, reason, count(*) AS n FROM ({P1}) GROUP BY 1, 2, 3", "p6_found": P6,
+    "p7_found": P7 + "SELECT security_id, contributor, calendar_day, CASE WHEN total_volume_7 = 0 THEN 'silent' ELSE 'burst' END AS state FROM t WHERE age >= 29 AND (total_volume_7 = 0 OR total_volume_7 * 2 > total_volume_30)",
+    "p7_trailing": P7 + "SELECT security_id, contributor, calendar_day, total_volume_7, total_volume_30, total_close_7, total_close_30, total_volume_7 / 7 AS mean_volume_7, total_volume_30 / 30 AS mean_volume_30, total_close_7 / 7 AS mean_close_7, total_close_30 / 30 AS mean_close_30 FROM t WHERE age >= 29"}
