@@ -10,6 +10,7 @@ from tidemark.operators.asof import asof_join, bitemporal_asof
 from tidemark.operators.orphans import Parents, References, find_orphans, orphan_report
 from tidemark.operators.regularize import latest_reading, regularize, session_of
 from tidemark.operators.rolling import rolling_totals
+from tidemark.operators.spikes import Field, find_spikes
 from tidemark.sources.tables import table
 
 
@@ -53,6 +54,14 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 SERIES = ["security_id", "contributor"]
 
+#: Prices move by small ratios; volumes vary by several times, so their level is a median and a spike at least twelvefold.
+READINGS = [Field("open", fence=8.0), Field("close", fence=8.0), Field("volume", fence=5.0, factor=12.0, level=5, zero_ok=True)]
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    bars = table(spark, folder, "prices", "bar_id", *SERIES, "date", "open", "close", "volume", "ingested_at").withColumn("security_id", norm_key("security_id"))
+    return find_spikes(bars, SERIES, "bar_id", "date", "ingested_at", "volume", READINGS)
+
 
 def p6_grid(spark: SparkSession, folder: str) -> DataFrame:
     sessions = table(spark, folder, "trading_sessions")
@@ -136,7 +145,7 @@ t AS (SELECT s AS security_id, contributor, strftime(day, '%Y-%m-%d') AS calenda
   FROM f WINDOW w7 AS (PARTITION BY s, contributor ORDER BY day ROWS 6 PRECEDING), w30 AS (PARTITION BY s, contributor ORDER BY day ROWS 29 PRECEDING))
 """
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p6_found": p6_found, "p6_grid": p6_grid, "p7_found": p7_found, "p7_trailing": p7_trailing}
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p5_found": p5_found, "p6_found": p6_found, "p6_grid": p6_grid, "p7_found": p7_found, "p7_trailing": p7_trailing}
 SQL = {"p1_found": P1, "p2_found": P2, "p1_report": f"SELECT table_name, ref_month, reason, count(*) AS n FROM ({P1}) GROUP BY 1, 2, 3", "p6_found": P6,
     "p7_found": P7 + "SELECT security_id, contributor, calendar_day, CASE WHEN total_volume_7 = 0 THEN 'silent' ELSE 'burst' END AS state FROM t WHERE age >= 29 AND (total_volume_7 = 0 OR total_volume_7 * 2 > total_volume_30)",
     "p7_trailing": P7 + "SELECT security_id, contributor, calendar_day, total_volume_7, total_volume_30, total_close_7, total_close_30, total_volume_7 / 7 AS mean_volume_7, total_volume_30 / 30 AS mean_volume_30, total_close_7 / 7 AS mean_close_7, total_close_30 / 30 AS mean_close_30 FROM t WHERE age >= 29"}
