@@ -11,6 +11,7 @@ from tidemark.operators.orphans import Parents, References, find_orphans, orphan
 from tidemark.operators.regularize import latest_reading, regularize, session_of
 from tidemark.operators.rolling import rolling_totals
 from tidemark.operators.spikes import Field, find_spikes
+from tidemark.operators.timestamps import normalize_times
 from tidemark.sources.tables import table
 
 
@@ -52,6 +53,14 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    feeds = table(spark, folder, "feed_sources")
+    stamps = [("announcement_timestamp", "instant"), ("filing_timestamp", "instant")]
+    told = normalize_times(table(spark, folder, "raw_announcements"), feeds, "raw_id", "source", stamps, zone="announcement_timezone", batch="batch_no", ordered=True)
+    bars = normalize_times(table(spark, folder, "raw_bars"), feeds, "raw_id", "source", [("date", "date")])
+    return told.unionByName(bars).withColumnRenamed("row_id", "raw_id")
+
+
 SERIES = ["security_id", "contributor"]
 
 #: Prices move by small ratios; volumes vary by several times, so their level is a median and a spike at least twelvefold.
@@ -145,7 +154,7 @@ t AS (SELECT s AS security_id, contributor, strftime(day, '%Y-%m-%d') AS calenda
   FROM f WINDOW w7 AS (PARTITION BY s, contributor ORDER BY day ROWS 6 PRECEDING), w30 AS (PARTITION BY s, contributor ORDER BY day ROWS 29 PRECEDING))
 """
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p5_found": p5_found, "p6_found": p6_found, "p6_grid": p6_grid, "p7_found": p7_found, "p7_trailing": p7_trailing}
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_grid": p6_grid, "p7_found": p7_found, "p7_trailing": p7_trailing}
 SQL = {"p1_found": P1, "p2_found": P2, "p1_report": f"SELECT table_name, ref_month, reason, count(*) AS n FROM ({P1}) GROUP BY 1, 2, 3", "p6_found": P6,
     "p7_found": P7 + "SELECT security_id, contributor, calendar_day, CASE WHEN total_volume_7 = 0 THEN 'silent' ELSE 'burst' END AS state FROM t WHERE age >= 29 AND (total_volume_7 = 0 OR total_volume_7 * 2 > total_volume_30)",
     "p7_trailing": P7 + "SELECT security_id, contributor, calendar_day, total_volume_7, total_volume_30, total_close_7, total_close_30, total_volume_7 / 7 AS mean_volume_7, total_volume_30 / 30 AS mean_volume_30, total_close_7 / 7 AS mean_close_7, total_close_30 / 30 AS mean_close_30 FROM t WHERE age >= 29"}

@@ -26,10 +26,11 @@ def build_session(app: str = "tidemark", cores: int = 8, **conf: str) -> SparkSe
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Sets a checkpoint folder where none is set: spark.checkpoint.dir if the cluster names one, a local one otherwise.
+    """Sets the session zone to UTC and a checkpoint folder where none is set: spark.checkpoint.dir if the cluster names one, a local one otherwise.
 
     Only a session without that setting (a test on one machine) gets the local folder.
     """
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-ckpt-"))
     return spark
