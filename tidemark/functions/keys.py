@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space that may surround a key (fixed values): space, tab, line feed, carriage return, form feed, vertical tab, no-break space.
-KEY_BLANKS = " \t\n\r\f\v "
+KEY_BLANKS = " \t\n\r\f\v\xa0"
 
 
 def norm_key(col: Column | str) -> Column:

@@ -89,7 +89,8 @@ def p7_trailing(spark: SparkSession, folder: str) -> DataFrame:
     bars = table(spark, folder, "prices", "security_id", "contributor", "date", "close", "volume", "ingested_at", "bar_id").withColumn("security_id", norm_key("security_id"))
     daily = latest_reading(bars.where("security_id is not null and date is not null"), SERIES, "date", ["volume", "close"], ["ingested_at", "bar_id"])
     full = rolling_totals(daily, SERIES, "date", ["volume", "close"], [7, 30])
-    return full.where("day_no >= first_day + 29").drop("first_day").withColumn("day_no", F.date_format(F.date_from_unix_date("day_no"), "yyyy-MM-dd")).withColumnRenamed("day_no", "calendar_day")
+    sums = [F.round(c, 6).alias(c) for c in full.columns if c.startswith(("total_", "mean_"))]  # the order of summation doesn't show
+    return full.where("day_no >= first_day + 29").select(*SERIES, F.date_format(F.date_from_unix_date("day_no"), "yyyy-MM-dd").alias("calendar_day"), *sums)
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -107,8 +108,8 @@ WITH par AS (
   UNION ALL SELECT 'security_master', {KEY.format('security_id')}, recorded_at, deleted_at FROM security_master),
 agg AS (SELECT parent, k, count(*) FILTER (WHERE deleted_at IS NULL) AS live, min(arrived) FILTER (WHERE deleted_at IS NULL) AS arrived FROM par WHERE k IS NOT NULL GROUP BY 1, 2),
 ref AS (
-  SELECT 'estimates' AS table_name, 'announcements' AS parent, {KEY.format('event_id')} AS k, estimate_id AS row_id, strftime(estimate_timestamp, '%Y-%m') AS ref_month, ingested_at FROM estimates
-  UNION ALL SELECT 'filings', 'announcements', {KEY.format('event_id')}, filing_id, strftime(filing_timestamp, '%Y-%m'), ingested_at FROM filings
+  SELECT 'estimates' AS table_name, 'announcements' AS parent, {KEY.format('event_id')} AS k, estimate_id AS row_id, strftime(estimate_timestamp AT TIME ZONE 'UTC', '%Y-%m') AS ref_month, ingested_at FROM estimates
+  UNION ALL SELECT 'filings', 'announcements', {KEY.format('event_id')}, filing_id, strftime(filing_timestamp AT TIME ZONE 'UTC', '%Y-%m'), ingested_at FROM filings
   UNION ALL SELECT 'prices', 'security_master', {KEY.format('security_id')}, bar_id, strftime(date, '%Y-%m'), ingested_at FROM prices)
 SELECT table_name, row_id, ref_month, CASE WHEN a.k IS NULL THEN 'missing' WHEN a.live = 0 THEN 'deleted' ELSE 'late' END AS reason
 FROM ref LEFT JOIN agg a ON a.parent = ref.parent AND a.k = ref.k
@@ -157,4 +158,4 @@ t AS (SELECT s AS security_id, contributor, strftime(day, '%Y-%m-%d') AS calenda
 QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_grid": p6_grid, "p7_found": p7_found, "p7_trailing": p7_trailing}
 SQL = {"p1_found": P1, "p2_found": P2, "p1_report": f"SELECT table_name, ref_month, reason, count(*) AS n FROM ({P1}) GROUP BY 1, 2, 3", "p6_found": P6,
     "p7_found": P7 + "SELECT security_id, contributor, calendar_day, CASE WHEN total_volume_7 = 0 THEN 'silent' ELSE 'burst' END AS state FROM t WHERE age >= 29 AND (total_volume_7 = 0 OR total_volume_7 * 2 > total_volume_30)",
-    "p7_trailing": P7 + "SELECT security_id, contributor, calendar_day, total_volume_7, total_volume_30, total_close_7, total_close_30, total_volume_7 / 7 AS mean_volume_7, total_volume_30 / 30 AS mean_volume_30, total_close_7 / 7 AS mean_close_7, total_close_30 / 30 AS mean_close_30 FROM t WHERE age >= 29"}
+    "p7_trailing": P7 + "SELECT security_id, contributor, calendar_day, " + ", ".join(f"round(total_{a}_{p}, 6) AS total_{a}_{p}, round(total_{a}_{p} / {p}, 6) AS mean_{a}_{p}" for a in ("volume", "close") for p in (7, 30)) + " FROM t WHERE age >= 29"}
