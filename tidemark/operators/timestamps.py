@@ -71,7 +71,7 @@ def to_instant(wall: Column, zone: Column) -> Column:
     return F.when(first == second, both[0]).when(both[0].isNull(), both[1]).when(both[1].isNull(), both[0])
 
 
-def cheapest_history(change: float, longest: int):
+def cheapest_history(change: float):
     """Per source, the zone of each batch on the path with the fewest violations and changes."""
 
     def run(chunk: pd.DataFrame) -> pd.DataFrame:
@@ -99,13 +99,14 @@ def cheapest_history(change: float, longest: int):
 
 def normalize_times(
     rows: DataFrame, sources: DataFrame, row_id: str, source: str, fields: list[tuple[str, str]], zone: str | None = None, batch: str | None = None, ordered: bool = False,
-    calendar_zone: str = "America/New_York", candidates: list[str] | None = None, change: float = 2.0, longest_days: int = 30,
+    calendar_zone: str = "America/New_York", candidates: list[str] | None = None, change: float = 2.0, longest_hours: float = 720.0,
 ) -> DataFrame:
     """One row per readable text: row_id, field_name, normal_form.
 
     ``fields``: (column, 'instant' or 'date'). ``sources`` (source, home_zone, date_order): one
     row per feed; it is joined by shuffle unless Spark finds it small. ``zone``: the
-    column that names a row's zone; ``batch``: the sequence in which a source delivered.
+    column that names a row's zone; ``batch``: the sequence in which a source delivered;
+    ``longest_hours``: how far apart two stamps of a record may lie before that counts as a violation.
     """
     home = sources.select(F.col("source").alias("_s"), "home_zone", "date_order")
     pick = rows.select(
@@ -117,10 +118,10 @@ def normalize_times(
     tried = open_.join(home, F.col("source") == F.col("_s"), "left").withColumn("zones", F.when(F.col("home_zone").isNotNull(), F.array("home_zone")).otherwise(F.array(*map(F.lit, candidates or CANDIDATES))))
     tried = tried.select("source", "batch", "value", "not_before", "not_after", F.posexplode("zones").alias("place", "candidate"))
     at = to_instant(F.col("value"), F.col("candidate"))
-    slack = longest_days * DAY_US
+    slack = int(longest_hours * 3_600_000_000)
     broken = at.isNull() | (at < F.col("not_before")) | (at > F.col("not_after")) | (at > F.col("not_before") + slack) | (at < F.col("not_after") - slack)
     costs = tried.groupBy("source", "batch", "place", "candidate").agg(F.sum(F.coalesce(broken, F.lit(False)).cast("int")).cast("double").alias("violations"))
-    history = map_sorted_groups(costs, ["source"], ["batch", "place"], cheapest_history(change, longest_days), "source string, batch int, candidate string").alias("h")
+    history = map_sorted_groups(costs, ["source"], ["batch", "place"], cheapest_history(change), "source string, batch int, candidate string").alias("h")
     zoned = read.alias("r").join(history, F.col("r.source").eqNullSafe(F.col("h.source")) & (F.col("r.batch") == F.col("h.batch")) & (F.col("form") == WALL), "left")
     instant = F.when(F.col("form") == INSTANT, F.col("value")).when(F.col("form") == WALL, to_instant(F.col("value"), F.coalesce("zone", "candidate")))
     stamp = F.timestamp_micros("instant")
