@@ -34,7 +34,7 @@ COMMON = {
 }
 COMMON_WORDS = frozenset(" ".join(COMMON.values()).split())
 #: Labels of web page furniture (fixed values).
-FURNITURE = frozenset("home menu login log in sign subscribe cookies cookie search rss sitemap share print next previous back top accept all rights reserved investors page contact privacy terms copyright skip close".split())
+FURNITURE = frozenset("home menu login log in sign subscribe cookies cookie search rss sitemap share print next previous back top accept all rights reserved investors page contact privacy terms copyright skip close read more click here".split())
 
 BREAK = re.compile(r"[\r\n\v\f\x85\u2028\u2029]+")
 WORD = re.compile(r"[\p{L}\p{M}]+")
@@ -58,6 +58,14 @@ BLANK = re.compile(r"\s+")
 STATS = ["words", "word_length", "symbol_ratio", "ending_share", "common_share", "lines", "words_per_line", "prose_share", "list_share", "table_share", "short_share", "number_share", "furniture_share", "broken_share", "inside_share", "hex_share", "odd_share", "longest_word", "distinct_share", "item_length", "items", "label_share"]
 
 
+EDGE = ".,;:!?…\"'”’“‘«»()[]。、"
+
+
+def common_share(tokens: list[str], words: list[str]) -> float:
+    """Function words that stand as tokens of their own, against all words."""
+    return min(1.0, sum(t.strip(EDGE) in COMMON_WORDS for t in tokens) / len(words)) if words else 0.0
+
+
 def numeric(cell: str) -> bool:
     return bool(NUMERIC.match(cell.strip()))
 
@@ -65,11 +73,11 @@ def numeric(cell: str) -> bool:
 def line_kind(line: str) -> str:
     """prose, list, table, short (a few words) or other."""
     words = WORD.findall(line.lower())
-    common = sum(w in COMMON_WORDS for w in words) / len(words) if words else 0.0
+    common = common_share(line.lower().split(), words)
     han = len(HAN.findall(line))
     if words and (sum(w in FURNITURE for w in words) * 2 >= len(words) or sum(bool(HEX.match(t)) for t in line.split()) * 2 > len(line.split())):
         return "other"
-    spoken = (len(words) >= 5 and common >= 0.2) or (han >= 8 and han > 0.4 * len(line.strip()) and len(KANA.findall(line)) >= 0.2 * han)
+    spoken = (len(words) >= 5 and common >= 0.2 and len(set(words)) >= 4) or (han >= 8 and han > 0.4 * len(line.strip()) and len(KANA.findall(line)) >= 0.2 * han)
     marked = bool(MARKER.match(line))
     if spoken and not (marked and len(words) < 8):
         if line.count("|") < 3 and "<td" not in line:
@@ -100,7 +108,7 @@ def statistics(text: str) -> list[float]:
     tokens = text.split()
     words = WORD.findall(text.lower())
     solid = sum(map(len, tokens))
-    common = sum(w in COMMON_WORDS for w in words) / len(words) if words else 0.0
+    common = common_share(text.lower().split(), words)
     furniture = sum(w in FURNITURE for w in words) / len(words) if words else 0.0
     dump = sum(bool(HEX.match(t)) for t in tokens) / len(tokens)
     if furniture >= 0.5 or dump >= 0.6:
@@ -162,7 +170,7 @@ FUNCTIONS = [
     ("furniture", "junk", lambda s: s["furniture_share"] >= 0.5),
     ("mixed_words", "junk", lambda s: (s["inside_share"] >= 0.25) & (s["table_share"] < 0.3) & (s["list_share"] < 0.4)),
     ("dump", "junk", lambda s: s["hex_share"] >= 0.6),
-    ("repetition", "junk", lambda s: (s["distinct_share"] <= 0.15) & (s["words"] >= 8) & (s["common_share"] < 0.2) & (s["table_share"] < 0.5) | (s["words"] <= 3) & (s["longest_word"] >= 40)),
+    ("repetition", "junk", lambda s: (s["distinct_share"] <= 0.15) & (s["words"] >= 8) & (s["common_share"] < 0.2) & (s["table_share"] < 0.5) | (s["distinct_share"] * s["words"] <= 5) & (s["words"] >= 8) & (s["prose_share"] < 0.5) | (s["words"] <= 3) & (s["longest_word"] >= 40)),
 ]
 
 
@@ -198,14 +206,14 @@ def text_statistics(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
 def learn_types(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60, strength: float = 20.0) -> np.ndarray:
     """Posterior over KINDS of each vote pattern, by expectation maximisation.
 
-    Each function fires on each type with its own probability. The start is a guess that
-    every function is right (0.7) and rarely fires elsewhere (0.03), which also acts as
-    ``strength`` prior observations.
+    Each function has two unknowns: how often it fires on its own type, and how often on
+    any other. The start is a guess (0.7 and 0.03), which also acts as ``strength`` prior
+    observations.
     """
     fires = (patterns[:, None] >> np.arange(len(FUNCTIONS))) & 1
     target = np.array([KINDS.index(kind) for _, kind, _ in FUNCTIONS])
-    guess = np.where(target[:, None] == np.arange(len(KINDS)), 0.7, 0.03)
-    rate, share = guess.copy(), np.full(len(KINDS), 1 / len(KINDS))
+    own = target[:, None] == np.arange(len(KINDS))
+    rate, share = np.where(own, 0.7, 0.03), np.full(len(KINDS), 1 / len(KINDS))
     posterior = np.zeros((len(patterns), len(KINDS)))
     for _ in range(rounds):
         log = np.log(share) + fires @ np.log(rate) + (1 - fires) @ np.log1p(-rate)
@@ -217,7 +225,10 @@ def learn_types(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60, stre
         posterior = fresh
         weight = posterior * counts[:, None]
         total = weight.sum(axis=0)
-        rate = (fires.T @ weight + guess * strength) / (total + strength)
+        fired = fires.T @ weight
+        hit = ((fired * own).sum(axis=1) + 0.7 * strength) / ((total * own).sum(axis=1) + strength)
+        miss = ((fired * ~own).sum(axis=1) + 0.03 * strength) / ((total * ~own).sum(axis=1) + strength)
+        rate = np.where(own, hit[:, None], miss[:, None])
         share = (total + 1) / (total.sum() + len(KINDS))
     return posterior
 
