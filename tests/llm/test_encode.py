@@ -22,7 +22,7 @@ def known():
 
 @pytest.fixture(scope="module")
 def encoder():
-    return Encoder(PairTable(PATH), cache=1000)
+    return Encoder(PairTable.load(PATH), cache=1000)
 
 
 def test_odd_texts_equal_the_public_encoder(known, encoder):

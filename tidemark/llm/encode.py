@@ -41,16 +41,20 @@ def byte_symbols() -> list[str]:
 class PairTable:
     """Merge table of a byte-level BPE vocabulary as sorted arrays, small enough to send with a task (50,000 merges: 1 MB)."""
 
-    def __init__(self, path: str):
+    def __init__(self, first: np.ndarray, keys: np.ndarray, ranks: np.ndarray, merged: np.ndarray):
+        self.first, self.keys, self.ranks, self.merged = first, keys, ranks, merged
+
+    @classmethod
+    def load(cls, path: str) -> PairTable:
         with open(path, encoding="utf-8") as file:
             model = json.load(file)["model"]
         vocabulary = model["vocab"]
-        self.first = np.array([vocabulary[s] for s in byte_symbols()], dtype="int64")
+        first = np.array([vocabulary[s] for s in byte_symbols()], dtype="int64")
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         keys = np.array([(vocabulary[a] << 32) | vocabulary[b] for a, b in merges], dtype="int64")
         order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks = keys[order], order.astype("int32")
-        self.merged = np.array([vocabulary[a + b] for a, b in merges], dtype="int64")[order]
+        merged = np.array([vocabulary[a + b] for a, b in merges], dtype="int64")[order]
+        return cls(first, keys[order], order.astype("int32"), merged)
 
     def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
         """Token ids of each word (not empty)."""
@@ -136,11 +140,11 @@ def pieces(texts: list[str | None], most: int = 4_000_000) -> Iterator[slice]:
 
 def encode_corpus(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = "byte_bpe_50k", folder: str = VOCABULARIES, lengths_only: bool = False) -> DataFrame:
     """doc_id and ``ids`` (list of integers), or ``n_tokens`` with ``lengths_only``. No shuffle."""
-    pairs = PairTable(os.path.join(folder, f"{vocabulary}.json"))
-    shared = documents.sparkSession.sparkContext.broadcast(pairs)  # fixed size: the vocabulary's merges
+    pairs = PairTable.load(os.path.join(folder, f"{vocabulary}.json"))
+    shared = documents.sparkSession.sparkContext.broadcast((pairs.first, pairs.keys, pairs.ranks, pairs.merged))  # fixed size: the vocabulary's merges
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = Encoder(PairTable(*shared.value))
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for part in pieces(texts):

@@ -45,7 +45,7 @@ ENDING = re.compile(r"[.!?…。！？][\"'”’»）)\]]*\s*$")
 NUMERIC = re.compile(r"[(\"'$€£¥~+\-–−]*\d[\d.,  ]*[%xmMkKbB]?[)\"']*$|[-–—]+$|n/?a$", re.IGNORECASE)
 RULE = re.compile(r"\s*[|+:=\-\s]+$")
 LEADER = re.compile(r"\.{4,}|(?:\. ){4,}")
-GAP = re.compile(r"\t+| {2,}|\xa0{2,}|\s*\|\s*|\s*</td>\s*")
+GAP = re.compile(r"\t+| {3,}|\xa0{3,}|\s*\|\s*|\s*</td>\s*")
 CSV = re.compile(r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
 HEX = re.compile(r"(?:0x)?[0-9a-f]{2}$|[0-9a-f]{8}:?$", re.IGNORECASE)
 BROKEN = re.compile(r"[ÃÂâ][\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ¡-¿]|ï¿½|�")
