@@ -1,3 +1,10 @@
 """tidemark: a PySpark-native engine for event-study and training-data processing."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions sent to Python workers carry their own code, so executors need no copy of this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
