@@ -86,3 +86,13 @@ def map_sorted_groups(
         schema = T.StructType.fromDDL(schema)
     parted = df if clustered else df.repartition(*[F.col(k) for k in keys])
     return parted.sortWithinPartitions(*keys, *order).mapInArrow(stream_groups(list(keys), fn, schema, chunk_rows), schema)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals the rows of a small scan to all cores before heavy per-row work.
+
+    A table of few files is few tasks; only where there are fewer than cores is it
+    repartitioned, so a large table is never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

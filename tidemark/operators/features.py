@@ -45,9 +45,10 @@ def bar_context(bars: DataFrame, short: int = 21, mid: int = 63, long: int = 126
     last = lambda n: order.rowsBetween(-(n - 1), 0)
     back = lambda n: F.try_divide("close", F.lag("close", n).over(order)) - 1
     base = bars.select("security_id", "ord", "close", "volume").withColumns({"n": F.row_number().over(order), "ret": back(1)})
-    # the last k falling returns: filter first, then the window
-    falls = base.where("ret < 0").select("security_id", "ord", F.stddev_samp("ret").over(last(volatility)).alias("_fall"))
-    full = base.join(falls, ["security_id", "ord"], "left").withColumns(
+    # the last k falling returns: a window over the falling bars alone, on the same partitioning
+    fell = Window.partitionBy("security_id", "_down").orderBy("ord").rowsBetween(-(volatility - 1), 0)
+    base = base.withColumn("_down", F.coalesce(F.col("ret") < 0, F.lit(False)))
+    full = base.withColumn("_fall", F.when(F.col("_down"), F.stddev_samp("ret").over(fell))).withColumns(
         {
             "mom_1m": back(short),
             "mom_3m": back(mid),
@@ -59,7 +60,7 @@ def bar_context(bars: DataFrame, short: int = 21, mid: int = 63, long: int = 126
             "short_term_reversal": F.sum("ret").over(last(5)),
         }
     )
-    return full.drop("_fall", "ret", "close", "volume")
+    return full.drop("_fall", "_down", "ret", "close", "volume")
 
 
 MARKET = ["mom_1m", "mom_3m", "mom_6m", "dist_high", "rv_3m", "downside_vol_3m", "volume_surprise", "short_term_reversal"]
