@@ -23,6 +23,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tidemark.functions.grouped import spread
+
 #: Where the vocabulary files lie, unless the caller says so.
 VOCABULARIES = os.environ.get("TIDEMARK_TOKENIZERS", "/opt/tokenizers")
 NO_RANK = np.iinfo("int32").max
@@ -139,7 +141,7 @@ def pieces(texts: list[str | None], most: int = 4_000_000) -> Iterator[slice]:
 
 
 def encode_corpus(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = "byte_bpe_50k", folder: str = VOCABULARIES, lengths_only: bool = False) -> DataFrame:
-    """doc_id and ``ids`` (list of integers), or ``n_tokens`` with ``lengths_only``. No shuffle."""
+    """doc_id and ``ids`` (list of integers), or ``n_tokens`` with ``lengths_only``. No shuffle, but to deal a small table to all cores."""
     pairs = PairTable.load(os.path.join(folder, f"{vocabulary}.json"))
     shared = documents.sparkSession.sparkContext.broadcast((pairs.first, pairs.keys, pairs.ranks, pairs.merged))  # fixed size: the vocabulary's merges
 
@@ -159,4 +161,4 @@ def encode_corpus(documents: DataFrame, doc_id: str = "doc_id", text: str = "tex
                 yield pa.RecordBatch.from_arrays([key, out], names=[doc_id, "n_tokens" if lengths_only else "ids"])
 
     kind = dict(documents.dtypes)[doc_id]
-    return documents.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {kind}, " + ("n_tokens long" if lengths_only else "ids array<int>"))
+    return spread(documents.select(doc_id, text)).mapInArrow(run, f"`{doc_id}` {kind}, " + ("n_tokens long" if lengths_only else "ids array<int>"))

@@ -23,6 +23,8 @@ import regex as re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.grouped import spread
+
 KINDS = ["prose", "list", "table", "junk"]
 
 #: Function words of the corpus's languages (fixed values).
@@ -200,7 +202,7 @@ def text_statistics(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     """doc_id, the STATS and the votes (bit mask) of every document."""
     kind = dict(documents.dtypes)[doc_id]
     schema = ", ".join([f"`{doc_id}` {kind}", *(f"{s} double" for s in STATS), "votes long"])
-    return documents.select(doc_id, text).mapInArrow(measure, schema)
+    return spread(documents.select(doc_id, text)).mapInArrow(measure, schema)
 
 
 def learn_types(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60, strength: float = 20.0) -> np.ndarray:
