@@ -22,9 +22,9 @@ def effective_dates(events: DataFrame, days: DataFrame, stamp: str = "announceme
     An event before the open of a session day counts for that day, any other for the next session.
     """
     known = F.when(F.col(timing).isin(CLASSES), F.col(timing)).otherwise(F.raise_error(F.concat(F.lit("unknown timing class: "), F.coalesce(timing, F.lit("null")))))
-    dated = with_day(events.withColumn("market_date", market_date(stamp)), "market_date", days, {"is_session": "_open", "next_session": "_next"})
-    same_day = (known == CLASSES[0]) & F.col("_open")
-    return dated.withColumn("effective_date", F.when(same_day, F.col("market_date")).otherwise(F.col("_next"))).drop("_open", "_next")
+    dated = with_day(events.withColumn("market_date", market_date(stamp)), "market_date", days, {"is_session": "__open", "next_session": "__next"})
+    same_day = (known == CLASSES[0]) & F.col("__open")
+    return dated.withColumn("effective_date", F.when(same_day, F.col("market_date")).otherwise(F.col("__next"))).drop("__open", "__next")
 
 
 def first_per_period(events: DataFrame, keys: list[str], stamp: str, tie: str) -> DataFrame:
@@ -65,11 +65,11 @@ def primary(master: DataFrame) -> DataFrame:
 def alignment_report(master: DataFrame, days: DataFrame) -> DataFrame:
     """Per event, whether its effective date keeps the rules (UTC date of the stamp, as the rule is stated)."""
     told = F.to_date("announcement_timestamp")
-    seen = with_day(master, "effective_date", days, {"is_session": "_open"})
+    seen = with_day(master, "effective_date", days, {"is_session": "__open"})
     when = lambda c, ok: F.when(F.col("timing_class") == c, F.coalesce(ok, F.lit(False))).otherwise(F.lit(True))
     return seen.select(
         "event_id",
-        F.coalesce("_open", F.lit(False)).alias("is_session"),
+        F.coalesce("__open", F.lit(False)).alias("is_session"),
         when("after_market_close", F.col("effective_date") > told).alias("amc_next_session_ok"),
         when("before_market_open", F.col("effective_date") == told).alias("bmo_same_session_ok"),
         F.when(F.col("timing_class").isin("intraday", "unknown"), F.col("exclusion_reason") != "").otherwise(F.lit(True)).alias("excluded_ok"),

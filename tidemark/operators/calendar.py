@@ -92,17 +92,17 @@ def day_table(sessions: DataFrame, margin: int = 400) -> DataFrame:
 
 def with_day(df: DataFrame, day: str, days: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Adds columns of the day table, looked up by ``day``; ``columns`` maps day-table names to new names."""
-    side = days.select(F.col("day").alias("_day"), *[F.col(k).alias(v) for k, v in columns.items()])
-    return df.join(F.broadcast(side), F.col(day) == F.col("_day"), "left").drop("_day")
+    side = days.select(F.col("day").alias("__day"), *[F.col(k).alias(v) for k, v in columns.items()])
+    return df.join(F.broadcast(side), F.col(day) == F.col("__day"), "left").drop("__day")
 
 
 def shift_sessions(df: DataFrame, day: str, n: int, days: DataFrame, sessions: DataFrame, out: str) -> DataFrame:
     """Adds the session ``n`` sessions after (before, if negative) the one nearest to ``day``, within the calendar."""
-    top = sessions.agg(F.max("ord").alias("_top"))
-    near = with_day(df, day, days, {"near_ord": "_near"}).join(F.broadcast(top))
-    target = F.greatest(F.lit(0), F.least(F.col("_near") + n, F.col("_top")))
-    side = sessions.select(F.col("session_date").alias(out), F.col("ord").alias("_ord"))
-    return near.withColumn("_to", F.when(F.col("_near").isNotNull(), target)).join(F.broadcast(side), F.col("_to") == F.col("_ord"), "left").drop("_near", "_top", "_to", "_ord")
+    top = sessions.agg(F.max("ord").alias("__top"))
+    near = with_day(df, day, days, {"near_ord": "__near"}).join(F.broadcast(top))
+    target = F.greatest(F.lit(0), F.least(F.col("__near") + n, F.col("__top")))
+    side = sessions.select(F.col("session_date").alias(out), F.col("ord").alias("__ord"))
+    return near.withColumn("__to", F.when(F.col("__near").isNotNull(), target)).join(F.broadcast(side), F.col("__to") == F.col("__ord"), "left").drop("__near", "__top", "__to", "__ord")
 
 
 def only_sessions(df: DataFrame, day: str, sessions: DataFrame) -> DataFrame:

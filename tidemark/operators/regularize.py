@@ -124,9 +124,9 @@ def session_of(df: DataFrame, day: str, sessions: DataFrame, out: str) -> DataFr
     ``sessions`` (session_date, ord) is an exchange calendar: about 252 rows a year, so its days are broadcast.
     """
     after = F.lead("session_date").over(Window.orderBy("session_date"))
-    days = sessions.withColumn("until", F.coalesce(F.date_sub(after, 1), F.col("session_date"))).select(F.explode(F.sequence("session_date", "until")).alias("_day"), F.col("ord").alias("_ord"))
+    days = sessions.withColumn("until", F.coalesce(F.date_sub(after, 1), F.col("session_date"))).select(F.explode(F.sequence("session_date", "until")).alias("__day"), F.col("ord").alias("__ord"))
     last = sessions.agg(F.max(F.struct("session_date", "ord")).alias("x")).select("x.*").first()
     if last is None or last["session_date"] is None:
         return df.withColumn(out, F.lit(None).cast("int")).where("false")
-    joined = df.join(F.broadcast(days), F.col(day) == F.col("_day"), "left")
-    return joined.withColumn(out, F.coalesce("_ord", F.when(F.col(day) > F.lit(last["session_date"]), F.lit(last["ord"])))).where(F.col(out).isNotNull()).drop("_day", "_ord")
+    joined = df.join(F.broadcast(days), F.col(day) == F.col("__day"), "left")
+    return joined.withColumn(out, F.coalesce("__ord", F.when(F.col(day) > F.lit(last["session_date"]), F.lit(last["ord"])))).where(F.col(out).isNotNull()).drop("__day", "__ord")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,11 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.keys import norm_key
-from tidemark.operators import alignment, evaluation, features, integrity, labels, tone
+from tidemark.operators import alignment, evaluation, features, integrity, labels, models, tone
 from tidemark.operators import calendar as cal
 from tidemark.plans import views
 from tidemark.plans.data_problems import KEY
 from tidemark.sources.tables import table
+from tidemark.streaming import stream
 
 DIGITS = 8
 STAMP = "yyyy-MM-dd'T'HH:mm:ss'Z'"
@@ -487,3 +489,53 @@ def _(spark, folder):
     without = rows.where(F.year("effective_date") != 2024).agg(*summary).select(F.lit("exclude_2024").alias("subset"), "n", "mean_surprise")
     caps = rows.where(F.col("cap_bucket").isin("large_cap", "mid_cap", "small_cap")).groupBy(F.col("cap_bucket").alias("subset")).agg(*summary)
     return without.unionByName(caps)
+
+
+# ---- trained models: no SQL; their tests hold them against planted signals ----
+def modelled(spark: SparkSession, folder: str, model: models.Trained) -> DataFrame:
+    rows = surprised(spark, folder).join(context(spark, folder, "_short"), "event_id", "left")
+    wanted = evaluation.fold_members(rows, "effective_date", evaluation.make_folds(spark, *FOLDS))
+    return models.walk_forward(wanted, "rev_surprise_pct", [model], [c for c in models.NUMERIC if c != "rev_surprise_pct"])[0]
+
+
+for _model in models.standard_models(trees=40, rounds=20):
+    register(f"model_{_model.name}")(lambda spark, folder, m=_model: modelled(spark, folder, m))
+
+
+# ---- streams over the event table ----
+def streamed(spark: SparkSession, folder: str, plan: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    schema = spark.read.parquet(f"{folder}/events.parquet").schema
+    rows = stream.read_folder(spark, folder, "events.parquet", schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    return stream.run_available(plan(rows), f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}", mode)
+
+
+@register(
+    "stream_tumbling",
+    f"SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%dT%H:%M:%SZ') AS start, strftime(time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY, '%Y-%m-%dT%H:%M:%SZ') AS \"end\", event_type, count(*) AS n, round(sum(value), {DIGITS}) AS total FROM events GROUP BY ALL",
+)
+def _(spark, folder):
+    return streamed(spark, folder, lambda s: stream.windowed_activity(s, "ts", "event_type", "value", "1 day"), "complete")
+
+
+@register(
+    "stream_sliding",
+    f"""SELECT strftime(w, '%Y-%m-%dT%H:%M:%SZ') AS start, strftime(w + INTERVAL 2 DAY, '%Y-%m-%dT%H:%M:%SZ') AS "end", event_type, count(*) AS n, round(sum(value), {DIGITS}) AS total
+    FROM (SELECT *, unnest([time_bucket(INTERVAL 1 DAY, ts), time_bucket(INTERVAL 1 DAY, ts) - INTERVAL 1 DAY]) AS w FROM events) GROUP BY ALL""",
+)
+def _(spark, folder):
+    return streamed(spark, folder, lambda s: stream.windowed_activity(s, "ts", "event_type", "value", "2 days", "1 day"), "complete")
+
+
+@register(
+    "stream_sessions",
+    """WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER o < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts)),
+    b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM a)
+    SELECT strftime(min(ts), '%Y-%m-%dT%H:%M:%SZ') AS start, strftime(max(ts) + INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%SZ') AS "end", user_id, count(*) AS n FROM b GROUP BY user_id, k""",
+)
+def _(spark, folder):
+    return streamed(spark, folder, lambda s: stream.sessions(s, "ts", "user_id", "2 hours"), "complete")
+
+
+@register("stream_state")
+def _(spark, folder):
+    return streamed(spark, folder, lambda s: stream.running_surprise(s, "event_type", "value"), "append")
