@@ -54,7 +54,7 @@ def exchange_holidays(year: int) -> list[date]:
         days.append(nth_weekday(year, 1, 0, 3))
     if year >= 2022:
         days.append(observed(date(year, 6, 19)))
-    return sorted([*days, *(date.fromisoformat(c) for c in CLOSURES if c.startswith(str(year)))])
+    return sorted(d for d in [*days, *(date.fromisoformat(c) for c in CLOSURES if c.startswith(str(year)))] if d.weekday() < 5)
 
 
 def exchange_sessions(spark: SparkSession, start: str, end: str) -> DataFrame:
