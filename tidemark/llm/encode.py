@@ -103,7 +103,7 @@ class PairTable:
 class Encoder:
     """Encodes batches of texts; keeps the ids of at most ``cache`` words and of no word longer than 64 bytes."""
 
-    def __init__(self, pairs: PairTable, cache: int = 500_000):
+    def __init__(self, pairs: PairTable, cache: int = 200_000):
         self.pairs, self.most, self.known = pairs, cache, {}
         self.split = regex.compile(SPLIT).findall
 
