@@ -425,7 +425,9 @@ c AS (SELECT {by}, count(*) AS n, avg(abs(prediction - actual)) AS mae, sqrt(avg
   (sum(rp) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2.0) / nullif(sum(y) * (count(*) - sum(y)), 0) AS roc_auc, avg((pr - y) ** 2) AS brier FROM k GROUP BY ALL),
 s AS (SELECT {', '.join('k.' + x.strip() for x in by.split(','))}, avg(k.actual) FILTER (WHERE k.prediction >= q2) - avg(k.actual) FILTER (WHERE k.prediction <= q1) AS top_minus_bottom FROM k JOIN c USING ({by}) GROUP BY ALL),
 b AS (SELECT {by}, least(9, floor(pr * 10)) AS bin, count(*) AS nb, avg(pr) AS p, avg(y) AS m FROM k GROUP BY ALL), e AS (SELECT {by}, sum(nb * abs(p - m)) / sum(nb) AS ece FROM b GROUP BY ALL),
-met AS (SELECT * FROM c JOIN s USING ({by}) JOIN e USING ({by}))"""
+met AS (SELECT {by}, n, CASE WHEN n >= 5 THEN mae END AS mae, CASE WHEN n >= 5 THEN rmse END AS rmse, CASE WHEN n >= 5 AND isfinite(pearson) THEN pearson END AS pearson, CASE WHEN n >= 5 AND isfinite(spearman) THEN spearman END AS spearman,
+  CASE WHEN n >= 10 THEN top_minus_bottom END AS top_minus_bottom, CASE WHEN n >= 5 AND roc_auc IS NOT NULL AND isfinite(pearson) THEN roc_auc END AS roc_auc, CASE WHEN n >= 5 AND roc_auc IS NOT NULL AND isfinite(pearson) THEN brier END AS brier,
+  CASE WHEN n >= 5 AND roc_auc IS NOT NULL AND isfinite(pearson) THEN ece END AS ece FROM c JOIN s USING ({by}) JOIN e USING ({by}))"""
 
 
 METRICS = ["mae", "rmse", "pearson", "spearman", "top_minus_bottom", "roc_auc", "brier", "ece"]
@@ -473,7 +475,7 @@ def _(spark, folder):
     return evaluation.bucket_summary(evaluation.fold_buckets(evaluation.usable(views.predictions(spark, folder))), "actual", "bucket", 5, 0.002, ["model", "fold"])
 
 
-@register("decay_best_model", f"WITH {metric_sql('model, fold')}, m AS (SELECT model, avg(pearson) AS p FROM met WHERE isfinite(pearson) GROUP BY 1), bst AS (SELECT model FROM m ORDER BY p DESC, model DESC LIMIT 1) SELECT model, fold, {r('pearson')} FROM met SEMI JOIN bst USING (model)")
+@register("decay_best_model", f"WITH {metric_sql('model, fold')}, m AS (SELECT model, avg(pearson) AS p FROM met WHERE pearson IS NOT NULL GROUP BY 1), bst AS (SELECT model FROM m ORDER BY p DESC, model DESC LIMIT 1) SELECT model, fold, {r('pearson')} FROM met SEMI JOIN bst USING (model)")
 def _(spark, folder):
     return evaluation.decay_of_best(evaluation.group_metrics(views.predictions(spark, folder), ["model", "fold"]))
 
