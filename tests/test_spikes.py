@@ -60,6 +60,17 @@ def test_copies_and_restated_bars(spark):
     assert flags(spark, rows) == {(900, "p"), (901, "p")}
 
 
+def test_put_right_in_the_middle_of_an_excursion(spark):
+    rows = series()
+    right = rows[51][4]
+    for i in (50, 51, 52):
+        rows[i][4] *= 0.1
+    rows.append([900, "a", rows[51][2], 995, right, rows[51][5]])
+    for i in (80, 82):
+        rows[i][4] *= 1.5  # two excursions with a normal bar between
+    assert flags(spark, rows) == {(i, "p") for i in (50, 51, 52, 80, 82)}
+
+
 def test_nulls_untraded_and_thin_sources(spark):
     rows = series()
     for i in range(40, 50):

@@ -20,6 +20,7 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -59,26 +60,33 @@ def shifted(x: np.ndarray, group: np.ndarray, by: int) -> np.ndarray:
     return out
 
 
-def levels(x: np.ndarray, group: np.ndarray, day: np.ndarray, start: int, width: int, side: int, edge: int) -> np.ndarray:
-    """Median of the ``width`` readings from ``start`` rows away on one side, within ``edge`` days."""
+def neighbours(x: np.ndarray, group: np.ndarray, day: np.ndarray, steps: list[int], edge: int) -> np.ndarray:
+    """Median of the readings that many rows away (negative: earlier), within ``edge`` days."""
     seen = []
-    for k in range(start, start + width):
-        v, d = shifted(x, group, side * k), shifted(day, group, side * k)
+    for k in steps:
+        v, d = shifted(x, group, k), shifted(day, group, k)
         seen.append(np.where(np.abs(d - day) <= edge, v, np.nan))
-    if width == 1:
+    if len(steps) == 1:
         return seen[0]
-    with np.errstate(all="ignore"):
-        import warnings
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")  # rows without neighbours
+        return np.nanmedian(np.vstack(seen), axis=0)
+
+
+def levels(x: np.ndarray, group: np.ndarray, day: np.ndarray, start: int, width: int, side: int, edge: int) -> np.ndarray:
+    """Median of the ``width`` readings from ``start`` rows away on one side."""
+    return neighbours(x, group, day, [side * k for k in range(start, start + width)], edge)
+
 
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            return np.nanmedian(np.vstack(seen), axis=0)
+def surroundings(x: np.ndarray, group: np.ndarray, day: np.ndarray, edge: int, reach: int = 5) -> np.ndarray:
+    """Median of the readings on both sides; a normal reading between two excursions lies near it."""
+    return neighbours(x, group, day, [k for k in range(-reach, reach + 1) if k], edge)
 
 
 def excursions(x: np.ndarray, group: np.ndarray, day: np.ndarray, f: Field, edge: int, longest: int = 3, home: float = 0.5) -> np.ndarray:
     """Least distance to the level before and after, for readings of an excursion that comes back; else 0."""
     best = np.zeros(len(x))
-    before = levels(x, group, day, 1, f.level, -1, edge)
+    before, around = levels(x, group, day, 1, f.level, -1, edge), surroundings(x, group, day, edge)
     for m in range(1, longest + 1):
         pre, post = before, levels(x, group, day, m, f.level, 1, edge)  # an excursion that begins here
         size = np.full(len(x), np.inf)
@@ -86,6 +94,8 @@ def excursions(x: np.ndarray, group: np.ndarray, day: np.ndarray, f: Field, edge
             v = shifted(x, group, j) if j else x
             up, down = v - pre, v - post
             size = np.minimum(size, np.where(up * down > 0, np.minimum(np.abs(up), np.abs(down)), 0.0))
+            out = (v - (shifted(around, group, j) if j else around)) * np.sign(up)
+            size = np.where(out > home * size, size, 0.0)
         lead = np.sign(x - pre)
         for j in range(1, m):
             size = np.where(np.sign(shifted(x, group, j) - pre) == lead, size, 0.0)
@@ -151,11 +161,15 @@ def inspect(chunk: pd.DataFrame, keys: list[str], fields: list[Field], activity:
         if len(other):
             place = pd.Series(np.arange(len(at)), index=pd.MultiIndex.from_arrays([g, d]))
             mine = place.reindex(pd.MultiIndex.from_arrays([group[other], day[other]])).to_numpy().astype(int)
-            v = np.log(raw[other])
-            pre, post = levels(x, g, d, 1, f.level, -1, edge)[mine], levels(x, g, d, 1, f.level, 1, edge)[mine]
-            up, down = v - pre, v - post
-            alone = np.where((up * down > 0), np.minimum(np.abs(up), np.abs(down)), 0.0)
-            alone = np.where(np.abs(post - pre) < 0.5 * alone, alone, 0.0)
+            v, around = np.log(raw[other]), surroundings(x, g, d, edge)
+            # next to an excursion the level is a median, next to a lasting move the nearest readings
+            alone = np.zeros(len(other))
+            for width in (f.level, max(f.level, 5)):
+                pre, post = levels(x, g, d, 1, width, -1, edge)[mine], levels(x, g, d, 1, width, 1, edge)[mine]
+                up, down = v - pre, v - post
+                far = np.where(up * down > 0, np.minimum(np.abs(up), np.abs(down)), 0.0)
+                out_there = (v - around[mine]) * np.sign(up) > 0.5 * far
+                alone = np.maximum(alone, np.where((np.abs(post - pre) < 0.5 * far) & out_there, far, 0.0))
             alone = np.where(raw[other] == raw[at[mine]], size[mine], alone)
             seen = (alone > np.log(f.factor)) & (alone > SKETCH_LEAST)
             emit(other[seen], f.name, 1, alone[seen])
