@@ -47,8 +47,7 @@ ENDING = re.compile(r"[.!?…。！？][\"'”’»）)\]]*\s*$")
 NUMERIC = re.compile(r"[(\"'$€£¥~+\-–−]*\d[\d.,  ]*[%xmMkKbB]?[)\"']*$|[-–—]+$|n/?a$", re.IGNORECASE)
 RULE = re.compile(r"\s*[|+:=\-\s]+$")
 LEADER = re.compile(r"\.{4,}|(?:\. ){4,}")
-GAP = re.compile(r"\t+| {3,}|\xa0{3,}|\s*\|\s*|\s*</td>\s*")
-CSV = re.compile(r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
+GAP = re.compile(r"\t+| {3,}|\xa0{3,}|\||</td>")
 HEX = re.compile(r"(?:0x)?[0-9a-f]{2}$|[0-9a-f]{8}:?$", re.IGNORECASE)
 BROKEN = re.compile(r"[ÃÂâ][\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ¡-¿]|ï¿½|�")
 ODD = re.compile(r"[^\p{L}\p{M}\p{N}\s.,;:!?'\"()\-–—%$€£¥&/’‘“”«»…·•。、！？（）「」・･ー％＄]")
@@ -68,6 +67,27 @@ def common_share(tokens: list[str], words: list[str]) -> float:
     return min(1.0, sum(t.strip(EDGE) in COMMON_WORDS for t in tokens) / len(words)) if words else 0.0
 
 
+def gap_cells(line: str) -> list[str]:
+    return [c for c in GAP.split(line) if c.strip()]
+
+
+def csv_cells(line: str) -> list[str]:
+    """Cells between commas outside double quotes; an unpaired quote is an ordinary character."""
+    if line.count('"') % 2:
+        return line.split(",")
+    cells, open_ = [], ""
+    for i, part in enumerate(line.split('"')):
+        if i % 2:
+            open_ += part
+            continue
+        first, *rest = part.split(",")
+        open_ += first
+        for cell in rest:
+            cells.append(open_)
+            open_ = cell
+    return [*cells, open_]
+
+
 def numeric(cell: str) -> bool:
     return bool(NUMERIC.match(cell.strip()))
 
@@ -89,16 +109,16 @@ def line_kind(line: str) -> str:
     body = line.strip()
     if LEADER.search(body) and numeric(LEADER.split(body)[-1].split()[0] if LEADER.split(body)[-1].split() else ""):
         return "table"
-    for cells in (GAP.split(body.strip("|")), CSV.split(body)):
+    for cells in (gap_cells(body), csv_cells(body)):
         if len(cells) >= 3 and sum(numeric(c) for c in cells[1:]) * 2 >= len(cells) - 1:
             return "table"
         if len(cells) == 2 and numeric(cells[1]) and not numeric(cells[0]):
             return "table"
-    if (body[:1] == "|" and body[-1:] == "|" and len(body) > 1) or (len(CSV.split(body)) >= 3 and body.startswith(",")):
+    if (body[:1] == "|" and body[-1:] == "|" and len(body) > 1) or (body.startswith(",") and len(csv_cells(body)) >= 3):
         return "table"
     if marked:
         return "list"
-    gaps = [c for c in GAP.split(body) if c]
+    gaps = gap_cells(body)
     if len(gaps) >= 3 and all(len(c) <= 8 for c in gaps):
         return "table"
     return "short" if len(body.split()) <= 9 and len(body) <= 90 else "other"
