@@ -73,6 +73,12 @@ def test_missing_zone_is_estimated_from_order(spark):
         assert got[(i, "told")] == datetime.fromtimestamp(want, timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
 
 
+def test_unknown_home_zone_counts_as_none(spark):
+    feeds = spark.createDataFrame([("x", "No/Where", "ymd")], "source string, home_zone string, date_order string")
+    df = spark.createDataFrame([(1, "x", "2024-07-01 10:00")], "raw_id long, source string, zone string")
+    assert forms(normalize_times(df, feeds, "raw_id", "source", [("zone", "instant")], candidates=["Asia/Tokyo"])) == {(1, "zone"): "2024-07-01T01:00:00.000000Z"}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "raw_id long, source string, date string")
     assert normalize_times(df, sources(spark), "raw_id", "source", [("date", "date")]).collect() == []

@@ -10,7 +10,7 @@ converted, and those their zone had twice or never are dropped.
 
 Defined cases: null, blank and unreadable texts, impossible dates and clock times, a bare
 day where an instant is needed, an unknown zone name in a text, and a weekday that is
-not the date's give no row; an unknown name in the zone column counts as none; a wall
+not the date's give no row; an unknown name in the zone column or as home zone counts as none; a wall
 time of a source without any evidence takes the first candidate; repeated rows each give
 their own; an empty table gives an empty result; other columns are ignored.
 """
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.grouped import map_sorted_groups
 from tidemark.functions.timetext import DAY, INSTANT, NONE, WALL, known_zone, read_time_text
 
-READ = "row_id long, field_name string, wanted string, source string, batch int, form int, value long, zone string, not_before long, not_after long"
+READ = "row_id long, field_name string, wanted string, source string, batch int, form int, value long, zone string, home string, not_before long, not_after long"
 DAY_US = 86_400_000_000
 #: Zones tried for sources that declare none (parameter default).
 CANDIDATES = ["UTC", "America/New_York", "America/Chicago", "Europe/London", "Europe/Berlin", "Asia/Kolkata", "Asia/Tokyo", "Australia/Sydney"]
@@ -42,8 +42,8 @@ def read_fields(fields: list[tuple[str, str]], ordered: bool):
             if not batch.num_rows:
                 continue
             columns = {n: batch.column(n).to_pylist() for n in batch.schema.names}
-            zone = [known_zone(z) for z in columns["zone"]]
-            read = {name: [read_time_text(t, o) for t, o in zip(columns[name], columns["date_order"])] for name, _ in fields}
+            zone, home = ([known_zone(z) for z in columns[c]] for c in ("zone", "home_zone"))
+            read = {name: [read_time_text(t, o) for t, o in zip(columns[f"text_{i}"], columns["date_order"])] for i, (name, _) in enumerate(fields)}
             known = {name: [v if f == INSTANT else None for f, v, _ in read[name]] for name, _ in fields}
             for i, (name, wanted) in enumerate(fields):
                 form, value, text_zone = zip(*read[name])
@@ -54,9 +54,9 @@ def read_fields(fields: list[tuple[str, str]], ordered: bool):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(columns["row_id"], pa.int64()), pa.array([name] * n, pa.string()), pa.array([wanted] * n, pa.string()), pa.array(columns["source"], pa.string()), pa.array(columns["batch"], pa.int32()),
-                        pa.array(form, pa.int32()), pa.array(value, pa.int64()), pa.array([t or z for t, z in zip(text_zone, zone)], pa.string()), pa.array(bound(before, max), pa.int64()), pa.array(bound(after, min), pa.int64()),
+                        pa.array(form, pa.int32()), pa.array(value, pa.int64()), pa.array([t or z for t, z in zip(text_zone, zone)], pa.string()), pa.array(home, pa.string()), pa.array(bound(before, max), pa.int64()), pa.array(bound(after, min), pa.int64()),
                     ],
-                    names=["row_id", "field_name", "wanted", "source", "batch", "form", "value", "zone", "not_before", "not_after"],
+                    names=["row_id", "field_name", "wanted", "source", "batch", "form", "value", "zone", "home", "not_before", "not_after"],
                 )
 
     return run
@@ -110,12 +110,12 @@ def normalize_times(
     """
     home = sources.select(F.col("source").alias("_s"), "home_zone", "date_order")
     pick = rows.select(
-        F.col(row_id).cast("long").alias("row_id"), F.col(source).alias("source"), (F.col(zone) if zone else F.lit(None).cast("string")).alias("zone"), (F.col(batch).cast("int") if batch else F.lit(0)).alias("batch"), *[n for n, _ in fields]
+        F.col(row_id).cast("long").alias("row_id"), F.col(source).alias("source"), (F.col(zone) if zone else F.lit(None).cast("string")).alias("zone"), (F.col(batch).cast("int") if batch else F.lit(0)).alias("batch"), *[F.col(n).alias(f"text_{i}") for i, (n, _) in enumerate(fields)]
     )
     joined = pick.join(home, F.col("source") == F.col("_s"), "left").drop("_s")
     read = joined.mapInArrow(read_fields(fields, ordered), READ).where(F.col("form") != NONE)
     open_ = read.where((F.col("form") == WALL) & F.col("zone").isNull())
-    tried = open_.join(home, F.col("source") == F.col("_s"), "left").withColumn("zones", F.when(F.col("home_zone").isNotNull(), F.array("home_zone")).otherwise(F.array(*map(F.lit, candidates or CANDIDATES))))
+    tried = open_.withColumn("zones", F.when(F.col("home").isNotNull(), F.array("home")).otherwise(F.array(*map(F.lit, candidates or CANDIDATES))))
     tried = tried.select("source", "batch", "value", "not_before", "not_after", F.posexplode("zones").alias("place", "candidate"))
     at = to_instant(F.col("value"), F.col("candidate"))
     slack = int(longest_hours * 3_600_000_000)
