@@ -7,7 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators import alignment, evaluation, features, integrity, labels, tone
+from tidemark.operators import alignment, evaluation, features, integrity, labels, securities, tone
 from tidemark.operators import calendar as cal
 
 
@@ -210,3 +210,18 @@ def test_integrity_predicates_take_null_for_no_violation(spark):
     rows = spark.createDataFrame([("a", t, t, t), ("b", None, t, t), ("c", datetime(2019, 1, 1), t, t)], "event_id string, feature_available_at timestamp, order_submission_cutoff timestamp, prediction_timestamp timestamp")
     assert [r.event_id for r in integrity.late_features(rows).collect()] == ["a"] and integrity.late_features(rows, False).count() == 0
     assert [r.event_id for r in integrity.labelled_too_late(rows, rows).collect()] == ["a"]
+
+
+def test_security_versions(spark):
+    d = date.fromisoformat
+    rows = [("A", 1, d("2020-01-01"), None, datetime(2020, 1, 2), 3e9), ("A", 2, d("2021-01-01"), None, datetime(2021, 1, 2), 1e10), ("A", 3, d("2021-01-01"), None, datetime(2021, 1, 2), 5.0), ("B", 4, d("2020-01-01"), d("2020-06-01"), datetime(2020, 1, 2), None), (None, 5, d("2020-01-01"), None, datetime(2020, 1, 2), 1.0)]
+    master = spark.createDataFrame(rows, "security_id string, version_id long, valid_at date, delisting_date date, recorded_at timestamp, size double")
+    on = lambda s: F.lit(s).cast("date")
+    assert sorted(r.version_id for r in securities.valid_versions(master, on("2021-06-01")).collect()) == [1, 2, 3]
+    assert [tuple(r) for r in securities.latest_versions(master, on("2021-06-01"), ["version_id"]).collect()] == [("A", 2)]
+    assert sorted(map(tuple, securities.latest_versions(master, on("2020-05-31"), ["version_id"]).collect())) == [("A", 1), ("B", 4)]
+    assert [r.b for r in master.orderBy("version_id").select(securities.cap_bucket("size").alias("b")).collect()] == ["mid_cap", "large_cap", "small_cap", None, "small_cap"]
+    contract = integrity.Contract(T.StructType([T.StructField("security_id", T.StringType()), T.StructField("valid_at", T.DateType())]), unique=("security_id", "valid_at"))
+    with pytest.raises(ValueError, match="unique"):
+        securities.check_master(master, contract)
+    securities.check_master(master.where("version_id <> 3"), contract)

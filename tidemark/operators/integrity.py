@@ -54,9 +54,15 @@ def contract_report(df: DataFrame, contract: Contract) -> DataFrame:
     checked = conform(df, contract)
     rules = [("not_null", f.name, F.col(f.name).isNull()) for f in contract.columns if not f.nullable]
     rules += [("allowed", c, F.col(c).isNotNull() & ~F.col(c).isin(*v)) for c, v in contract.allowed.items()]
+    if not rules:
+        report = df.sparkSession.createDataFrame([], "rule string, column string, violations long")
+        return with_unique(report, checked, contract)
     counts = checked.agg(*[F.count_if(bad).alias(str(i)) for i, (_, _, bad) in enumerate(rules)])
     rows = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("column"), F.col(str(i)).alias("violations")) for i, (r, c, _) in enumerate(rules)]))
-    report = counts.select(rows.alias("x")).select("x.*")
+    return with_unique(counts.select(rows.alias("x")).select("x.*"), checked, contract)
+
+
+def with_unique(report: DataFrame, checked: DataFrame, contract: Contract) -> DataFrame:
     if contract.unique:
         extra = checked.groupBy(*contract.unique).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("violations"))
         report = report.unionByName(extra.select(F.lit("unique").alias("rule"), F.lit(",".join(contract.unique)).alias("column"), "violations"))

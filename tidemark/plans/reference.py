@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.keys import norm_key
-from tidemark.operators import alignment, evaluation, features, integrity, labels, models, tone
+from tidemark.operators import alignment, evaluation, features, integrity, labels, models, securities, tone
 from tidemark.operators import calendar as cal
 from tidemark.plans import views
 from tidemark.plans.data_problems import KEY
@@ -306,10 +306,18 @@ def _(spark, folder):
 )
 def _(spark, folder):
     day = F.lit("2024-06-28").cast("date")
+    rows = table(spark, folder, "security_master").withColumn("security_id", norm_key("security_id")).where("deleted_at is null")
+    return securities.latest_versions(rows, day, ["version_id", "sector"])
+
+
+@register(
+    "security_versions",
+    f"SELECT version_id, {KEY.format('security_id')} AS security_id, CASE WHEN market_cap_usd >= 1e10 THEN 'large_cap' WHEN market_cap_usd >= 2e9 THEN 'mid_cap' WHEN market_cap_usd IS NOT NULL THEN 'small_cap' END AS bucket "
+    f"FROM security_master WHERE {KEY.format('security_id')} IS NOT NULL AND valid_at <= DATE '2024-06-28' AND (delisting_date IS NULL OR delisting_date > DATE '2024-06-28')",
+)
+def _(spark, folder):
     rows = table(spark, folder, "security_master").withColumn("security_id", norm_key("security_id"))
-    valid = rows.where((F.col("valid_at") <= day) & (F.col("delisting_date").isNull() | (F.col("delisting_date") > day)) & F.col("deleted_at").isNull() & F.col("security_id").isNotNull())
-    best = F.max_by(F.struct("version_id", "sector"), F.struct("valid_at", "recorded_at", -F.col("version_id"))).alias("v")
-    return valid.groupBy("security_id").agg(best).select("security_id", "v.version_id", "v.sector")
+    return securities.valid_versions(rows, F.lit("2024-06-28").cast("date")).select("version_id", "security_id", securities.cap_bucket("market_cap_usd").alias("bucket"))
 
 
 @register(
