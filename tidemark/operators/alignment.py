@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.operators.calendar import at_clock, market_date, shift_sessions, with_day
+from tidemark.operators.calendar import at_clock, market_date, shift_table, with_day
 
 CLASSES = ["before_market_open", "after_market_close", "intraday", "unknown"]
 
@@ -39,7 +39,7 @@ def event_master(events: DataFrame, days: DataFrame, sessions: DataFrame, reacti
     """Aligned, stamped and de-duplicated events with entry and exit sessions.
 
     Adds market_date, effective_date, exclusion_reason, prediction_timestamp (9:35), order_submission_cutoff (9:25),
-    reaction_exit, drift_exit and data_quality_status. Duplicates are dropped before exclusion is looked at.
+    reaction_exit, drift_exit, their ordinals entry_ord, rx_ord, dx_ord, and data_quality_status. Duplicates are dropped before exclusion is looked at.
     """
     aligned = effective_dates(events, days)
     reason = F.when(F.col("timing_class") == "intraday", "timing_intraday").when(F.col("timing_class") == "unknown", "timing_unknown").otherwise("")
@@ -52,7 +52,8 @@ def event_master(events: DataFrame, days: DataFrame, sessions: DataFrame, reacti
         }
     )
     single = first_per_period(stamped, ["security_id", "fiscal_period_end"], "announcement_timestamp", "event_id")
-    exits = shift_sessions(shift_sessions(single, "effective_date", reaction, days, sessions, "reaction_exit"), "effective_date", drift, days, sessions, "drift_exit")
+    table = shift_table(days, sessions, {"rx": reaction, "dx": drift})
+    exits = with_day(single, "effective_date", table, {"rx": "reaction_exit", "dx": "drift_exit", "near_ord": "entry_ord", "rx_ord": "rx_ord", "dx_ord": "dx_ord"})
     status = F.when(F.col("announcement_timestamp").isNull(), "missing_announcement_ts").when(F.col("exclusion_reason") != "", "excluded").otherwise("ok")
     return exits.withColumn("data_quality_status", status)
 

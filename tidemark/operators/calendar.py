@@ -96,13 +96,20 @@ def with_day(df: DataFrame, day: str, days: DataFrame, columns: dict[str, str])
     return df.join(F.broadcast(side), F.col(day) == F.col("__day"), "left").drop("__day")
 
 
+def shift_table(days: DataFrame, sessions: DataFrame, shifts: dict[str, int]) -> DataFrame:
+    """Per day, the session (and ``<name>_ord``) each shift leads to from the nearest session, within the calendar. As small as the calendar."""
+    top = sessions.agg(F.max("ord").alias("__top"))
+    table = days.crossJoin(F.broadcast(top))
+    for name, n in shifts.items():
+        at = F.when(F.col("near_ord").isNotNull(), F.greatest(F.lit(0), F.least(F.col("near_ord") + n, F.col("__top"))))
+        side = sessions.select(F.col("session_date").alias(name), F.col("ord").alias(f"{name}_ord"))
+        table = table.withColumn("__to", at).join(F.broadcast(side), F.col("__to") == F.col(f"{name}_ord"), "left").drop("__to")
+    return table.drop("__top")
+
+
 def shift_sessions(df: DataFrame, day: str, n: int, days: DataFrame, sessions: DataFrame, out: str) -> DataFrame:
     """Adds the session ``n`` sessions after (before, if negative) the one nearest to ``day``, within the calendar."""
-    top = sessions.agg(F.max("ord").alias("__top"))
-    near = with_day(df, day, days, {"near_ord": "__near"}).join(F.broadcast(top))
-    target = F.greatest(F.lit(0), F.least(F.col("__near") + n, F.col("__top")))
-    side = sessions.select(F.col("session_date").alias(out), F.col("ord").alias("__ord"))
-    return near.withColumn("__to", F.when(F.col("__near").isNotNull(), target)).join(F.broadcast(side), F.col("__to") == F.col("__ord"), "left").drop("__near", "__top", "__to", "__ord")
+    return with_day(df, day, shift_table(days, sessions, {"__target": n}), {"__target": out})
 
 
 def only_sessions(df: DataFrame, day: str, sessions: DataFrame) -> DataFrame:

@@ -52,10 +52,7 @@ class Study:
 
     def build_events(self) -> None:
         label = self.config.labels
-        master = alignment.event_master(self.table("events"), self.days(), self.table("sessions"), label["reaction"], label["drift"])
-        for day, out in (("effective_date", "entry_ord"), ("reaction_exit", "rx_ord"), ("drift_exit", "dx_ord")):
-            master = cal.with_day(master, day, self.days(), {"ord": out})
-        self.store("event_master", master)
+        self.store("event_master", alignment.event_master(self.table("events"), self.days(), self.table("sessions"), label["reaction"], label["drift"]))
 
     def validate_events(self) -> dict:
         master = self.table("event_master")

@@ -113,10 +113,7 @@ ctx AS (SELECT p.event_id, {', '.join('b3.' + c for c in features.MARKET)} FROM
 
 def master(spark: SparkSession, folder: str) -> DataFrame:
     """The event master with session ordinals."""
-    full = alignment.event_master(views.events(spark, folder), views.days(spark, folder), views.sessions(spark, folder))
-    for day, out in (("effective_date", "entry_ord"), ("reaction_exit", "rx_ord"), ("drift_exit", "dx_ord")):
-        full = cal.with_day(full, day, views.days(spark, folder), {"ord": out})
-    return full
+    return alignment.event_master(views.events(spark, folder), views.days(spark, folder), views.sessions(spark, folder))
 
 
 def primary(spark: SparkSession, folder: str) -> DataFrame:
@@ -143,10 +140,9 @@ def _(spark, folder):
     "LEFT JOIN trading_sessions c ON near_ord IS NOT NULL AND c.ord = greatest(0, near_ord - 20)",
 )
 def _(spark, folder):
-    got = views.events(spark, folder).select("event_id", cal.market_date("announcement_timestamp").alias("d"))
-    for n, out in ((20, "ahead"), (0, "nearest"), (-20, "back")):
-        got = cal.shift_sessions(got, "d", n, views.days(spark, folder), views.sessions(spark, folder), out)
-    return got.drop("d")
+    dated = views.events(spark, folder).select("event_id", cal.market_date("announcement_timestamp").alias("d"))
+    targets = cal.shift_table(views.days(spark, folder), views.sessions(spark, folder), {"ahead": 20, "nearest": 0, "back": -20})
+    return cal.with_day(dated, "d", targets, {c: c for c in ("ahead", "nearest", "back")}).drop("d")
 
 
 @register("session_filter", "SELECT date, count(*) AS n FROM prices SEMI JOIN trading_sessions ON session_date = date GROUP BY 1")
