@@ -103,7 +103,7 @@ def pack_groups(doc_id: str, capacity: int):
     return run
 
 
-def fill_containers(items: DataFrame, doc_id: str = "doc_id", size: str = "n_tokens", capacity: int = 2048, group_items: int = 4000, expected: int | None = None) -> DataFrame:
+def fill_containers(items: DataFrame, doc_id: str = "doc_id", size: str = "n_tokens", capacity: int = 2048, group_items: int = 4000, expected: int | None = None, most_tasks: int = 10_000) -> DataFrame:
     """container_id, doc_id, token_start, n_tokens, container_start: which tokens of which item lie where in which container.
 
     ``group_items``: about how many items are packed together; ``expected``: the number of
@@ -114,4 +114,7 @@ def fill_containers(items: DataFrame, doc_id: str = "doc_id", size: str = "n_tok
     dealt = real.withColumn("bin", F.pmod(F.xxhash64(doc_id), F.lit(groups)).cast("int"))
     kind = dict(items.dtypes)[doc_id]
     schema = f"container_id long, `{doc_id}` {kind}, token_start long, n_tokens long, container_start long"
-    return map_sorted_groups(dealt, ["bin"], [F.col("n_tokens").desc(), doc_id], pack_groups(doc_id, capacity), schema, chunk_rows=16_384)
+    # lengths are few bytes but packing is work, so partitions are set by groups, not merged by size
+    tasks = min(groups, most_tasks)
+    placed = dealt.repartitionById(tasks, F.pmod("bin", F.lit(tasks)).cast("int"))
+    return map_sorted_groups(placed, ["bin"], [F.col("n_tokens").desc(), doc_id], pack_groups(doc_id, capacity), schema, chunk_rows=16_384, clustered=True)
