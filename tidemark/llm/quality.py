@@ -51,10 +51,11 @@ GAP = re.compile(r"\t+| {3,}|\xa0{3,}|\||</td>")
 HEX = re.compile(r"(?:0x)?[0-9a-f]{2}$|[0-9a-f]{8}:?$", re.IGNORECASE)
 BROKEN = re.compile(r"[ÃÂâ][\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ¡-¿]|ï¿½|�")
 ODD = re.compile(r"[^\p{L}\p{M}\p{N}\s.,;:!?'\"()\-–—%$€£¥&/’‘“”«»…·•。、！？（）「」・･ー％＄]")
+#: The ASCII characters among them.
+ODD_ASCII = [c for c in map(chr, range(128)) if ODD.match(c)]
 INSIDE = re.compile(r"[\p{Latin}\d][^\p{L}\p{M}\p{N}\s'’.,\-–—/&:%€$£¥()、。]+[\p{Latin}\d]|[¬°^~|`_#{}\\=*<>@]\p{Latin}|\p{Latin}[¬°^~|`_#{}\\=*<>@!]")
 LABEL = re.compile(r"[\p{Lu}\d]")
 INLINE = re.compile(r", | / | · | \| | > |; | • | – ")
-BLANK = re.compile(r"\s+")
 
 STATS = ["words", "word_length", "symbol_ratio", "ending_share", "common_share", "lines", "words_per_line", "prose_share", "list_share", "table_share", "short_share", "number_share", "furniture_share", "broken_share", "inside_share", "hex_share", "odd_share", "longest_word", "distinct_share", "item_length", "items", "label_share"]
 
@@ -62,11 +63,6 @@ STATS = ["words", "word_length", "symbol_ratio", "ending_share", "common_share",
 EDGE = ".,;:!?…\"'”’“‘«»()[]。、"
 
 
-def common_share(tokens: list[str], words: list[str]) -> float:
-    """Function words that stand as tokens of their own, against all words."""
-    return min(1.0, sum(t.strip(EDGE) in COMMON_WORDS for t in tokens) / len(words)) if words else 0.0
-
-
 def gap_cells(line: str) -> list[str]:
     return [c for c in GAP.split(line) if c.strip()]
 
@@ -92,82 +88,115 @@ def numeric(cell: str) -> bool:
     return bool(NUMERIC.match(cell.strip()))
 
 
-def line_kind(line: str) -> str:
-    """prose, list, table, short (a few words) or other."""
-    words = WORD.findall(line.lower())
-    common = common_share(line.lower().split(), words)
-    han = len(HAN.findall(line))
-    if words and (sum(w in FURNITURE for w in words) * 2 >= len(words) or sum(bool(HEX.match(t)) for t in line.split()) * 2 > len(line.split())):
-        return "other"
-    spoken = (len(words) >= 5 and common >= 0.2 and len(set(words)) >= 4) or (han >= 8 and han > 0.4 * len(line.strip()) and len(KANA.findall(line)) >= 0.2 * han)
-    marked = bool(MARKER.match(line))
-    if spoken and not (marked and len(words) < 8):
-        if line.count("|") < 3 and "<td" not in line:
+#: Facts of tokens seen before, at most FACTS_KEPT of at most 40 characters; it only saves work.
+FACTS: dict[str, tuple[bool, bool, bool, bool]] = {}
+FACTS_KEPT = 100_000
+
+
+def token_facts(token: str) -> tuple[bool, bool, bool, bool]:
+    """Whether a token is numeric, a byte of a dump, has symbols inside, is a function word."""
+    found = FACTS.get(token)
+    if found is None:
+        found = numeric(token), bool(HEX.match(token)), bool(INSIDE.search(token)), token.lower().strip(EDGE) in COMMON_WORDS
+        if len(token) <= 40:
+            if len(FACTS) >= FACTS_KEPT:
+                FACTS.clear()
+            FACTS[token] = found
+    return found
+
+
+class Line:
+    """A line that is not blank, cut into tokens and words once for all statistics."""
+
+    __slots__ = ("text", "tokens", "words", "facts", "furniture", "plain")
+
+    def __init__(self, text: str):
+        self.text, self.plain = text, text.isascii()
+        self.tokens, self.words = text.split(), WORD.findall(text.lower())
+        self.facts = list(map(token_facts, self.tokens))
+        self.furniture = sum(w in FURNITURE for w in self.words)
+
+    def kind(self) -> str:
+        """prose, list, table, short (a few words) or other."""
+        line, words, body = self.text, self.words, self.text.strip()
+        dump = sum(f[1] for f in self.facts)
+        if words and (self.furniture * 2 >= len(words) or dump * 2 > len(self.tokens)):
+            return "other"
+        common = min(1.0, sum(f[3] for f in self.facts) / len(words)) if words else 0.0
+        spoken = len(words) >= 5 and common >= 0.2 and len(set(words)) >= 4
+        if not spoken and not self.plain:
+            han = len(HAN.findall(line))
+            spoken = han >= 8 and han > 0.4 * len(body) and len(KANA.findall(line)) >= 0.2 * han
+        marked = bool(MARKER.match(line))
+        if spoken and not (marked and len(words) < 8) and line.count("|") < 3 and "<td" not in line:
             return "prose"
-    if "<td" in line or "<th" in line or (RULE.match(line) and ("|" in line or "+" in line)):
-        return "table"
-    body = line.strip()
-    if LEADER.search(body) and numeric(LEADER.split(body)[-1].split()[0] if LEADER.split(body)[-1].split() else ""):
-        return "table"
-    for cells in (gap_cells(body), csv_cells(body)):
-        if len(cells) >= 3 and sum(numeric(c) for c in cells[1:]) * 2 >= len(cells) - 1:
+        if "<td" in line or "<th" in line or (RULE.match(line) and ("|" in line or "+" in line)):
+            return "table"
+        if "...." in body or ". . . . " in body:
+            after = LEADER.split(body)[-1].split()
+            if after and numeric(after[0]):
+                return "table"
+        commas = csv_cells(body)
+        gaps = gap_cells(body)
+        for cells in (gaps, commas):
+            if len(cells) >= 3 and sum(numeric(c) for c in cells[1:]) * 2 >= len(cells) - 1:
+                return "table"
+            if len(cells) == 2 and numeric(cells[1]) and not numeric(cells[0]):
+                return "table"
+        if (body[:1] == "|" and body[-1:] == "|" and len(body) > 1) or (body.startswith(",") and len(commas) >= 3):
             return "table"
-        if len(cells) == 2 and numeric(cells[1]) and not numeric(cells[0]):
+        if marked:
+            return "list"
+        if len(gaps) >= 3 and all(len(c) <= 8 for c in gaps):
             return "table"
-    if (body[:1] == "|" and body[-1:] == "|" and len(body) > 1) or (body.startswith(",") and len(csv_cells(body)) >= 3):
-        return "table"
-    if marked:
-        return "list"
-    gaps = gap_cells(body)
-    if len(gaps) >= 3 and all(len(c) <= 8 for c in gaps):
-        return "table"
-    return "short" if len(body.split()) <= 9 and len(body) <= 90 else "other"
+        return "short" if len(self.tokens) <= 9 and len(body) <= 90 else "other"
 
 
 def statistics(text: str) -> list[float]:
     """The STATS of a text that is not blank."""
-    lines = [x for x in BREAK.split(text) if x.strip()]
-    tokens = text.split()
-    words = WORD.findall(text.lower())
+    lines = [Line(x) for x in BREAK.split(text) if x.strip()]
+    tokens = [t for x in lines for t in x.tokens]
+    words = sum(len(x.words) for x in lines)
+    number, dump, inside, common = (sum(f) / len(tokens) for f in zip(*(f for x in lines for f in x.facts)))
     solid = sum(map(len, tokens))
-    common = common_share(text.lower().split(), words)
-    furniture = sum(w in FURNITURE for w in words) / len(words) if words else 0.0
-    dump = sum(bool(HEX.match(t)) for t in tokens) / len(tokens)
-    if furniture >= 0.5 or dump >= 0.6:
-        common = 0.0
-    han = HAN.findall(text)
+    furniture = sum(x.furniture for x in lines) / words if words else 0.0
+    spoken = min(1.0, common * len(tokens) / words) if words and furniture < 0.5 and dump < 0.6 else 0.0
+    plain = text.isascii()
+    han = [] if plain else HAN.findall(text)
     if len(han) > 0.3 * solid:
-        common = max(common, min(1.0, len(KANA.findall(text)) / len(han)))
+        spoken = max(spoken, min(1.0, len(KANA.findall(text)) / len(han)))
     weight = {"prose": 0, "list": 0, "table": 0, "short": 0, "other": 0}
     for x in lines:
-        weight[line_kind(x)] += len(x.strip())
+        weight[x.kind()] += len(x.text.strip())
     all_chars = sum(weight.values())
-    items = [x for x in INLINE.split(BLANK.sub(" ", text.strip())) if x.strip()]
-    tall = [t for t in tokens if len(HAN.findall(t)) * 2 < len(t)]
-    letters = sum(map(len, words))
+    items = [x for x in INLINE.split(" ".join(tokens)) if x.strip()]
+    tall = tokens if not han else [t for t in tokens if len(HAN.findall(t)) * 2 < len(t)]
+    letters = sum(len(w) for x in lines for w in x.words)
+    odd = sum(map(text.count, ODD_ASCII)) if plain else len(ODD.findall(text))
+    sizes = [len(x.split()) for x in items]
     return [
         float(len(tokens)),
         solid / len(tokens),
-        1 - (letters + sum(c.isdigit() for c in text)) / solid,
-        sum(bool(ENDING.search(x)) for x in lines) / len(lines),
-        common,
+        1 - (letters + sum(map(str.isdigit, text))) / solid,
+        sum(bool(ENDING.search(x.text)) for x in lines) / len(lines),
+        spoken,
         float(len(lines)),
         len(tokens) / len(lines),
         weight["prose"] / all_chars,
         weight["list"] / all_chars,
         weight["table"] / all_chars,
         weight["short"] / all_chars,
-        sum(map(numeric, tokens)) / len(tokens),
+        number,
         furniture,
-        sum(map(len, BROKEN.findall(text))) / solid,
-        sum(bool(INSIDE.search(t)) for t in tokens) / len(tokens),
+        0.0 if plain else sum(map(len, BROKEN.findall(text))) / solid,
+        inside,
         dump,
-        len(ODD.findall(text)) / solid,
+        odd / solid,
         float(max(map(len, tall), default=0)),
         len(set(tokens)) / len(tokens),
-        float(np.mean([len(x.split()) for x in items])),
+        sum(sizes) / max(1, len(sizes)),
         float(len(items)),
-        sum(bool(LABEL.match(x.strip())) and len(x.split()) <= 6 for x in items) / max(1, len(items)),
+        sum(n <= 6 and bool(LABEL.match(x.strip())) for n, x in zip(sizes, items)) / max(1, len(items)),
     ]
 
 
