@@ -20,7 +20,6 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -68,9 +67,9 @@ def neighbours(x: np.ndarray, group: np.ndarray, day: np.ndarray, steps: list[in
         seen.append(np.where(np.abs(d - day) <= edge, v, np.nan))
     if len(steps) == 1:
         return seen[0]
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")  # rows without neighbours
-        return np.nanmedian(np.vstack(seen), axis=0)
+    rows = np.sort(np.column_stack(seen), axis=1)  # nan goes last
+    n, i = len(steps) - np.isnan(rows).sum(axis=1), np.arange(len(rows))
+    return np.where(n > 0, (rows[i, np.maximum(n - 1, 0) // 2] + rows[i, np.minimum(n // 2, len(steps) - 1)]) / 2, np.nan)
 
 
 def levels(x: np.ndarray, group: np.ndarray, day: np.ndarray, start: int, width: int, side: int, edge: int) -> np.ndarray:
@@ -136,11 +135,11 @@ def inspect(chunk: pd.DataFrame, keys: list[str], fields: list[Field], activity:
     live = chunk[activity].to_numpy(dtype=float)
     out = []
 
-    def emit(rows: np.ndarray, name: str, kind: int, size: np.ndarray, bins: np.ndarray | None = None) -> None:
+    def emit(rows: np.ndarray, name: str, kind: int, size: np.ndarray | float, bins: list | None = None, counts: list | None = None) -> None:
         if len(rows):
             part = {k: chunk[k].to_numpy()[rows] for k in keys}
-            value = chunk[name].to_numpy(dtype=float)[rows] if bins is None else np.full(len(rows), np.nan)
-            out.append(pd.DataFrame(part | {"field": name, "context": context[rows], "kind": kind, "day": chunk["day"].to_numpy()[rows], "value": value, "size": size, "bin": 0 if bins is None else bins}))
+            value = chunk[name].to_numpy(dtype=float)[rows]
+            out.append(pd.DataFrame(part | {"field": name, "context": context[rows], "kind": kind, "day": chunk["day"].to_numpy()[rows], "value": value, "size": size, "bins": bins, "counts": counts}))
 
     for f in fields:
         raw = chunk[f.name].to_numpy(dtype=float)
@@ -177,14 +176,15 @@ def inspect(chunk: pd.DataFrame, keys: list[str], fields: list[Field], activity:
             moves = x - levels(x, g, d, 1, f.level, -1, edge)
             use = np.isfinite(moves) & core[at]
             if use.any():
-                sketch = pd.DataFrame({"g": g[use], "c": context[at[use]], "b": bins_of(moves[use]), "i": at[use]}).groupby(["g", "c", "b"], sort=False)["i"].agg(["min", "size"]).reset_index()
-                emit(sketch["min"].to_numpy(), f.name, 0, sketch["size"].to_numpy(dtype=float), sketch["b"].to_numpy())
+                sketch = pd.DataFrame({"g": g[use], "c": context[at[use]], "b": bins_of(moves[use]), "i": at[use]}).groupby(["g", "c", "b"])["i"].agg(["min", "size"]).reset_index()
+                turn = np.flatnonzero((np.diff(sketch["g"]) != 0) | (np.diff(sketch["c"]) != 0)) + 1
+                emit(sketch["min"].to_numpy()[np.r_[0, turn]], f.name, 0, 0.0, np.split(sketch["b"].to_numpy(), turn), np.split(sketch["size"].to_numpy(), turn))
         held = latest & np.isfinite(raw)
         at = np.flatnonzero(held)
         if len(at):
             still = stuck_rows(raw[at], live[at] > 0, group[at], stuck) & core[at]
-            emit(at[still], f.name, 2, np.zeros(still.sum()))
-    columns = [*keys, "field", "context", "kind", "day", "value", "size", "bin"]
+            emit(at[still], f.name, 2, 0.0)
+    columns = [*keys, "field", "context", "kind", "day", "value", "size", "bins", "counts"]
     return pd.concat(out)[columns] if out else pd.DataFrame(columns=columns)
 
 
@@ -193,7 +193,10 @@ def fence(chunk: pd.DataFrame, keys: list[str], fences: dict[str, float], least:
     group = chunk.groupby([*keys, "field", "context"], dropna=False, sort=False).ngroup().to_numpy()
     kind = chunk["kind"].to_numpy()
     n = group.max() + 1 if len(group) else 0
-    sketch = chunk.loc[kind == 0, ["bin", "size"]].assign(g=group[kind == 0]).groupby(["g", "bin"])["size"].sum().reset_index()
+    bins, counts = chunk["bins"].to_numpy()[kind == 0], chunk["counts"].to_numpy()[kind == 0]
+    sizes = list(map(len, bins))
+    flat = {"g": np.repeat(group[kind == 0], sizes), "bin": np.concatenate([*bins, []]).astype("int64"), "size": np.concatenate([*counts, []])}
+    sketch = pd.DataFrame(flat).groupby(["g", "bin"])["size"].sum().reset_index()
     g, count = sketch["g"].to_numpy(), sketch["size"].to_numpy()
     total = np.bincount(g, weights=count, minlength=n)
     running = np.cumsum(count) - np.r_[0, np.cumsum(total)][g]
@@ -229,7 +232,7 @@ def find_spikes(
     blocks = F.sequence(F.floor((F.col("day") - edge_days) / block_days), F.floor((F.col("day") + edge_days) / block_days))
     placed = collapsed.withColumn("block", F.explode(blocks)).withColumn("core", F.col("block") == own)
     types = dict(bars.dtypes)
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", field string, context int, kind int, day int, value double, size double, bin long"
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", field string, context int, kind int, day int, value double, size double, bins array<int>, counts array<int>"
     first = map_sorted_groups(placed, [*keys, "block"], ["day", "stamp", *names], lambda c: inspect(c, keys, fields, activity, edge_days, stuck), schema)
     fences = {f.name: f.fence for f in fields}
     kept = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", field string, day int, value double"
