@@ -1,6 +1,8 @@
 """Implausible spikes in measurements, judged against each source's own moves.
 
-Pass 1 runs over (source, block of days) shards with replicated edges. For each field it
+Bars are first reduced to one row per source and day (combined before the shuffle), so a
+day with very many copies or versions is one row. Pass 1 runs over (source, block of
+days) shards of these with replicated edges. For each field it
 measures how far a reading leaves the level on both sides of an excursion of at most
 three readings, finds runs of equal readings (zero variance), and sketches the source's
 usual relative moves: a mergeable quantile sketch with logarithmic bins per context
@@ -24,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.grouped import map_sorted_groups
@@ -125,71 +127,53 @@ def value_of(bins: np.ndarray) -> np.ndarray:
     return np.sign(bins) * SKETCH_LEAST * SKETCH_GAIN ** (np.abs(bins) - 0.5) * (bins != 0)
 
 
-def inspect(chunk: pd.DataFrame, keys: list[str], fields: list[Field], activity: str, edge: int, stuck: int) -> pd.DataFrame:
-    """Pass 1 over whole (source, block) groups sorted by day and stamp."""
+def inspect(chunk: pd.DataFrame, keys: list[str], fields: list[Field], edge: int, stuck: int) -> pd.DataFrame:
+    """Pass 1 over whole (source, block) groups, one row per day: sketches (kind 0), excursions (1), stuck
+    readings (2), and the levels around each day that has other readings than the one that stands for it (3)."""
     group = chunk.groupby([*keys, "block"], dropna=False, sort=False).ngroup().to_numpy()
     day = chunk["day"].to_numpy().astype(float)
-    core = chunk["core"].to_numpy()
-    context = chunk["context"].to_numpy()
-    latest = np.r_[(group[1:] != group[:-1]) | (day[1:] != day[:-1]), True] if len(chunk) else np.array([], dtype=bool)
-    live = chunk[activity].to_numpy(dtype=float)
+    core, context = chunk["core"].to_numpy(), chunk["context"].to_numpy()
+    live = chunk["live"].to_numpy(dtype=float) > 0
     out = []
 
-    def emit(rows: np.ndarray, name: str, kind: int, size: np.ndarray | float, bins: list | None = None, counts: list | None = None) -> None:
+    def emit(rows: np.ndarray, name: str, kind: int, value: np.ndarray | float, size: np.ndarray | float = 0.0, **more) -> None:
         if len(rows):
             part = {k: chunk[k].to_numpy()[rows] for k in keys}
-            value = chunk[name].to_numpy(dtype=float)[rows]
-            out.append(pd.DataFrame(part | {"field": name, "context": context[rows], "kind": kind, "day": chunk["day"].to_numpy()[rows], "value": value, "size": size, "bins": bins, "counts": counts}))
-
-    for f in fields:
-        raw = chunk[f.name].to_numpy(dtype=float)
-        good = np.isfinite(raw) & (raw > 0)
-        rep = latest & good
-        # the day's reading is its latest usable one
-        if (good & ~latest).any():
-            order = np.where(good, np.arange(len(raw)), -1)
-            last = pd.Series(order).groupby([pd.Series(group), pd.Series(day)], sort=False).transform("max").to_numpy()
-            rep = good & (last == np.arange(len(raw)))
-        at = np.flatnonzero(rep)
-        x, g, d = np.log(raw[at]), group[at], day[at]
-        size = excursions(x, g, d, f, edge)
-        hit = (size > np.log(f.factor)) & (size > SKETCH_LEAST) & core[at]
-        emit(at[hit], f.name, 1, size[hit])
-        # other readings of a day stand in for its latest one
-        other = np.flatnonzero(good & ~rep & core)
-        if len(other):
-            place = pd.Series(np.arange(len(at)), index=pd.MultiIndex.from_arrays([g, d]))
-            mine = place.reindex(pd.MultiIndex.from_arrays([group[other], day[other]])).to_numpy().astype(int)
-            v, around = np.log(raw[other]), surroundings(x, g, d, edge)
-            # next to an excursion the level is a median, next to a lasting move the nearest readings
-            alone = np.zeros(len(other))
-            for width in (f.level, max(f.level, 5)):
-                pre, post = levels(x, g, d, 1, width, -1, edge)[mine], levels(x, g, d, 1, width, 1, edge)[mine]
-                up, down = v - pre, v - post
-                far = np.where(up * down > 0, np.minimum(np.abs(up), np.abs(down)), 0.0)
-                out_there = (v - around[mine]) * np.sign(up) > 0.5 * far
-                alone = np.maximum(alone, np.where((np.abs(post - pre) < 0.5 * far) & out_there, far, 0.0))
-            alone = np.where(raw[other] == raw[at[mine]], size[mine], alone)
-            seen = (alone > np.log(f.factor)) & (alone > SKETCH_LEAST)
-            emit(other[seen], f.name, 1, alone[seen])
+            out.append(pd.DataFrame(part | {"field": name, "context": context[rows], "kind": kind, "day": chunk["day"].to_numpy()[rows], "value": value, "size": size, "bins": None, "counts": None, "levels": None} | more))
+
+    for i, f in enumerate(fields):
+        usable, raw = chunk[f"usable_{i}"].to_numpy(dtype=float), chunk[f"latest_{i}"].to_numpy(dtype=float)
+        at = np.flatnonzero(np.isfinite(usable))
         if len(at):
-            moves = x - levels(x, g, d, 1, f.level, -1, edge)
-            use = np.isfinite(moves) & core[at]
+            x, g, d = np.log(usable[at]), group[at], day[at]
+            mine = core[at]
+            size = excursions(x, g, d, f, edge)
+            hit = (size > max(np.log(f.factor), SKETCH_LEAST)) & mine
+            emit(at[hit], f.name, 1, usable[at[hit]], size[hit])
+            before = levels(x, g, d, 1, f.level, -1, edge)
+            other = chunk[f"other_{i}"].to_numpy()[at].astype(bool) & mine
+            if other.any():
+                # next to an excursion the level is a median, next to a lasting move the nearest readings
+                wide = max(f.level, 5)
+                sides = [before, levels(x, g, d, 1, f.level, 1, edge), levels(x, g, d, 1, wide, -1, edge), levels(x, g, d, 1, wide, 1, edge), surroundings(x, g, d, edge)]
+                emit(at[other], f.name, 3, usable[at[other]], levels=list(np.column_stack(sides)[other]))
+            moves = x - before
+            use = np.isfinite(moves) & mine
             if use.any():
                 sketch = pd.DataFrame({"g": g[use], "c": context[at[use]], "b": bins_of(moves[use]), "i": at[use]}).groupby(["g", "c", "b"])["i"].agg(["min", "size"]).reset_index()
                 turn = np.flatnonzero((np.diff(sketch["g"]) != 0) | (np.diff(sketch["c"]) != 0)) + 1
-                emit(sketch["min"].to_numpy()[np.r_[0, turn]], f.name, 0, 0.0, np.split(sketch["b"].to_numpy(), turn), np.split(sketch["size"].to_numpy(), turn))
-        held = latest & np.isfinite(raw)
-        at = np.flatnonzero(held)
-        if len(at):
-            still = stuck_rows(raw[at], live[at] > 0, group[at], stuck) & core[at]
-            emit(at[still], f.name, 2, 0.0)
-    columns = [*keys, "field", "context", "kind", "day", "value", "size", "bins", "counts"]
+                first = sketch["min"].to_numpy()[np.r_[0, turn]]
+                emit(first, f.name, 0, np.nan, bins=np.split(sketch["b"].to_numpy(), turn), counts=np.split(sketch["size"].to_numpy(), turn))
+        held = np.flatnonzero(np.isfinite(raw))
+        if len(held):
+            still = held[stuck_rows(raw[held], live[held], group[held], stuck) & core[held]]
+            emit(still, f.name, 2, raw[still])
+    columns = [*keys, "field", "context", "kind", "day", "value", "size", "bins", "counts", "levels"]
     return pd.concat(out)[columns] if out else pd.DataFrame(columns=columns)
 
 
-def fence(chunk: pd.DataFrame, keys: list[str], fences: dict[str, float], least: int) -> pd.DataFrame:
-    """Pass 2 over whole (source, field, context) groups: merges the sketches, then holds excursions against the fence."""
+def fence(chunk: pd.DataFrame, keys: list[str], fences: dict[str, tuple[float, float]], least: int) -> pd.DataFrame:
+    """Pass 2 over whole (source, field, context) groups: merges the sketches, keeps excursions beyond the fence and gives days with other readings their bound."""
     group = chunk.groupby([*keys, "field", "context"], dropna=False, sort=False).ngroup().to_numpy()
     kind = chunk["kind"].to_numpy()
     n = group.max() + 1 if len(group) else 0
@@ -208,10 +192,24 @@ def fence(chunk: pd.DataFrame, keys: list[str], fences: dict[str, float], least:
         quartile[q] = np.full(n, np.nan)
         quartile[q][g[first]] = centre[first]
     sigma = (quartile[0.75] - quartile[0.25]) / 1.349
-    wide = chunk["field"].map(fences).to_numpy(dtype=float)
-    far = (kind == 1) & (total[group] >= least) & (sigma[group] > 0) & (chunk["size"].to_numpy() > wide * sigma[group]) if n else np.array([], dtype=bool)
-    kept = chunk.loc[far | (kind == 2), [*keys, "field", "day", "value"]]
-    return kept.drop_duplicates()
+    bound = np.maximum(chunk["field"].map({k: v[0] for k, v in fences.items()}).to_numpy(dtype=float) * sigma[group], chunk["field"].map({k: v[1] for k, v in fences.items()}).to_numpy(dtype=float)) if n else sigma
+    fenced = (total[group] >= least) & (sigma[group] > 0) if n else np.array([], dtype=bool)
+    kept = (kind == 2) | (fenced & (kind == 1) & (chunk["size"].to_numpy(dtype=float) > bound)) | (fenced & (kind == 3))
+    return chunk.assign(bound=bound).loc[kept, [*keys, "field", "kind", "day", "value", "levels", "bound"]]
+
+
+def out_of_place(value: Column, levels: Column, bound: Column) -> Column:
+    """Whether a reading in the place of a day's usual one would be an excursion of its own."""
+    x = F.ln(F.when(value > 0, value))
+    level = lambda i: F.nanvl(F.get(levels, F.lit(i)), F.lit(None).cast("double"))
+    around = level(4)
+
+    def beyond(pre: Column, post: Column) -> Column:
+        up, down = x - pre, x - post
+        far = F.least(F.abs(up), F.abs(down))
+        return (up * down > 0) & (far > bound) & (F.abs(post - pre) < 0.5 * far) & ((x - around) * F.signum(up) > 0.5 * far)
+
+    return F.coalesce(beyond(level(0), level(1)), F.lit(False)) | F.coalesce(beyond(level(2), level(3)), F.lit(False))
 
 
 def find_spikes(
@@ -224,23 +222,34 @@ def find_spikes(
     one bucket for dates). ``edge_days`` reaches further than any excursion or run it takes to judge a row.
     """
     names = [f.name for f in fields]
+    types = dict(bars.dtypes)
     if context is None:
-        context = F.hour(day) if dict(bars.dtypes)[day] == "timestamp" else F.lit(0)
-    usable = bars.dropna(subset=[day, *keys])
-    collapsed = usable.groupBy(*keys, F.unix_date(F.to_date(day)).alias("day"), context.cast("int").alias("context"), *names).agg(F.max(stamp).alias("stamp"))
-    own = F.floor(F.col("day") / block_days)
+        context = F.hour(day) if types[day] == "timestamp" else F.lit(0)
+    # one row per source and day, reduced before the shuffle: the latest bar, the latest usable reading of each field, whether it has others
+    latest = F.max(F.struct(F.col(stamp).alias("stamp"), *[F.col(n).alias(f"v{i}") for i, n in enumerate(names)], F.col(activity).alias("live"), context.cast("int").alias("context"))).alias("latest")
+    usable = [F.when(F.col(n) > 0, F.col(n)) for n in names]
+    measures = [m for i, u in enumerate(usable) for m in (F.max(F.when(u.isNotNull(), F.struct(F.col(stamp).alias("stamp"), u.alias("v")))).alias(f"u{i}"), (F.min(u) != F.max(u)).alias(f"other_{i}"))]
+    daily = bars.dropna(subset=[day, *keys]).groupBy(*keys, F.unix_date(F.to_date(day)).alias("day")).agg(latest, *measures)
+    daily = daily.select(*keys, "day", "latest.live", "latest.context", *[c for i in range(len(names)) for c in (F.col(f"latest.v{i}").alias(f"latest_{i}"), F.col(f"u{i}.v").alias(f"usable_{i}"), F.coalesce(f"other_{i}", F.lit(False)).alias(f"other_{i}"))])
     blocks = F.sequence(F.floor((F.col("day") - edge_days) / block_days), F.floor((F.col("day") + edge_days) / block_days))
-    placed = collapsed.withColumn("block", F.explode(blocks)).withColumn("core", F.col("block") == own)
-    types = dict(bars.dtypes)
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", field string, context int, kind int, day int, value double, size double, bins array<int>, counts array<int>"
-    first = map_sorted_groups(placed, [*keys, "block"], ["day", "stamp", *names], lambda c: inspect(c, keys, fields, activity, edge_days, stuck), schema)
-    fences = {f.name: f.fence for f in fields}
-    kept = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", field string, day int, value double"
-    flagged = map_sorted_groups(first, [*keys, "field", "context"], ["kind"], lambda c: fence(c, keys, fences, least), kept)
-    wide = flagged.groupBy(*keys, "day").agg(*[F.collect_set(F.when(F.col("field") == n, F.col("value"))).alias(f"bad_{n}") for n in names])
-    sides = bars.select(*keys, row_id, F.unix_date(F.to_date(day)).alias("day"), *names).alias("b")
-    match = [F.col(f"b.{k}").eqNullSafe(F.col(f"w.{k}")) for k in [*keys, "day"]]
-    met = sides.join(wide.alias("w"), match, "left")
-    bad = lambda f: (F.col(f"b.{f.name}") < 0) | ((F.col(f"b.{f.name}") == 0) if not f.zero_ok else F.lit(False)) | F.array_contains(f"bad_{f.name}", F.col(f"b.{f.name}"))
-    cases = F.array_compact(F.array(*[F.when(bad(f), F.lit(f.name)) for f in fields]))
+    placed = daily.withColumn("block", F.explode(blocks)).withColumn("core", F.col("block") == F.floor(F.col("day") / block_days))
+    heads = ", ".join(f"`{k}` {types[k]}" for k in keys)
+    schema = heads + ", field string, context int, kind int, day int, value double, size double, bins array<int>, counts array<int>, levels array<double>"
+    first = map_sorted_groups(placed, [*keys, "block"], ["day"], lambda c: inspect(c, keys, fields, edge_days, stuck), schema)
+    fences = {f.name: (f.fence, max(float(np.log(f.factor)), SKETCH_LEAST)) for f in fields}
+    schema = heads + ", field string, kind int, day int, value double, levels array<double>, bound double"
+    flagged = map_sorted_groups(first, [*keys, "field", "context"], ["kind"], lambda c: fence(c, keys, fences, least), schema)
+    pick = lambda n, c, *kinds: F.when((F.col("field") == n) & F.col("kind").isin(*kinds), F.col(c))
+    parts = [p for i, n in enumerate(names) for p in (F.collect_set(pick(n, "value", 1, 2)).alias(f"bad_{i}"), F.max(pick(n, "value", 3)).alias(f"stands_{i}"), F.max(pick(n, "levels", 3)).alias(f"levels_{i}"), F.max(pick(n, "bound", 3)).alias(f"bound_{i}"))]
+    wide = flagged.groupBy(*keys, "day").agg(*parts).alias("w")
+    sides = bars.select(*keys, row_id, F.unix_date(F.to_date(day)).alias("day"), *[F.col(n).alias(f"v{i}") for i, n in enumerate(names)]).alias("b")
+    met = sides.join(wide, [F.col(f"b.{k}") == F.col(f"w.{k}") for k in [*keys, "day"]], "left")
+
+    def wrong(i: int, f: Field) -> Column:
+        v = F.col(f"v{i}")
+        impossible = v < 0 if f.zero_ok else v <= 0
+        other = (v != F.col(f"stands_{i}")) & out_of_place(v, F.col(f"levels_{i}"), F.col(f"bound_{i}"))
+        return F.coalesce(impossible, F.lit(False)) | F.coalesce(F.array_contains(f"bad_{i}", v), F.lit(False)) | F.coalesce(other, F.lit(False))
+
+    cases = F.array_compact(F.array(*[F.when(wrong(i, f), F.lit(f.name)) for i, f in enumerate(fields)]))
     return met.select(F.col(f"b.{row_id}").alias(row_id), F.explode(cases).alias("field_name"))
