@@ -151,7 +151,7 @@ def inspect(chunk: pd.DataFrame, keys: list[str], fields: list[Field], edge: int
             hit = (size > max(np.log(f.factor), SKETCH_LEAST)) & mine
             emit(at[hit], f.name, 1, usable[at[hit]], size[hit])
             before = levels(x, g, d, 1, f.level, -1, edge)
-            other = chunk[f"other_{i}"].to_numpy()[at].astype(bool) & mine
+            other = chunk["other"].to_numpy()[at] & mine
             if other.any():
                 # next to an excursion the level is a median, next to a lasting move the nearest readings
                 wide = max(f.level, 5)
@@ -223,14 +223,17 @@ def find_spikes(
     """
     names = [f.name for f in fields]
     types = dict(bars.dtypes)
-    if context is None:
-        context = F.hour(day) if types[day] == "timestamp" else F.lit(0)
-    # one row per source and day, reduced before the shuffle: the latest bar, the latest usable reading of each field, whether it has others
-    latest = F.max(F.struct(F.col(stamp).alias("stamp"), *[F.col(n).alias(f"v{i}") for i, n in enumerate(names)], F.col(activity).alias("live"), context.cast("int").alias("context"))).alias("latest")
-    usable = [F.when(F.col(n) > 0, F.col(n)) for n in names]
-    measures = [m for i, u in enumerate(usable) for m in (F.max(F.when(u.isNotNull(), F.struct(F.col(stamp).alias("stamp"), u.alias("v")))).alias(f"u{i}"), (F.min(u) != F.max(u)).alias(f"other_{i}"))]
-    daily = bars.dropna(subset=[day, *keys]).groupBy(*keys, F.unix_date(F.to_date(day)).alias("day")).agg(latest, *measures)
-    daily = daily.select(*keys, "day", "latest.live", "latest.context", *[c for i in range(len(names)) for c in (F.col(f"latest.v{i}").alias(f"latest_{i}"), F.col(f"u{i}.v").alias(f"usable_{i}"), F.coalesce(f"other_{i}", F.lit(False)).alias(f"other_{i}"))])
+    if context is None and types[day] == "timestamp":
+        context = F.hour(day)
+    # one row per source and day, reduced before the shuffle: the latest bar, the latest usable reading of each field, the number of bars
+    extra = {} if activity in names else {"live": F.col(activity)}
+    extra |= {} if context is None else {"context": context.cast("int")}
+    latest = F.max(F.struct(F.col(stamp).alias("stamp"), *[F.col(n).alias(f"v{i}") for i, n in enumerate(names)], *[c.alias(n) for n, c in extra.items()])).alias("latest")
+    usable = [F.max(F.when(F.col(n) > 0, F.struct(F.col(stamp).alias("stamp"), F.col(n).alias("v")))).alias(f"u{i}") for i, n in enumerate(names)]
+    daily = bars.dropna(subset=[day, *keys]).groupBy(*keys, F.unix_date(F.to_date(day)).alias("day")).agg(latest, *usable, F.count(F.lit(1)).alias("n"))
+    live = F.col("latest.live" if "live" in extra else f"latest.v{names.index(activity)}").alias("live")
+    values = [c for i in range(len(names)) for c in (F.col(f"latest.v{i}").alias(f"latest_{i}"), F.col(f"u{i}.v").alias(f"usable_{i}"))]
+    daily = daily.select(*keys, "day", live, (F.col("latest.context") if context is not None else F.lit(0)).alias("context"), (F.col("n") > 1).alias("other"), *values)
     blocks = F.sequence(F.floor((F.col("day") - edge_days) / block_days), F.floor((F.col("day") + edge_days) / block_days))
     placed = daily.withColumn("block", F.explode(blocks)).withColumn("core", F.col("block") == F.floor(F.col("day") / block_days))
     heads = ", ".join(f"`{k}` {types[k]}" for k in keys)
