@@ -154,9 +154,10 @@ def find_orphans(parents: list[Parents], references: list[References], unit_rows
     for kind, c, n in left.select("kind", "h").unionByName(right.select("kind", "h")).groupBy("kind", cell.alias("cell")).count().collect():
         counts[kind, c] = n
     first, salts, units = cut_ranges(counts[0], counts[1], unit_rows)
-    at = lambda values: F.get(F.lit(values), cell)
-    right = right.withColumn("unit", at(first) + F.pmod(F.xxhash64("row_id", "arrived"), at(salts)).cast("int"))
-    left = left.withColumn("unit", F.explode(F.sequence(at(first), at(first) + at(salts) - 1)))
+    # as text, since a literal list goes to the JVM one element at a time
+    unit, n_salts = (F.get(F.expr(f"array({','.join(map(str, values))})"), cell) for values in (first, salts))
+    right = right.withColumn("unit", unit + F.pmod(F.xxhash64("row_id", "arrived"), n_salts).cast("int"))
+    left = left.withColumn("unit", F.explode(F.sequence(unit, unit + n_salts - 1)))
     both = left.unionByName(right, allowMissingColumns=True)
     ordered = both.repartitionById(max(1, units), F.col("unit")).sortWithinPartitions("unit", "kind", "h")
     return ordered.select("unit", "kind", "h", "key", "live", "arrived", "table_name", "row_id", "ref_month").mapInArrow(probe, MISS)
