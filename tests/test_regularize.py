@@ -48,6 +48,17 @@ def test_imputation_beats_straight_lines_on_waves():
     assert np.allclose(filled[~gap], true[~gap])
 
 
+def test_long_gaps_are_filled_until_they_settle(spark):
+    true = 50 + 5 * np.sin(np.arange(160) / 3)
+    gap = np.zeros(160, dtype=bool)
+    gap[60:80] = True
+    df = spark.createDataFrame([("a", i, float(true[i]), i) for i in range(160) if not gap[i]], "s string, slot int, v double, stamp int")
+    got = np.array([r.v for r in regularize(df, ["s"], "slot", "v", ["stamp"]).orderBy("slot").collect()])
+    assert np.abs(got - true)[gap].mean() < 0.3 and np.allclose(got[~gap], true[~gap])
+    settled = {rounds: {r.settled for r in regularize(df, ["s"], "slot", "v", ["stamp"], rounds=rounds, flag="settled").collect()} for rounds in (10, 5000)}
+    assert settled == {10: {False}, 5000: {True}}
+
+
 def test_closed_days_belong_to_the_last_session(spark):
     sessions = spark.createDataFrame([("2024-01-04", 0), ("2024-01-05", 1), ("2024-01-08", 2)], "d string, ord int").select(F.to_date("d").alias("session_date"), "ord")
     df = spark.createDataFrame([("2024-01-03",), ("2024-01-05",), ("2024-01-07",), ("2024-01-08",), ("2024-02-01",), (None,)], "d string").withColumn("d", F.to_date("d"))

@@ -4,7 +4,9 @@ Readings are collapsed to one per source and slot, cut into buckets of ``bucket`
 (so a long source is many independent pieces of work), and each bucket is filled up to
 the next bucket's first reading. A segment with gaps starts from straight lines across
 them; then its Hankel trajectory matrix is truncated to the leading singular vectors and
-the missing entries are replaced by the reconstruction until they settle.
+the missing entries are replaced by the reconstruction until they settle: until no entry
+moves by more than ``tolerance`` of the segment's range. ``rounds`` only guards against a
+segment that never does; asked for with ``flag``, such a segment's rows are marked.
 
 Defined cases: a null value is no reading; of several readings of one slot the latest
 (stamp, then id) counts; a source with one reading has no gaps; a segment shorter than
@@ -29,10 +31,15 @@ CONTEXT = 48
 
 def ssa_fill(values: np.ndarray, missing: np.ndarray, window: int, rank: int, rounds: int, tolerance: float) -> np.ndarray:
     """``values`` with its ``missing`` entries (already some first guess) replaced by the low-rank reconstruction."""
+    return ssa_settle(values, missing, window, rank, rounds, tolerance)[0]
+
+
+def ssa_settle(values: np.ndarray, missing: np.ndarray, window: int, rank: int, rounds: int, tolerance: float) -> tuple[np.ndarray, bool]:
+    """As ``ssa_fill``, and whether the entries settled within ``rounds``."""
     n = len(values)
     window = min(window, n // 2)
     if window < 2 or not missing.any():
-        return values
+        return values, True
     centre = values[~missing].mean()
     x = values - centre
     scale = np.abs(x).max() or 1.0
@@ -46,16 +53,18 @@ def ssa_fill(values: np.ndarray, missing: np.ndarray, window: int, rank: int, ro
         change = np.abs(smooth[missing] - x[missing]).max()
         x[missing] = smooth[missing]
         if change <= tolerance * scale:
-            break
-    return x + centre
+            return x + centre, True
+    return x + centre, False
 
 
 def fill_segments(keys: list[str], schema: T.StructType, window: int, rank: int, rounds: int, tolerance: float):
+    """A column of ``schema`` after the keys, slot, value and filled says whether the row's segment settled."""
     arrow = to_arrow_schema(schema)
+    flagged = len(schema) > len(keys) + 3
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(k, 512) for whole in batches for k in range(0, whole.num_rows, 512)):
-            rows, slots, values, filled = [], [], [], []
+            rows, slots, values, filled, settled = [], [], [], [], []
             points = batch.column("points")
             ahead, behind = batch.column("ahead"), batch.column("behind")
             own = list_pairs(points), list_pairs(behind), list_pairs(ahead)
@@ -69,16 +78,20 @@ def fill_segments(keys: list[str], schema: T.StructType, window: int, rank: int,
                 gap[ords - first] = False
                 full = np.interp(grid, ords, vals)
                 mine = slice(at[0] - first, end - first)
+                done = True
                 if gap[mine].any():
-                    full = ssa_fill(full, gap, window, rank, rounds, tolerance)
+                    full, done = ssa_settle(full, gap, window, rank, rounds, tolerance)
                 rows.append(np.full(end - at[0], i))
                 slots.append(grid[mine])
                 values.append(full[mine])
                 filled.append(gap[mine])
+                settled.append(np.full(end - at[0], done))
             if rows:
                 index = pa.array(np.concatenate(rows))
                 columns = [batch.column(k).take(index) for k in keys]
                 columns += [pa.array(np.concatenate(slots), pa.int32()), pa.array(np.concatenate(values)), pa.array(np.concatenate(filled))]
+                if flagged:
+                    columns.append(pa.array(np.concatenate(settled)))
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return run
@@ -100,11 +113,11 @@ def latest_reading(df: DataFrame, keys: list[str], slot: str, values: list[str],
 
 
 def regularize(
-    readings: DataFrame, keys: list[str], slot: str, value: str, rank: list[str], window: int = 16, components: int = 3, bucket: int = 512, rounds: int = 10, tolerance: float = 1e-3
+    readings: DataFrame, keys: list[str], slot: str, value: str, rank: list[str], window: int = 16, components: int = 3, bucket: int = 512, rounds: int = 5000, tolerance: float = 1e-3, flag: str | None = None
 ) -> DataFrame:
     """One row per source and slot between its first and last reading: ``keys``, slot, value, filled.
 
-    ``slot`` is the integer position on the grid.
+    ``slot`` is the integer position on the grid. ``flag`` names a further column: false in the segments that ``rounds`` stopped.
     """
     real = readings.where(F.col(value).isNotNull() & F.col(slot).isNotNull())
     points = latest_reading(real, keys, slot, [value], rank).withColumn("bucket", F.floor(F.col(slot) / bucket))
@@ -115,6 +128,8 @@ def regularize(
     placed = buckets.withColumns({"behind": F.lag(tail).over(order), "ahead": F.lead(head).over(order)})
     types = dict((f.name, f.dataType) for f in readings.schema.fields)
     schema = T.StructType([T.StructField(k, types[k]) for k in keys] + [T.StructField(slot, T.IntegerType()), T.StructField(value, T.DoubleType()), T.StructField("filled", T.BooleanType())])
+    if flag:
+        schema.add(flag, T.BooleanType())
     return placed.select(*keys, "points", "behind", "ahead").mapInArrow(fill_segments(keys, schema, window, components, rounds, tolerance), schema)
 
 

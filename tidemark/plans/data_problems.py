@@ -77,8 +77,8 @@ def p6_grid(spark: SparkSession, folder: str) -> DataFrame:
     bars = table(spark, folder, "prices", "security_id", "contributor", "date", "close", "ingested_at", "bar_id").withColumn("security_id", norm_key("security_id"))
     placed = session_of(bars.where("security_id is not null and close is not null"), "date", sessions, "ord")
     # a bar dated on the session itself goes before one moved to it from a closed day
-    grid = regularize(placed, SERIES, "ord", "close", ["date", "ingested_at", "bar_id"])
-    return grid.join(F.broadcast(sessions), "ord").select(*SERIES, F.date_format("session_date", "yyyy-MM-dd").alias("session_date"), "close", "filled")
+    grid = regularize(placed, SERIES, "ord", "close", ["date", "ingested_at", "bar_id"], flag="settled")
+    return grid.join(F.broadcast(sessions), "ord").select(*SERIES, F.date_format("session_date", "yyyy-MM-dd").alias("session_date"), "close", "filled", "settled")
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
