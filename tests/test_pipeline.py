@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidemark.cli import main, parser
 from tidemark.config import load_config
 from tidemark.operators import models
+from tidemark.plans import reference
 from tidemark.plans.pipeline import Study, render
 from tidemark.sources.io import PROVIDERS, fetch, file_hash, read_cases, read_table, row_hash, write_table
 
@@ -77,6 +78,26 @@ def test_trees_recover_the_signal(study):
     assert not failed and got.select(F.corr("prediction", "actual")).first()[0] > 0.4
 
 
+def sizes(trained):
+    made = {m.name: m.make(None) for m in trained if m.name != "elastic_net"}
+    return made["random_forest"].getNumTrees() if "random_forest" in made else None, made["boosted_trees"].getMaxIter() if "boosted_trees" in made else None
+
+
+def test_queries_and_study_train_the_full_models(spark, study, monkeypatch):
+    used = []
+    monkeypatch.setattr(reference, "modelled", lambda spark, folder, model: used.append(model) or spark.range(1))
+    for name in ("model_random_forest", "model_boosted_trees"):
+        reference.QUERIES[name](spark, "")
+    assert sizes(used) == (200, 300)
+    seen = []
+    monkeypatch.setattr(study, "predict", lambda members, trained, columns=None: seen.append((members, trained)) or (_ for _ in ()).throw(InterruptedError))
+    with pytest.raises(InterruptedError):
+        study.train()
+    members, trained = seen[0]
+    assert len(trained) == 4 and sizes(trained) == (200, 300)
+    assert len(models.NUMERIC) == 16 and set(models.NUMERIC) <= set(members.columns)
+
+
 def test_no_shuffling_splitters_in_the_library():
     root = os.path.dirname(os.path.dirname(models.__file__))
     for folder, _, names in os.walk(root):

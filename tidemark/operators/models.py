@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 #: Columns of the design matrix (fixed values: the names of this engine's features).
 NUMERIC = [
     "eps_surprise", "eps_surprise_pct", "rev_surprise_pct", "sue", "beat", "beat_streak", "prev_surprise_pct", "mom_1m", "mom_3m", "mom_6m",
-    "dist_high", "rv_3m", "downside_vol_3m", "volume_surprise", "short_term_reversal",
+    "dist_high", "rv_3m", "downside_vol_3m", "volume_surprise", "short_term_reversal", "market_cap_at_event",
 ]
 
 

@@ -104,7 +104,7 @@ class Study:
         return got, failed
 
     def train(self, target: str = "reaction_car", trained: list[models.Trained] | None = None) -> list[dict]:
-        got, failed = self.predict(self.members(target), models.standard_models(60, 40) if trained is None else trained)
+        got, failed = self.predict(self.members(target), models.standard_models() if trained is None else trained)
         self.store(f"predictions_{target}", got)
         stored = self.table(f"predictions_{target}")
         pooled = evaluation.pooled_metrics(stored).join(evaluation.block_bootstrap(stored, ["model"], ["fold", "event_id"]), "model", "left")

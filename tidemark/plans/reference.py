@@ -504,7 +504,7 @@ def modelled(spark: SparkSession, folder: str, model: models.Trained) -> DataFra
     return models.walk_forward(wanted, "rev_surprise_pct", [model], [c for c in models.NUMERIC if c != "rev_surprise_pct"])[0]
 
 
-for _model in models.standard_models(trees=40, rounds=20):
+for _model in models.standard_models():
     register(f"model_{_model.name}")(lambda spark, folder, m=_model: modelled(spark, folder, m))
 
 
