@@ -98,6 +98,24 @@ def test_queries_and_study_train_the_full_models(spark, study, monkeypatch):
     assert len(models.NUMERIC) == 16 and set(models.NUMERIC) <= set(members.columns)
 
 
+def test_ablation_runs_all_models_over_all_groups(study, monkeypatch):
+    runs, schema, table = [], "model string, fold string, event_id string, prediction double, actual double", study.table
+
+    def predict(rows, trained, columns=None):
+        runs.append((rows, [m.name for m in trained]))
+        return study.spark.createDataFrame([], schema), []
+
+    monkeypatch.setattr(study, "predict", predict)
+    monkeypatch.setattr(study, "table", lambda name: study.spark.createDataFrame([], schema) if name.startswith("predictions_") else table(name))
+    os.makedirs(study.path("metrics"), exist_ok=True)
+    report = study.ablate()
+    assert set(report) == {"surprise_only", "market_only", "no_sector", "no_momentum", "no_valuation", "exclude_2020", "large_cap", "mid_cap", "small_cap", "decay"}
+    assert [names for _, names in runs] == [["linear", "elastic_net", "random_forest", "boosted_trees"]] * 9
+    by = {name: rows for name, (rows, _) in zip(report, runs)}
+    assert not {"market_cap_at_event", "dist_high"} & set(by["no_valuation"].columns)
+    assert by["no_sector"].where("sector is not null").isEmpty()
+
+
 def test_no_shuffling_splitters_in_the_library():
     root = os.path.dirname(os.path.dirname(models.__file__))
     for folder, _, names in os.walk(root):

@@ -123,13 +123,15 @@ class Study:
     def ablate(self, target: str = "reaction_car", trained: list[models.Trained] | None = None) -> dict:
         every = self.members(target)
         runs = {name: (models.feature_subset(every, keep, ALWAYS), keep) for name, keep in GROUPS.items()}
+        runs["no_sector"] = (every.withColumn("sector", F.lit(None).cast("string")), None)
         runs["no_momentum"] = (every.drop("mom_1m", "mom_3m", "mom_6m"), None)
+        runs["no_valuation"] = (every.drop("market_cap_at_event", "dist_high"), None)
         runs["exclude_2020"] = (every.where(F.year("effective_date") != 2020), None)
         for cap in ("large_cap", "mid_cap", "small_cap"):
             runs[cap] = (every.where(F.col("cap_bucket") == cap), None)
         report = {}
         for name, (rows, columns) in runs.items():
-            got, _ = self.predict(rows, models.standard_models()[:1] if trained is None else trained, columns)
+            got, _ = self.predict(rows, models.standard_models() if trained is None else trained, columns)
             report[name] = {r["model"]: r["pearson"] for r in evaluation.group_metrics(got, ["model"]).collect()}
         metrics = evaluation.group_metrics(self.table(f"predictions_{target}"), ["model", "fold"])
         report["decay"] = [r.asDict() for r in evaluation.decay_of_best(metrics).orderBy("fold").collect()]
