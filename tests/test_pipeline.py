@@ -134,6 +134,10 @@ def test_config():
             load_config(**bad)
 
 
+def test_default_universe_is_the_whole_study():
+    assert load_config().base["stocks"] == 100
+
+
 def test_config_files(tmp_path):
     (tmp_path / "base.yaml").write_text("seed: 7\n")
     assert load_config(str(tmp_path)).base["seed"] == 7
