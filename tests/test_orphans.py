@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators.orphans import Parents, References, cut_ranges, find_orphans, orphan_report
+from tidemark.operators.orphans import Parents, References, cut_ranges, find_orphans, orphan_report, place
 
 PARENT = "k string, arrived timestamp, deleted timestamp, row_id string"
 CHILD = "id long, k string, stamp timestamp, loaded timestamp, kind int"
@@ -49,12 +49,23 @@ def test_hot_key_is_salted_without_changing_the_result(spark, unit_rows):
     assert run(*frames(spark, parents, children), unit_rows=unit_rows) == want
 
 
-def test_ranges_cover_all_cells_and_salt_only_hot_ones():
-    refs = np.array([5, 5, 100, 1, 0, 0])
-    first, salts, units = cut_ranges(np.ones(6, dtype=int), refs, 10)
-    assert salts == [1, 1, 10, 1, 1, 1]
-    assert first == [0, 1, 2, 12, 12, 12]
-    assert units == 13
+def test_ranges_cover_all_cells():
+    assert cut_ranges(np.array([5, 5, 100, 1, 0, 0]), 10).tolist() == [0, 0, 1, 2, 2, 2]
+    assert cut_ranges(np.zeros(4, dtype=int), 10).tolist() == [0, 0, 0, 0]
+
+
+@pytest.mark.parametrize("cell_bits", [2, 14])
+def test_only_hot_keys_are_replicated(spark, cell_bits):
+    """With every cell over the limit, parents are shuffled once each; a hot key's parent once per salt."""
+    keys = [f"K{i}" for i in range(400)]
+    left = spark.createDataFrame([(k,) for k in keys], "key string").select(F.xxhash64("key").alias("h"), "key", F.lit(0).alias("kind"))
+    rows = [(k, i) for i in range(20) for k in keys] + [("K7", i) for i in range(4000)]
+    right = spark.createDataFrame(rows, "key string, row_id long").select(F.xxhash64("key").alias("h"), "key", "row_id", F.lit(1).alias("kind"), F.lit(0).alias("arrived"))
+    both, units = place(left, right, 50, cell_bits)
+    seen = both.groupBy("unit").agg(F.count_if(F.col("kind") == 0).alias("p"), F.count_if(F.col("kind") == 1).alias("r")).collect()
+    limit = max(50, -(-(len(keys) + len(rows)) // (1 << cell_bits)))
+    assert sum(s.p for s in seen) <= 1.2 * len(keys) + 4020 // limit and sum(s.r for s in seen) == len(rows)
+    assert max(s.unit for s in seen) < units and max(s.r for s in seen) <= 3 * limit + 20
 
 
 def test_report(spark):

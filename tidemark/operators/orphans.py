@@ -1,10 +1,12 @@
 """References to records that do not exist.
 
-Keys are range-partitioned on their 64-bit hash, each range keeps its parents as
-sorted arrays, and reference batches probe them by vectorised binary search. Ranges
-are cut from one histogram over fixed hash cells; a cell with more references than one
-task should get (a hot key) is salted, with its parents replicated to every salt. Only
-misses leave the probe.
+Keys are range-partitioned on their 64-bit hash, each range (unit) keeps its parents as
+sorted arrays, and reference batches probe them by vectorised binary search. Ranges are
+cut from one histogram over 2^CELL_BITS hash cells. A unit holds ``unit_rows`` rows, or
+so many more that there are never more units than cells. Only a key with more references
+than a unit should hold is salted: its references are spread over units of its own, and
+its one parent row is replicated to these. So the parents shuffled are those there are,
+plus one row per salt. Only misses leave the probe.
 
 Defined cases: a null or blank key refers to nothing and is never a miss; an empty
 parent table makes every reference 'missing'; a null arrival is no arrival, so such a
@@ -20,12 +22,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import micros, norm_key
 
-CELL_BITS = 12
+CELL_BITS = 14
 MISS = "table_name string, row_id long, ref_month string, reason string"
 REASONS = np.array(["missing", "deleted", "late"], dtype=object)
 
@@ -54,22 +56,15 @@ class References:
     loaded: str
 
 
-def cut_ranges(parents: np.ndarray, references: np.ndarray, rows: int) -> tuple[list[int], list[int], int]:
-    """First unit and number of salts of each hash cell, and the number of units.
-
-    Neighbouring cells share a unit while together they stay under ``rows``; a cell
-    with more references than that gets several units (salts) of its own.
-    """
-    first, salts, unit, held = [], [], -1, rows
-    for p, r in zip(parents.tolist(), references.tolist()):
-        n = max(1, -(-r // rows))
-        if n > 1 or held + p + r > rows:
+def cut_ranges(rows_of_cell: np.ndarray, rows: int) -> np.ndarray:
+    """Unit of each hash cell: neighbouring cells share one while together they hold at most ``rows``."""
+    units, unit, held = [], 0, 0
+    for n in rows_of_cell.tolist():
+        if held and held + n > rows:
             unit, held = unit + 1, 0
-        first.append(unit)
-        salts.append(n)
-        held = rows if n > 1 else held + p + r
-        unit += n - 1
-    return first, salts, unit + 1
+        units.append(unit)
+        held += n
+    return np.array(units)
 
 
 def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,14 +120,19 @@ def judge(refs, hashes: np.ndarray, keys: np.ndarray, live: np.ndarray, arrived:
     )
 
 
-def find_orphans(parents: list[Parents], references: list[References], unit_rows: int = 200_000) -> DataFrame:
+def looked_up(values: np.ndarray, at: Column) -> Column:
+    """A value of a literal array; as text, since a literal list goes to the JVM one element at a time."""
+    return F.get(F.expr(f"array({','.join(map(str, values.tolist()))})"), at)
+
+
+def find_orphans(parents: list[Parents], references: list[References], unit_rows: int = 200_000, cell_bits: int = CELL_BITS) -> DataFrame:
     """One row per reference whose target is missing, deleted or late: table_name, row_id, ref_month, reason.
 
-    ``unit_rows``: rows (parents and references) that one probe unit holds at most,
-    but for a cell's parents, which are never split.
+    ``unit_rows``: rows (parents and references) a probe unit holds, as long as that makes
+    no more units than the 2^``cell_bits`` cells. At most that many hot keys reach the
+    driver and are broadcast, whatever the input: each has over a cell's mean share of all rows.
     """
     hashed = lambda name, key: F.xxhash64(F.lit(name), key)
-    cell = (F.shiftright("h", 64 - CELL_BITS) + (1 << (CELL_BITS - 1))).cast("int")
 
     def parent_side(p: Parents) -> DataFrame:
         alive = F.col(p.deleted).isNull()
@@ -148,23 +148,46 @@ def find_orphans(parents: list[Parents], references: list[References], unit_rows
 
     left = reduce(DataFrame.unionByName, map(parent_side, parents)).withColumn("kind", F.lit(0))
     right = reduce(DataFrame.unionByName, map(reference_side, references)).withColumn("kind", F.lit(1))
-    cells = 1 << CELL_BITS
+    both, units = place(left, right, unit_rows, cell_bits)
+    ordered = both.repartitionById(max(1, units), F.col("unit")).sortWithinPartitions("unit", "kind", "h")
+    return ordered.select("unit", "kind", "h", "key", "live", "arrived", "table_name", "row_id", "ref_month").mapInArrow(probe, MISS)
+
+
+def place(left: DataFrame, right: DataFrame, unit_rows: int, cell_bits: int) -> tuple[DataFrame, int]:
+    """Parents (kind 0) and references (kind 1) with the unit they are probed in, and the number of units."""
+    cells = 1 << cell_bits
+    cell = (F.shiftright("h", 64 - cell_bits) + (cells >> 1)).cast("int")
     counts = np.zeros((2, cells), dtype="int64")
-    # at most 2 * 4096 rows, whatever the input
+    # at most 2 * 2^cell_bits rows, whatever the input
     for kind, c, n in left.select("kind", "h").unionByName(right.select("kind", "h")).groupBy("kind", cell.alias("cell")).count().collect():
         counts[kind, c] = n
-    first, salts, units = cut_ranges(counts[0], counts[1], unit_rows)
-    # as text, since a literal list goes to the JVM one element at a time
-    unit, n_salts = (F.get(F.expr(f"array({','.join(map(str, values))})"), cell) for values in (first, salts))
-    right = right.withColumn("unit", unit + F.pmod(F.xxhash64("row_id", "arrived"), n_salts).cast("int"))
-    left = left.withColumn("unit", F.explode(F.sequence(unit, unit + n_salts - 1)))
-    both = left.unionByName(right, allowMissingColumns=True)
-    ordered = both.repartitionById(max(1, units), F.col("unit")).sortWithinPartitions("unit", "kind", "h")
-    return ordered.select("unit", "kind", "h", "key", "live", "arrived", "table_name", "row_id", "ref_month").mapInArrow(probe, MISS)
+    rows = max(unit_rows, -(-int(counts.sum()) // cells))
+    hot = hot_keys(right, cell, counts[1] > rows, rows)
+    for h, n in hot.items():
+        counts[1, (h >> (64 - cell_bits)) + (cells >> 1)] -= n
+    of_cell = cut_ranges(counts.sum(axis=0), rows)
+    units = int(of_cell[-1]) + 1
+    unit = looked_up(of_cell, cell)
+    if not hot:
+        return left.withColumn("unit", unit).unionByName(right.withColumn("unit", unit), allowMissingColumns=True), units
+    salts = [-(-n // rows) for n in hot.values()]
+    first = units + np.cumsum([0, *salts])
+    table = F.broadcast(left.sparkSession.createDataFrame(list(zip(hot, first[:-1].tolist(), salts)), "h long, first int, salts int"))
+    dealt = F.col("first") + F.pmod(F.xxhash64("row_id", "arrived"), "salts").cast("int")
+    right = right.join(table, "h", "left").withColumn("unit", F.coalesce(dealt, unit))
+    own = F.sequence("first", F.col("first") + F.col("salts") - 1)
+    left = left.join(table, "h", "left").withColumn("unit", F.explode(F.coalesce(own, F.array(unit))))
+    return left.unionByName(right, allowMissingColumns=True).drop("first", "salts"), int(first[-1])
+
+
+def hot_keys(references: DataFrame, cell: Column, full: np.ndarray, rows: int) -> dict[int, int]:
+    """References of each key (by hash) with more than ``rows`` of them. Only the cells marked ``full`` are counted by key."""
+    if not full.any():
+        return {}
+    counted = references.select("h").where(looked_up(full.astype(int), cell) == 1).groupBy("h").count().where(F.col("count") > rows)
+    return {r["h"]: r["count"] for r in counted.collect()}  # at most one per ``rows`` references
 
 
 def orphan_report(misses: DataFrame) -> DataFrame:
     """Misses per table, period and reason."""
     return misses.groupBy("table_name", "ref_month", "reason").agg(F.count(F.lit(1)).alias("n"))
-
-
