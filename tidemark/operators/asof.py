@@ -7,7 +7,10 @@ no result depends on where it was cut.
 
 ``bitemporal_asof`` picks the version that is valid at the event's date among those
 recorded before the event and not deleted at it. Its carry-in is the set of versions
-that can still win later: the undominated ones.
+that can still win later: the undominated ones. Each shard of a hot entity reduces its own
+versions to these; only the reduced sets are run over in order of time.
+
+Rows of one entity and one time are never cut apart.
 
 Defined cases: a null key or time joins nothing; among versions of the same time the
 smallest id wins; an empty side gives an empty result; repeated version rows count once
@@ -27,24 +30,31 @@ from pyspark.sql.window import Window
 from tidemark.functions.grouped import map_sorted_groups
 
 NEVER = np.iinfo("int64").max
+#: Hot keys, and shards of hot keys beyond the first of each, at most; an entity left whole has at most that part of all rows.
+MOST_SHARDS = 10_000
+#: Versions tried per event at once before the rest of a group goes through the heaps.
+TRIES = 64
 
 
-def time_shards(rows: DataFrame, hot_rows: int) -> tuple[Column, DataFrame | None]:
+def time_shards(rows: DataFrame, hot_rows: int, most: int = MOST_SHARDS) -> tuple[Column, DataFrame | None]:
     """Shard number of a row (columns ``key``, ``t``) and the hot keys' bounds; bounds is None if no key is hot.
 
-    Hot keys are at most rows/hot_rows many, each with count/hot_rows bounds: the
-    bounds collected and broadcast here are at most two per ``hot_rows`` input rows.
+    At most ``most`` hot keys (those with most rows) and as many bounds are collected and broadcast, however
+    many rows there are: with more rows than ``most`` times ``hot_rows`` a shard holds more than ``hot_rows``.
     """
-    hot = {r["key"]: r["n"] for r in rows.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).collect()}
-    if not hot:
+    counted = rows.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows)
+    hot = {r["key"]: r["n"] for r in counted.orderBy(F.desc("n"), "key").limit(most).collect()}
+    each = max(hot_rows, -(-sum(hot.values()) // most))
+    shards = {k: -(-n // each) for k, n in hot.items() if n > each}
+    if not shards:
         return F.lit(0), None
     spark = rows.sparkSession
-    most = max(-(-n // hot_rows) for n in hot.values())
-    keys = spark.createDataFrame([(k, -(-n // hot_rows)) for k, n in hot.items()], "key string, shards int")
-    cuts = [i / most for i in range(1, most)]
-    bounds = rows.join(F.broadcast(keys), "key").groupBy("key", "shards").agg(F.percentile_approx("t", F.lit(cuts), 10 * most).alias("q"))
-    pick = F.transform(F.sequence(F.lit(1), F.col("shards") - 1), lambda i: F.element_at("q", F.greatest(F.lit(1), F.floor(i * most / F.col("shards")).cast("int"))))
-    found = [(r["key"], sorted(set(r["b"]))) for r in bounds.select("key", F.when(F.col("shards") > 1, pick).otherwise(F.array().cast("array<bigint>")).alias("b")).collect()]
+    top = max(shards.values())
+    keys = spark.createDataFrame(list(shards.items()), "key string, shards int")
+    cuts = [i / top for i in range(1, top)]
+    bounds = rows.join(F.broadcast(keys), "key").groupBy("key", "shards").agg(F.percentile_approx("t", F.lit(cuts), 10 * top).alias("q"))
+    pick = F.transform(F.sequence(F.lit(1), F.col("shards") - 1), lambda i: F.element_at("q", F.greatest(F.lit(1), F.floor(i * top / F.col("shards")).cast("int"))))
+    found = [(r["key"], sorted(set(r["b"]))) for r in bounds.select("key", pick.alias("b")).collect()]
     return F.coalesce(F.size(F.filter("bounds", lambda b: b <= F.col("t"))), F.lit(0)), spark.createDataFrame(found, "key string, bounds array<bigint>")
 
 
@@ -91,8 +101,26 @@ def undominated(versions: list[tuple], day: int) -> list[tuple]:
     return kept
 
 
+def groups_of(chunk: pd.DataFrame) -> np.ndarray:
+    """Number of each row's (key, shard) group; equal ones lie together."""
+    key, shard = chunk["key"].to_numpy(), chunk["shard"].to_numpy()
+    return np.cumsum(np.r_[False, (key[1:] != key[:-1]) | (shard[1:] != shard[:-1])])
+
+
+def reduced(chunk: pd.DataFrame) -> pd.DataFrame:
+    """The undominated versions of each (key, shard) as of the day the next shard begins (``until``)."""
+    group = groups_of(chunk)
+    valid, recorded, neg, deleted, until = (chunk[c].to_numpy() for c in ("valid", "recorded", "neg", "deleted", "until"))
+    order = np.lexsort((-deleted, -neg, -recorded, -valid, group))
+    g, v = group[order], np.where(valid <= until, np.iinfo("int32").min, valid)[order]
+    first = np.r_[True, (g[1:] != g[:-1]) | (v[1:] != v[:-1])]
+    best = pd.Series(deleted[order]).groupby(np.cumsum(first)).cummax().to_numpy()
+    kept = first | (deleted[order] > np.r_[0, best[:-1]])
+    return chunk.iloc[order[kept]][["key", "shard", "valid", "recorded", "neg", "deleted"]]
+
+
 def carry_forward(chunk: pd.DataFrame) -> pd.DataFrame:
-    """Runs over a hot key's shards in order and hands each shard the undominated versions before it."""
+    """Runs over a hot key's shards in order and hands each shard the undominated versions before it; rows are reduced sets (kind 1) and shard starts (0)."""
     out: list[tuple] = []
     held: list[tuple] = []
     key, shard = None, None
@@ -109,24 +137,65 @@ def carry_forward(chunk: pd.DataFrame) -> pd.DataFrame:
 
 
 def sweep(chunk: pd.DataFrame) -> pd.DataFrame:
-    """Local merge of each (key, shard): versions enter when recorded, win while valid and not deleted."""
-    out_event, out_row = [], []
-    group, waiting, active = None, [], []
-    for key, shard, t, kind, day, valid, recorded, neg, deleted, event in chunk.itertuples(index=False):
+    """Local merge of each (key, shard).
+
+    A group's versions are sorted from the best, so an event starts at its first valid one (binary search) and goes on to
+    the next until one was recorded before it and is not deleted; all events of the chunk step together. Groups in which
+    that takes more than TRIES steps are swept in order of time.
+    """
+    group, kind = groups_of(chunk), chunk["kind"].to_numpy()
+    of_event, of_version = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
+    valid, recorded, neg, deleted = (chunk[c].to_numpy()[of_version] for c in ("valid", "recorded", "neg", "deleted"))
+    limit = 1 << 23  # day numbers of any date lie within
+    order = np.lexsort((-neg, -recorded, -valid, group[of_version]))
+    recorded, neg, deleted, owner = recorded[order], neg[order], deleted[order], group[of_version][order]
+    ranked = owner * (2 * limit) - np.clip(valid[order], -limit + 1, limit - 1)
+    t, asked = chunk["t"].to_numpy()[of_event], group[of_event]
+    at = np.searchsorted(ranked, asked * (2 * limit) - np.clip(chunk["day"].to_numpy()[of_event], -limit + 1, limit - 1), "left")
+    end = np.searchsorted(owner, asked, "right")
+    row = np.zeros(len(of_event), dtype="int64")
+    found = np.zeros(len(of_event), dtype=bool)
+    open_ = np.flatnonzero(at < end)
+    for _ in range(TRIES):
+        if not len(open_):
+            break
+        here = at[open_]
+        won = (recorded[here] < t[open_]) & (deleted[here] > t[open_])
+        row[open_[won]], found[open_[won]] = -neg[here[won]], True
+        open_ = open_[~won]
+        at[open_] += 1
+        open_ = open_[at[open_] < end[open_]]
+    if len(open_):
+        late = np.isin(group, asked[open_])
+        rest = swept(chunk[late])
+        place = of_event[late[of_event]]
+        found[late[of_event]] = False
+        at_event = pd.Series(np.arange(len(of_event)), index=of_event)
+        hit = at_event[place[rest[0]]].to_numpy()
+        row[hit], found[hit] = rest[1], True
+    return pd.DataFrame({"event_id": chunk["event_id"].to_numpy()[of_event[found]], "row_id": row[found]})
+
+
+def swept(chunk: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the events (in order) that have a version, and its id: versions enter when recorded, win while valid and not deleted."""
+    at, out = [], []
+    group, waiting, active, n = None, [], [], -1
+    for key, shard, t, kind, day, valid, recorded, neg, deleted, _ in chunk.itertuples(index=False):
         if (key, shard) != group:
             group, waiting, active = (key, shard), [], []
         if kind:
             heapq.heappush(waiting, (valid, -recorded, -neg, deleted))
             continue
+        n += 1
         while waiting and waiting[0][0] <= day:
             v, r, i, d = heapq.heappop(waiting)
             heapq.heappush(active, (-v, r, i, d))
         while active and active[0][3] <= t:
             heapq.heappop(active)
         if active:
-            out_event.append(event)
-            out_row.append(active[0][2])
-    return pd.DataFrame({"event_id": pd.Series(out_event, dtype=object), "row_id": pd.Series(out_row, dtype="int64")})
+            at.append(n)
+            out.append(active[0][2])
+    return np.array(at, dtype=int), np.array(out, dtype="int64")
 
 
 def bitemporal_asof(events: DataFrame, versions: DataFrame, zone: str = "America/New_York", hot_rows: int = 500_000) -> DataFrame:
@@ -148,8 +217,9 @@ def bitemporal_asof(events: DataFrame, versions: DataFrame, zone: str = "America
     if bounds is not None:
         slots = bounds.select("key", F.posexplode(F.concat(F.array(F.lit(-(1 << 62))), "bounds")).alias("shard", "start"))
         marks = slots.select("key", "shard", F.lit(0).alias("kind"), "start", F.when(F.col("shard") > 0, days(F.col("start"))).otherwise(F.lit(-(1 << 30))).alias("day"))
-        hot = right.join(F.broadcast(bounds.select("key")), "key", "left_semi").withColumn("kind", F.lit(1))
-        each = marks.unionByName(hot.drop("t"), allowMissingColumns=True).select("key", "shard", "kind", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("start", "day", "valid", "recorded", "neg", "deleted")])
+        hot = right.join(F.broadcast(bounds), "key").withColumn("until", days(F.get("bounds", F.col("shard")))).where("until is not null").select("key", "shard", "valid", "recorded", "neg", "deleted", "until")
+        sets = map_sorted_groups(hot, ["key", "shard"], [], reduced, "key string, shard int, valid int, recorded long, neg long, deleted long").withColumn("kind", F.lit(1))
+        each = marks.unionByName(sets, allowMissingColumns=True).select("key", "shard", "kind", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("start", "day", "valid", "recorded", "neg", "deleted")])
         carry = map_sorted_groups(each, ["key"], ["shard", "kind"], carry_forward, "key string, shard int, valid int, recorded long, neg long, deleted long")
         right = right.unionByName(carry.withColumn("t", F.col("recorded")))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
