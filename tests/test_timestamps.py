@@ -1,9 +1,12 @@
+import os
 from datetime import datetime, timezone
 
 import pytest
+from oracle import FOLDER
 
 from tidemark.functions.timetext import DAY, INSTANT, NONE, WALL, read_time_text
 from tidemark.operators.timestamps import normalize_times
+from tidemark.plans import data_problems
 
 
 def utc(*a):
@@ -82,3 +85,18 @@ def test_unknown_home_zone_counts_as_none(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "raw_id long, source string, date string")
     assert normalize_times(df, sources(spark), "raw_id", "source", [("date", "date")]).collect() == []
+
+
+def test_histories_of_hidden_zones_are_found(spark):
+    """Announcements written as wall times in zones that change: nearly all get their instant back."""
+    if not os.path.isdir(FOLDER):
+        pytest.skip("no test tables")
+    rows = data_problems.p3_history(spark, "/root/testdata/sf0.01").collect()
+    assert sum(r.recovered for r in rows) >= 0.9 * sum(r.texts for r in rows)
+
+
+def test_texts_of_sources_with_a_home_zone_and_without(spark):
+    feeds = spark.createDataFrame([("home", "America/New_York", "mdy"), ("bad", "Nowhere/None", "mdy"), ("none", None, "mdy")], "source string, home_zone string, date_order string")
+    rows = spark.createDataFrame([(1, "home", "2024-01-05 10:00:00"), (2, "bad", "2024-01-05 10:00:00"), (3, "none", "2024-01-05 10:00:00"), (4, "new", "2024-01-05 10:00:00"), (5, None, "2024-01-05T10:00Z")], "id long, source string, t string")
+    got = {r.row_id: r.normal_form for r in normalize_times(rows, feeds, "id", "source", [("t", "instant")], candidates=["Asia/Tokyo"]).collect()}
+    assert got == {1: "2024-01-05T15:00:00.000000Z", **dict.fromkeys((2, 3, 4), "2024-01-05T01:00:00.000000Z"), 5: "2024-01-05T10:00:00.000000Z"}

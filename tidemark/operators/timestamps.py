@@ -5,8 +5,9 @@ names, else the row's zone column, else the zone of its source's offset history.
 history is the cheapest path through the source's batches: each candidate zone costs the
 order violations it causes against known instants (ingestion, or the record's other stamp),
 and a change of zone costs ``change``. A source with a declared home zone has that one
-candidate; any other source is estimated from all candidates. Then wall times are
-converted, and those their zone had twice or never are dropped.
+candidate, so its history needs no costs and its texts are read once; any other source is
+estimated from all candidates. Then wall times are converted, and those their zone had
+twice or never are dropped.
 
 Defined cases: null, blank and unreadable texts, impossible dates and clock times, a bare
 day where an instant is needed, an unknown zone name in a text, and a weekday that is
@@ -42,7 +43,7 @@ def read_fields(fields: list[tuple[str, str]], ordered: bool):
             if not batch.num_rows:
                 continue
             columns = {n: batch.column(n).to_pylist() for n in batch.schema.names}
-            zone, home = ([known_zone(z) for z in columns[c]] for c in ("zone", "home_zone"))
+            zone = [known_zone(z) for z in columns["zone"]]
             read = {name: [read_time_text(t, o) for t, o in zip(columns[f"text_{i}"], columns["date_order"])] for i, (name, _) in enumerate(fields)}
             known = {name: [v if f == INSTANT else None for f, v, _ in read[name]] for name, _ in fields}
             for i, (name, wanted) in enumerate(fields):
@@ -54,7 +55,7 @@ def read_fields(fields: list[tuple[str, str]], ordered: bool):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(columns["row_id"], pa.int64()), pa.array([name] * n, pa.string()), pa.array([wanted] * n, pa.string()), pa.array(columns["source"], pa.string()), pa.array(columns["batch"], pa.int32()),
-                        pa.array(form, pa.int32()), pa.array(value, pa.int64()), pa.array([t or z for t, z in zip(text_zone, zone)], pa.string()), pa.array(home, pa.string()), pa.array(bound(before, max), pa.int64()), pa.array(bound(after, min), pa.int64()),
+                        pa.array(form, pa.int32()), pa.array(value, pa.int64()), pa.array([t or z for t, z in zip(text_zone, zone)], pa.string()), pa.array(columns["home_zone"], pa.string()), pa.array(bound(before, max), pa.int64()), pa.array(bound(after, min), pa.int64()),
                     ],
                     names=["row_id", "field_name", "wanted", "source", "batch", "form", "value", "zone", "home", "not_before", "not_after"],
                 )
@@ -62,6 +63,12 @@ def read_fields(fields: list[tuple[str, str]], ordered: bool):
     return run
 
 
+def known_homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Feeds with their home zone, null where its name is no zone's."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([known_zone(z) for z in batch.column(1).to_pylist()], pa.string()), batch.column(2)], names=["_s", "home_zone", "date_order"])
+
+
 def to_instant(wall: Column, zone: Column) -> Column:
     """Instant (microseconds) of a wall time in a zone; null if the zone had it twice or never."""
     local = lambda at: F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(at), zone))
@@ -108,22 +115,23 @@ def normalize_times(
     column that names a row's zone; ``batch``: the sequence in which a source delivered;
     ``longest_hours``: how far apart two stamps of a record may lie before that counts as a violation.
     """
-    home = sources.select(F.col("source").alias("_s"), "home_zone", "date_order")
+    home = sources.select(F.col("source").cast("string").alias("_s"), F.col("home_zone").cast("string"), F.col("date_order").cast("string")).mapInArrow(known_homes, "_s string, home_zone string, date_order string")
     pick = rows.select(
         F.col(row_id).cast("long").alias("row_id"), F.col(source).alias("source"), (F.col(zone) if zone else F.lit(None).cast("string")).alias("zone"), (F.col(batch).cast("int") if batch else F.lit(0)).alias("batch"), *[F.col(n).alias(f"text_{i}") for i, (n, _) in enumerate(fields)]
     )
     joined = pick.join(home, F.col("source") == F.col("_s"), "left").drop("_s")
-    read = joined.mapInArrow(read_fields(fields, ordered), READ).where(F.col("form") != NONE)
-    open_ = read.where((F.col("form") == WALL) & F.col("zone").isNull())
-    tried = open_.withColumn("zones", F.when(F.col("home").isNotNull(), F.array("home")).otherwise(F.array(*map(F.lit, candidates or CANDIDATES))))
-    tried = tried.select("source", "batch", "value", "not_before", "not_after", F.posexplode("zones").alias("place", "candidate"))
+    reader = read_fields(fields, ordered)
+    read = joined.mapInArrow(reader, READ).where(F.col("form") != NONE)
+    # only texts of sources without a home zone are read for costs as well
+    unknown = joined.where("home_zone is null").mapInArrow(reader, READ)
+    tried = unknown.where((F.col("form") == WALL) & F.col("zone").isNull()).select("source", "batch", "value", "not_before", "not_after", F.posexplode(F.array(*map(F.lit, candidates or CANDIDATES))).alias("place", "candidate"))
     at = to_instant(F.col("value"), F.col("candidate"))
     slack = int(longest_hours * 3_600_000_000)
     broken = at.isNull() | (at < F.col("not_before")) | (at > F.col("not_after")) | (at > F.col("not_before") + slack) | (at < F.col("not_after") - slack)
     costs = tried.groupBy("source", "batch", "place", "candidate").agg(F.sum(F.coalesce(broken, F.lit(False)).cast("int")).cast("double").alias("violations"))
     history = map_sorted_groups(costs, ["source"], ["batch", "place"], cheapest_history(change), "source string, batch int, candidate string").alias("h")
-    zoned = read.alias("r").join(history, F.col("r.source").eqNullSafe(F.col("h.source")) & (F.col("r.batch") == F.col("h.batch")) & (F.col("form") == WALL), "left")
-    instant = F.when(F.col("form") == INSTANT, F.col("value")).when(F.col("form") == WALL, to_instant(F.col("value"), F.coalesce("zone", "candidate")))
+    zoned = read.alias("r").join(history, F.col("r.source").eqNullSafe(F.col("h.source")) & (F.col("r.batch") == F.col("h.batch")) & (F.col("form") == WALL) & F.col("home").isNull(), "left")
+    instant = F.when(F.col("form") == INSTANT, F.col("value")).when(F.col("form") == WALL, to_instant(F.col("value"), F.coalesce("zone", "home", "candidate")))
     stamp = F.timestamp_micros("instant")
     form = F.when(F.col("wanted") == "instant", F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).otherwise(
         F.date_format(F.when(F.col("form") == DAY, F.date_from_unix_date(F.col("value").cast("int"))).otherwise(F.to_date(F.from_utc_timestamp(stamp, calendar_zone))), "yyyy-MM-dd")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions.keys import micros, norm_key
 from tidemark.operators.asof import asof_join, bitemporal_asof
@@ -61,6 +62,29 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return told.unionByName(bars).withColumnRenamed("row_id", "raw_id")
 
 
+def p3_history(spark: SparkSession, folder: str) -> DataFrame:
+    """How well offset histories are found: every announcement's stamp is written as a wall time without zone, in the home
+    zone of its source up to the middle of 2024 and in that of the next trusted source after it; the operator is told
+    no zone, only when the row was loaded. Per source: texts, how many of them got their instant back, and the share."""
+    feeds = table(spark, folder, "feed_sources")
+    order = Window.orderBy("trust")
+    after = F.coalesce(F.lead("home_zone").over(order), F.first("home_zone").over(order))
+    zones = feeds.select("source", F.col("home_zone").alias("_first"), after.alias("_second"))
+    told = table(spark, folder, "announcements", "event_id", "source", "announcement_timestamp", "ingestion_timestamp")
+    real = told.where("announcement_timestamp > timestamp'1971-01-01' and announcement_timestamp < timestamp'2090-01-01' and ingestion_timestamp is not null")
+    zone = F.when(F.col("ingestion_timestamp") < F.lit("2024-07-01").cast("timestamp"), F.col("_first")).otherwise(F.col("_second"))
+    at = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+    written = real.join(zones, "source").select(
+        F.xxhash64("event_id").alias("row"), "source", (F.year("ingestion_timestamp") * 4 + F.quarter("ingestion_timestamp")).alias("batch"), F.date_format("announcement_timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("true_form"),
+        F.date_format(F.from_utc_timestamp("announcement_timestamp", zone), at).alias("told"), F.concat(F.date_format("ingestion_timestamp", at), F.lit("Z")).alias("loaded"),
+    )
+    hidden = feeds.select("source", F.lit(None).cast("string").alias("home_zone"), "date_order")
+    got = normalize_times(written, hidden, "row", "source", [("told", "instant"), ("loaded", "instant")], batch="batch", ordered=True, longest_hours=2.5).where("field_name = 'told'")
+    seen = written.join(got.select(F.col("row_id").alias("row"), F.col("normal_form")), "row", "left")
+    right = F.count_if(F.col("normal_form") == F.col("true_form"))
+    return seen.groupBy("source").agg(F.count(F.lit(1)).alias("texts"), right.alias("recovered"), (right / F.count(F.lit(1))).alias("share"))
+
+
 SERIES = ["security_id", "contributor"]
 
 #: Prices move by small ratios; volumes vary by several times, so their level is a median and a spike at least twelvefold.
@@ -155,7 +179,7 @@ t AS (SELECT s AS security_id, contributor, strftime(day, '%Y-%m-%d') AS calenda
   FROM f WINDOW w7 AS (PARTITION BY s, contributor ORDER BY day ROWS 6 PRECEDING), w30 AS (PARTITION BY s, contributor ORDER BY day ROWS 29 PRECEDING))
 """
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_grid": p6_grid, "p7_found": p7_found, "p7_trailing": p7_trailing}
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p3_found": p3_found, "p3_history": p3_history, "p5_found": p5_found, "p6_found": p6_found, "p6_grid": p6_grid, "p7_found": p7_found, "p7_trailing": p7_trailing}
 SQL = {"p1_found": P1, "p2_found": P2, "p1_report": f"SELECT table_name, ref_month, reason, count(*) AS n FROM ({P1}) GROUP BY 1, 2, 3", "p6_found": P6,
     "p7_found": P7 + "SELECT security_id, contributor, calendar_day, CASE WHEN total_volume_7 = 0 THEN 'silent' ELSE 'burst' END AS state FROM t WHERE age >= 29 AND (total_volume_7 = 0 OR total_volume_7 * 2 > total_volume_30)",
     "p7_trailing": P7 + "SELECT security_id, contributor, calendar_day, " + ", ".join(f"round(total_{a}_{p}, 6) AS total_{a}_{p}, round(total_{a}_{p} / {p}, 6) AS mean_{a}_{p}" for a in ("volume", "close") for p in (7, 30)) + " FROM t WHERE age >= 29"}

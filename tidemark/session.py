@@ -26,11 +26,25 @@ def build_session(app: str = "tidemark", cores: int = 8, **conf: str) -> SparkSe
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Sets the session zone to UTC and a checkpoint folder where none is set: spark.checkpoint.dir if the cluster names one, a local one otherwise.
+    """Sets the session zone to UTC and the checkpoint folder: the one in spark.checkpoint.dir where the session has it.
 
-    Only a session without that setting (a test on one machine) gets the local folder.
+    Only a session on one machine (a test) gets a folder of its own; on a cluster without that setting none is set,
+    and what needs one fails (``shared_folder``).
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-ckpt-"))
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and context.master.startswith("local") and not context.master.startswith("local-cluster"):
+            folder = tempfile.mkdtemp(prefix="tidemark-ckpt-")
+        if folder:
+            context.setCheckpointDir(folder)
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and written tables that all executors see; raises where the session has none."""
+    folder = spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        raise ValueError("no shared folder: set spark.checkpoint.dir to one that every executor can reach")
+    return folder
