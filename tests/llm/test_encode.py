@@ -56,3 +56,12 @@ def test_pieces_cover_a_batch_in_order():
     texts = ["a" * 5, None, "b" * 100, "", "c" * 3]
     assert [texts[p] for p in pieces(texts, 6)] == [["a" * 5, None], ["b" * 100], ["", "c" * 3]]
     assert list(pieces([])) == []
+
+
+def test_a_megabyte_of_unbroken_letters(known):
+    """Long words go through the heap, in bounded time; the public encoder agrees on a piece that it can do."""
+    word = "".join(random.Random(3).choices("abcdefghijklmnop", k=1_000_000))
+    encoder = Encoder(PairTable.load(PATH))
+    assert list(encoder.encode([word[:60_000], "a" * 50_000]))  == known([word[:60_000], "a" * 50_000])
+    assert len(next(iter(encoder.encode([word])))) > 300_000
+    assert next(iter(Encoder(PairTable.load(PATH), lengths_only=True).encode([word[:60_000]]))) == len(known([word[:60_000]])[0])
