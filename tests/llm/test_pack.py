@@ -10,21 +10,48 @@ from tidemark.llm.pack import difference, fill_containers, pack
 @given(st.lists(st.integers(1, 50), max_size=60))
 def test_every_item_once_and_never_over_capacity(sizes):
     got = pack(np.array(sizes, dtype="int64"), 50)
-    assert sorted(i for c in got for i in c) == list(range(len(sizes)))
-    assert all(sum(sizes[i] for i in c) <= 50 for c in got)
+    assert len(got) == len(sizes)
+    assert all(sum(s for s, c in zip(sizes, got) if c == at) <= 50 for at in set(got))
 
 
 def test_differencing_balances():
     rng = np.random.default_rng(9)
     sizes = np.sort(rng.integers(1, 400, 300))[::-1]
-    loads = [sizes[c].sum() for c in difference(sizes, 20)]
+    loads = np.bincount(difference(sizes, 20), weights=sizes)
     assert len(loads) == 20 and max(loads) - min(loads) <= 5
 
 
 def test_little_room_is_left():
     rng = np.random.default_rng(10)
     sizes = np.minimum(rng.lognormal(5, 1, 1000).astype("int64") + 1, 2048)
-    assert sizes.sum() / (len(pack(sizes, 2048)) * 2048) > 0.97
+    assert sizes.sum() / (len(set(pack(sizes, 2048))) * 2048) > 0.97
+
+
+def merged_one_by_one(sizes, k):
+    """Karmarkar-Karp on lists of loads, one merge at a time; the final spread-off loads."""
+    parts = [[s] for s in sizes]
+    while len(parts) > 1:
+        parts.sort(key=lambda p: -p[0])
+        a, b = parts.pop(0), parts.pop(0)
+        a, b = a + [0] * (k - len(a)), b + [0] * (k - len(b))
+        both = sorted((x + y for x, y in zip(a, reversed(b))), reverse=True)
+        parts.append([x - both[-1] for x in both])
+    return parts[0][0]
+
+
+def test_differencing_is_that_of_the_textbook():
+    rng = np.random.default_rng(1)
+    for _ in range(100):
+        k = int(rng.integers(2, 9))
+        sizes = rng.choice(10**6, int(rng.integers(k + 1, 60)), replace=False).astype("int64") + 1
+        loads = np.bincount(difference(sizes, k), weights=sizes, minlength=k)
+        assert loads.max() - loads.min() == merged_one_by_one(sizes.tolist(), k) and loads.sum() == sizes.sum()
+
+
+def test_more_than_half_a_container_each(spark):
+    sizes = np.array([30] * 40 + [5] * 10, dtype="int64")
+    got = pack(sizes, 50)
+    assert len(set(got[:40])) == 40 and np.bincount(got, weights=sizes).max() <= 50
 
 
 @pytest.mark.parametrize("group", [3, 1000])

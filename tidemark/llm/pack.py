@@ -3,7 +3,8 @@
 Items are dealt to groups by a hash of their id, and each group is packed on its own by
 the Karmarkar-Karp differencing method: partial partitions with opposing imbalances are
 merged, the most unbalanced first, which leaves containers of nearly equal load. The
-number of containers starts at the least possible and rises until none is over capacity.
+number of containers starts at the least possible and rises, by what is over capacity,
+until nothing is.
 
 Only an item larger than a container is split: its full containers stand alone and the
 rest is packed like any other item.
@@ -26,59 +27,69 @@ from pyspark.sql import functions as F
 from tidemark.functions.grouped import map_sorted_groups
 
 
-def difference(sizes: np.ndarray, k: int) -> list[list[int]]:
-    """Splits items into ``k`` containers of nearly equal load; returns the items' positions per container.
+def difference(sizes: np.ndarray, k: int) -> np.ndarray:
+    """Splits items into ``k`` containers of nearly equal load; returns each item's container.
 
-    A partial partition is a list of loads in falling order (loads of 0 left out, the
-    least load taken off) with the items behind each load. The two of largest spread are
-    merged, the largest load of one with the smallest of the other.
+    A partial partition is a list of loads in falling order (loads of 0 left out, the least
+    load taken off if there are ``k``) with a node behind each load: an item, or two nodes
+    that were put together. The two partitions of largest spread are merged, the largest
+    load of one with the smallest of the other. A partition with fewer than ``k`` loads keeps
+    its spread while single items join it, so these are taken along in one step.
     """
-    order = count()
-    heap = [(-int(s), next(order), np.array([s], dtype="int64"), [(i,)]) for i, s in enumerate(sizes)]
-    heapq.heapify(heap)
-    while len(heap) > 1:
-        _, _, a, behind_a = heapq.heappop(heap)
-        _, _, b, behind_b = heapq.heappop(heap)
-        over = len(a) + len(b) - k
-        if over <= 0:
-            loads, behind = np.concatenate([a, b]), behind_a + behind_b
-        else:
-            met = slice(len(a) - over, len(a))
-            tail = b[::-1][:over]
-            both = a[met] + tail
-            loads = np.concatenate([a[: len(a) - over], both, b[: len(b) - over]])
-            pairs = [(x, y) for x, y in zip(behind_a[met], behind_b[::-1][:over])]
-            behind = behind_a[: len(a) - over] + pairs + behind_b[: len(b) - over]
+    order = np.argsort(-sizes, kind="stable")
+    singles, taken, n = sizes[order], 0, len(sizes)
+    tick, heap, pairs, fresh = count(), [], [], n
+
+    def push(loads: np.ndarray, nodes: np.ndarray) -> None:
         falling = np.argsort(-loads, kind="stable")
-        loads, behind = loads[falling], [behind[i] for i in falling]
+        loads, nodes = loads[falling], nodes[falling]
         if len(loads) == k:
             loads = loads - loads[-1]
-        heapq.heappush(heap, (-int(loads[0]), next(order), loads, behind))
-    return [flatten(tree) for tree in heap[0][3]] if heap else []
-
-
-def flatten(tree: tuple) -> list[int]:
-    out, open_ = [], [tree]
-    while open_:
-        node = open_.pop()
-        if isinstance(node, tuple):
-            open_ += node
-        else:
-            out.append(node)
-    return sorted(out)
-
-
-def pack(sizes: np.ndarray, capacity: int) -> list[list[int]]:
-    """Containers (lists of item positions) of at most ``capacity``; every size is at most that."""
+        heapq.heappush(heap, (-int(loads[0]), next(tick), loads, nodes))
+
+    def largest() -> tuple[np.ndarray, np.ndarray]:
+        nonlocal taken
+        if taken < n and (not heap or singles[taken] >= -heap[0][0]):
+            taken += 1
+            return singles[taken - 1 : taken], order[taken - 1 : taken]
+        return heapq.heappop(heap)[2:]
+
+    while n - taken + len(heap) > 1:
+        a, behind_a = largest()
+        lead = -heap[0][0] if heap else 0
+        joined = min(k - len(a), int(np.searchsorted(-singles[taken:], -lead, "right")))
+        if joined > 0:
+            push(np.concatenate([a, singles[taken : taken + joined]]), np.concatenate([behind_a, order[taken : taken + joined]]))
+            taken += joined
+            continue
+        b, behind_b = largest()
+        over = max(0, len(a) + len(b) - k)
+        met = slice(len(a) - over, len(a))
+        both = a[met] + b[::-1][:over]
+        pairs.append((fresh, behind_a[met], behind_b[::-1][:over]))
+        nodes = np.concatenate([behind_a[: len(a) - over], np.arange(fresh, fresh + over), behind_b[: len(b) - over]])
+        fresh += over
+        push(np.concatenate([a[: len(a) - over], both, b[: len(b) - over]]), nodes)
+    container = np.zeros(fresh, dtype="int64")
+    nodes = heap[0][3] if heap else order
+    container[nodes] = np.arange(len(nodes))
+    for start, left, right in reversed(pairs):
+        container[left] = container[right] = container[start : start + len(left)]
+    return container[:n]
+
+
+def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """The container of each item, none over ``capacity``; every size is at most that."""
     if not len(sizes):
-        return []
-    k = max(1, -(-int(sizes.sum()) // capacity))
+        return np.array([], dtype="int64")
+    # items of more than half a container each need their own
+    k = max(1, -(-int(sizes.sum()) // capacity), int((sizes * 2 > capacity).sum()))
     while True:
-        containers = difference(sizes, k) if k < len(sizes) else [[i] for i in range(len(sizes))]
-        fullest = max(int(sizes[c].sum()) for c in containers)
-        if fullest <= capacity:
-            return containers
-        k += 1
+        found = difference(sizes, k) if k < len(sizes) else np.arange(len(sizes))
+        over = np.maximum(np.bincount(found, weights=sizes) - capacity, 0).sum()
+        if not over:
+            return found
+        k += max(1, int(over) // capacity)
 
 
 def pack_groups(doc_id: str, capacity: int):
@@ -89,16 +100,23 @@ def pack_groups(doc_id: str, capacity: int):
             full, rest = size // capacity, size % capacity
             item = np.repeat(np.arange(len(ids)), full)
             piece = np.arange(len(item)) - np.repeat(np.cumsum(full) - full, full)
-            parts = [pd.DataFrame({"item": item, "slot": np.arange(len(item)), "token_start": piece * capacity, "n_tokens": capacity, "container_start": 0})]
             left = np.flatnonzero(rest)
-            for n, members in enumerate(pack(rest[left], capacity)):
-                at = left[members]
-                parts.append(pd.DataFrame({"item": at, "slot": len(item) + n, "token_start": full[at] * capacity, "n_tokens": rest[at], "container_start": np.cumsum(rest[at]) - rest[at]}))
-            whole = pd.concat(parts)
-            whole[doc_id] = ids[whole["item"].to_numpy(dtype=int)]
-            whole["container_id"] = (int(group) << 32) + whole["slot"]
-            out.append(whole)
-        return pd.concat(out)[["container_id", doc_id, "token_start", "n_tokens", "container_start"]]
+            slot = pack(rest[left], capacity)
+            placed = np.argsort(slot, kind="stable")
+            at, slot = left[placed], slot[placed]
+            begin = np.cumsum(rest[at]) - rest[at]
+            first = np.r_[True, slot[1:] != slot[:-1]] if len(slot) else np.array([], dtype=bool)
+            start = begin - np.maximum.accumulate(np.where(first, begin, 0))
+            zero = np.zeros(len(item), dtype="int64")
+            out.append(
+                pd.DataFrame(
+                    {
+                        "container_id": (int(group) << 32) + np.r_[np.arange(len(item)), len(item) + slot], doc_id: ids[np.r_[item, at].astype(int)], "token_start": np.r_[piece * capacity, full[at] * capacity],
+                        "n_tokens": np.r_[zero + capacity, rest[at]], "container_start": np.r_[zero, start],
+                    }
+                )
+            )
+        return pd.concat(out)
 
     return run
 
