@@ -15,7 +15,9 @@ their own; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import re as plain
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +45,7 @@ WORD = re.compile(r"[\p{L}\p{M}]+")
 KANA = re.compile(r"[\p{Hiragana}\p{Katakana}]")
 HAN = re.compile(r"[\p{Hiragana}\p{Katakana}\p{Han}]")
 MARKER = re.compile(r"\s*(?:[-*+•–—·◦▪‣○●]|\[[ xX]?\]|[☐☑☒✓]|\(?(?:\d{1,3}|[a-zA-Z]|[ivxIVX]{1,5})[.)])\s")
-ENDING = re.compile(r"[.!?…。！？][\"'”’»）)\]]*\s*$")
+ENDINGS, CLOSING = frozenset(".!?…。！？"), "\"'”’»）)]"
 NUMERIC = re.compile(r"[(\"'$€£¥~+\-–−]*\d[\d.,  ]*[%xmMkKbB]?[)\"']*$|[-–—]+$|n/?a$", re.IGNORECASE)
 RULE = re.compile(r"\s*[|+:=\-\s]+$")
 LEADER = re.compile(r"\.{4,}|(?:\. ){4,}")
@@ -51,10 +53,10 @@ GAP = re.compile(r"\t+| {3,}|\xa0{3,}|\||</td>")
 HEX = re.compile(r"(?:0x)?[0-9a-f]{2}$|[0-9a-f]{8}:?$", re.IGNORECASE)
 BROKEN = re.compile(r"[ÃÂâ][\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ¡-¿]|ï¿½|�")
 ODD = re.compile(r"[^\p{L}\p{M}\p{N}\s.,;:!?'\"()\-–—%$€£¥&/’‘“”«»…·•。、！？（）「」・･ー％＄]")
-#: The ASCII characters among them.
-ODD_ASCII = [c for c in map(chr, range(128)) if ODD.match(c)]
 INSIDE = re.compile(r"[\p{Latin}\d][^\p{L}\p{M}\p{N}\s'’.,\-–—/&:%€$£¥()、。]+[\p{Latin}\d]|[¬°^~|`_#{}\\=*<>@]\p{Latin}|\p{Latin}[¬°^~|`_#{}\\=*<>@!]")
 LABEL = re.compile(r"[\p{Lu}\d]")
+BREAKS = plain.compile("[ÃÂâï�]")
+RARE = plain.compile(" [/·|>•–] ")
 INLINE = re.compile(r", | / | · | \| | > |; | • | – ")
 
 STATS = ["words", "word_length", "symbol_ratio", "ending_share", "common_share", "lines", "words_per_line", "prose_share", "list_share", "table_share", "short_share", "number_share", "furniture_share", "broken_share", "inside_share", "hex_share", "odd_share", "longest_word", "distinct_share", "item_length", "items", "label_share"]
@@ -89,46 +91,50 @@ def numeric(cell: str) -> bool:
 
 
 #: Facts of tokens seen before, at most FACTS_KEPT of at most 40 characters; it only saves work.
-FACTS: dict[str, tuple[bool, bool, bool, bool]] = {}
-FACTS_KEPT = 100_000
-
-
-def token_facts(token: str) -> tuple[bool, bool, bool, bool]:
-    """Whether a token is numeric, a byte of a dump, has symbols inside, is a function word."""
-    found = FACTS.get(token)
-    if found is None:
-        found = numeric(token), bool(HEX.match(token)), bool(INSIDE.search(token)), token.lower().strip(EDGE) in COMMON_WORDS
-        if len(token) <= 40:
-            if len(FACTS) >= FACTS_KEPT:
-                FACTS.clear()
-            FACTS[token] = found
+FACTS: dict[str, tuple] = {}
+FACTS_KEPT = 200_000
+
+
+def token_facts(token: str) -> tuple:
+    """Whether a token is numeric, a byte of a dump, has symbols inside, is a function word; its characters, words,
+    characters in words, furniture words, odd characters, digits, East Asian characters and kana; the words."""
+    words = WORD.findall(token.lower())
+    plain = token.isascii()
+    found = (
+        numeric(token), bool(HEX.match(token)), bool(INSIDE.search(token)), token.lower().strip(EDGE) in COMMON_WORDS, len(token), len(words), sum(map(len, words)), sum(w in FURNITURE for w in words),
+        len(ODD.findall(token)), sum(map(str.isdigit, token)), 0 if plain else len(HAN.findall(token)), 0 if plain else len(KANA.findall(token)), words,
+    )
+    if len(token) <= 40:
+        if len(FACTS) >= FACTS_KEPT:
+            FACTS.clear()
+        FACTS[token] = found
     return found
 
 
 class Line:
-    """A line that is not blank, cut into tokens and words once for all statistics."""
+    """A line that is not blank, cut into tokens once for all statistics; the sums of its tokens' facts."""
 
-    __slots__ = ("text", "tokens", "words", "facts", "furniture", "plain")
+    __slots__ = ("text", "tokens", "facts", "words", "sums")
 
     def __init__(self, text: str):
-        self.text, self.plain = text, text.isascii()
-        self.tokens, self.words = text.split(), WORD.findall(text.lower())
-        self.facts = list(map(token_facts, self.tokens))
-        self.furniture = sum(w in FURNITURE for w in self.words)
+        self.text = text
+        self.tokens = text.split()
+        known = FACTS.get
+        self.facts = [known(t) or token_facts(t) for t in self.tokens]
+        *counts, self.words = zip(*self.facts)
+        self.sums = list(map(sum, counts))
 
     def kind(self) -> str:
         """prose, list, table, short (a few words) or other."""
-        line, words, body = self.text, self.words, self.text.strip()
-        dump = sum(f[1] for f in self.facts)
-        if words and (self.furniture * 2 >= len(words) or dump * 2 > len(self.tokens)):
+        line, body = self.text, self.text.strip()
+        _, dump, _, known, solid, words, _, furniture, _, _, han, kana = self.sums
+        if words and (furniture * 2 >= words or dump * 2 > len(self.tokens)):
             return "other"
-        common = min(1.0, sum(f[3] for f in self.facts) / len(words)) if words else 0.0
-        spoken = len(words) >= 5 and common >= 0.2 and len(set(words)) >= 4
-        if not spoken and not self.plain:
-            han = len(HAN.findall(line))
-            spoken = han >= 8 and han > 0.4 * len(body) and len(KANA.findall(line)) >= 0.2 * han
+        spoken = words >= 5 and known >= 0.2 * words and len(set(chain.from_iterable(self.words))) >= 4
+        if not spoken and han:
+            spoken = han >= 8 and han > 0.4 * len(body) and kana >= 0.2 * han
         marked = bool(MARKER.match(line))
-        if spoken and not (marked and len(words) < 8) and line.count("|") < 3 and "<td" not in line:
+        if spoken and not (marked and words < 8) and line.count("|") < 3 and "<td" not in line:
             return "prose"
         if "<td" in line or "<th" in line or (RULE.match(line) and ("|" in line or "+" in line)):
             return "table"
@@ -136,7 +142,7 @@ class Line:
             after = LEADER.split(body)[-1].split()
             if after and numeric(after[0]):
                 return "table"
-        commas = csv_cells(body)
+        commas = csv_cells(body) if "," in body else [body]
         gaps = gap_cells(body)
         for cells in (gaps, commas):
             if len(cells) >= 3 and sum(numeric(c) for c in cells[1:]) * 2 >= len(cells) - 1:
@@ -151,49 +157,56 @@ class Line:
             return "table"
         return "short" if len(self.tokens) <= 9 and len(body) <= 90 else "other"
 
+    def ended(self) -> bool:
+        """Whether the line ends in punctuation, with closing quotes and brackets after it or not."""
+        return self.text.rstrip().rstrip(CLOSING)[-1:] in ENDINGS
+
+
+def inline_items(text: str) -> list[str]:
+    """The parts between separators; a text with the two usual ones only is cut without a pattern."""
+    parts = text.replace("; ", ", ").split(", ") if not RARE.search(text) else INLINE.split(text)
+    return [x for x in parts if x.strip()]
+
 
 def statistics(text: str) -> list[float]:
     """The STATS of a text that is not blank."""
     lines = [Line(x) for x in BREAK.split(text) if x.strip()]
     tokens = [t for x in lines for t in x.tokens]
-    words = sum(len(x.words) for x in lines)
-    number, dump, inside, common = (sum(f) / len(tokens) for f in zip(*(f for x in lines for f in x.facts)))
-    solid = sum(map(len, tokens))
-    furniture = sum(x.furniture for x in lines) / words if words else 0.0
-    spoken = min(1.0, common * len(tokens) / words) if words and furniture < 0.5 and dump < 0.6 else 0.0
-    plain = text.isascii()
-    han = [] if plain else HAN.findall(text)
-    if len(han) > 0.3 * solid:
-        spoken = max(spoken, min(1.0, len(KANA.findall(text)) / len(han)))
+    total = len(tokens)
+    number, dump, inside, common, solid, words, letters, furniture, odd, digits, han, kana = map(sum, zip(*(x.sums for x in lines)))
+    number, dump, inside, common = number / total, dump / total, inside / total, common / total
+    furniture = furniture / words if words else 0.0
+    spoken = min(1.0, common * total / words) if words and furniture < 0.5 and dump < 0.6 else 0.0
+    if han > 0.3 * solid:
+        spoken = max(spoken, min(1.0, kana / han))
     weight = {"prose": 0, "list": 0, "table": 0, "short": 0, "other": 0}
     for x in lines:
         weight[x.kind()] += len(x.text.strip())
     all_chars = sum(weight.values())
-    items = [x for x in INLINE.split(" ".join(tokens)) if x.strip()]
-    tall = tokens if not han else [t for t in tokens if len(HAN.findall(t)) * 2 < len(t)]
-    letters = sum(len(w) for x in lines for w in x.words)
-    odd = sum(map(text.count, ODD_ASCII)) if plain else len(ODD.findall(text))
-    sizes = [len(x.split()) for x in items]
+    items = inline_items(" ".join(tokens))
+    tall = tokens if not han else [t for x in lines for t, f in zip(x.tokens, x.facts) if f[10] * 2 < f[4]]
+    sizes = [x.count(" ") + 1 if x[0] != " " and x[-1] != " " else len(x.split()) for x in items]
+    broken = BROKEN.findall(text) if BREAKS.search(text) else []
     return [
-        float(len(tokens)),
-        solid / len(tokens),
-        1 - (letters + sum(map(str.isdigit, text))) / solid,
-        sum(bool(ENDING.search(x.text)) for x in lines) / len(lines),
+        float(total),
+        solid / total,
+        1 - (letters + digits) / solid,
+        sum(x.ended() for x in lines) / len(lines),
         spoken,
         float(len(lines)),
-        len(tokens) / len(lines),
+        total / len(lines),
         weight["prose"] / all_chars,
         weight["list"] / all_chars,
         weight["table"] / all_chars,
         weight["short"] / all_chars,
         number,
         furniture,
-        0.0 if plain else sum(map(len, BROKEN.findall(text))) / solid,
+        sum(map(len, broken)) / solid,
         inside,
         dump,
         odd / solid,
         float(max(map(len, tall), default=0)),
-        len(set(tokens)) / len(tokens),
+        len(set(tokens)) / total,
         sum(sizes) / max(1, len(sizes)),
         float(len(items)),
         sum(n <= 6 and bool(LABEL.match(x.strip())) for n, x in zip(sizes, items)) / max(1, len(items)),
@@ -254,12 +267,12 @@ def text_statistics(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     return spread(documents.select(doc_id, text)).mapInArrow(measure, schema)
 
 
-def learn_types(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60, strength: float = 20.0) -> np.ndarray:
+def learn_types(patterns: np.ndarray, counts: np.ndarray, rounds: int = 10_000, strength: float = 20.0) -> np.ndarray:
     """Posterior over KINDS of each vote pattern, by expectation maximisation.
 
     Each function has two unknowns: how often it fires on its own type, and how often on
     any other. The start is a guess (0.7 and 0.03), which also acts as ``strength`` prior
-    observations.
+    observations. It goes on until no posterior moves by more than 1e-6; ``rounds`` only guards, and raises.
     """
     fires = (patterns[:, None] >> np.arange(len(FUNCTIONS))) & 1
     target = np.array([KINDS.index(kind) for _, kind, _ in FUNCTIONS])
@@ -281,6 +294,8 @@ def learn_types(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60, stre
         miss = ((fired * ~own).sum(axis=1) + 0.03 * strength) / ((total * ~own).sum(axis=1) + strength)
         rate = np.where(own, hit[:, None], miss[:, None])
         share = (total + 1) / (total.sum() + len(KINDS))
+    else:
+        raise ArithmeticError(f"types not settled after {rounds} rounds")
     return posterior
 
 
