@@ -10,6 +10,7 @@ from tidemark.llm.consensus import Survivor, near_groups, surviving_fields
 from tidemark.llm.encode import encode_corpus
 from tidemark.llm.pack import fill_containers
 from tidemark.llm.quality import STATS, text_statistics, text_types
+from tidemark.session import shared_folder
 from tidemark.sources.tables import table
 
 #: Values that cannot be meant (parameters): earnings per share beyond these, revenue not above 0 or of a
@@ -28,14 +29,19 @@ def real_time(name: str) -> Column:
 FIELDS = ["announcement_timestamp", "filing_timestamp", "actual_eps", "estimated_eps", "actual_revenue", "estimated_revenue"]
 
 
-def p4_survivors(spark: SparkSession, folder: str) -> DataFrame:
+def p4_survivors(spark: SparkSession, folder: str, decay: float | None = 0.5) -> DataFrame:
     rows = table(spark, folder, "announcements", "event_id", "security_id", "fiscal_period_end", "source", "ingestion_timestamp", "deleted_at", *FIELDS).where("deleted_at is null")
     feeds = table(spark, folder, "feed_sources", "source", "trust")
     grouped = near_groups(rows.withColumn("security_id", norm_key("security_id")).join(feeds, "source", "left"), "security_id", "fiscal_period_end", "event_id")
     fields = [Survivor(f, real_time(f)) for f in FIELDS[:2]]
     fields += [Survivor(f, real_number(f, -EPS_LIMIT, EPS_LIMIT)) for f in FIELDS[2:4]]
     fields += [Survivor(f, real_number(f, 0.0, REVENUE_LIMIT)) for f in FIELDS[4:]]
-    return surviving_fields(grouped, "event_id", "trust", "ingestion_timestamp", fields)
+    return surviving_fields(grouped, "event_id", "trust", "ingestion_timestamp", fields, decay=decay)
+
+
+def p4_consensus(spark: SparkSession, folder: str) -> DataFrame:
+    """Survivors by votes instead of trust: every record has one vote, so values that agree token by token win."""
+    return p4_survivors(spark, folder, None)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -58,6 +64,7 @@ def p10_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 def p10_types(spark: SparkSession, folder: str) -> DataFrame:
     # read twice (patterns, then types), so the votes are kept in the shared folder
+    shared_folder(spark)
     measured = text_statistics(table(spark, folder, "documents")).select("doc_id", "votes").checkpoint()
     return text_types(measured)
 
@@ -82,5 +89,5 @@ g AS (SELECT *, min(event_id) OVER (PARTITION BY s, run) AS group_id, count(*) O
     for f in FIELDS
 )
 
-QUERIES = {"p4_found": p4_found, "p4_survivors": p4_survivors, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_statistics": p10_statistics}
+QUERIES = {"p4_found": p4_found, "p4_survivors": p4_survivors, "p4_consensus": p4_consensus, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_statistics": p10_statistics}
 SQL = {"p4_found": P4}
