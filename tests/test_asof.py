@@ -5,7 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators.asof import asof_join, bitemporal_asof, reduced, time_shards, undominated
+from tidemark.functions.shards import time_shards
+from tidemark.operators.asof import asof_join, bitemporal_asof, reduced, undominated
 
 DAY = 86_400_000_000
 NEVER = np.iinfo("int64").max

@@ -7,7 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators import alignment, evaluation, features, integrity, labels, securities, tone
+from tidemark.operators import alignment, evaluation, features, integrity, labels, ranks, securities, tone
 from tidemark.operators import calendar as cal
 
 
@@ -127,16 +127,17 @@ def test_market_context_sees_only_bars_before_entry(spark):
 def test_quantile_buckets_follow_the_linear_quantiles_of_ranks(spark, n, rows):
     import numpy as np
 
-    df = spark.range(rows).withColumn("bucket", features.quantile_bucket([F.col("id")], n))
-    ranks = np.arange(1, rows + 1)
-    cuts = np.quantile(ranks, np.arange(1, n) / n)
-    on_cut = np.isclose(ranks[:, None], cuts[None, :])
-    want = 1 + ((ranks[:, None] > cuts[None, :]) & ~on_cut).sum(axis=1) + (on_cut.any(axis=1) if n == 3 else 0)
+    df = ranks.bucketed(spark.range(rows), [], "id", "id", n)
+    place = np.arange(1, rows + 1)
+    cuts = np.quantile(place, np.arange(1, n) / n)
+    on_cut = np.isclose(place[:, None], cuts[None, :])
+    want = 1 + ((place[:, None] > cuts[None, :]) & ~on_cut).sum(axis=1) + (on_cut.any(axis=1) if n == 3 else 0)
     assert [r.bucket for r in df.orderBy("id").collect()] == want.tolist()
 
 
 def test_single_row_has_no_bucket(spark):
-    assert spark.range(1).select(features.quantile_bucket([F.col("id")], 5).alias("b")).first().b is None
+    assert ranks.bucketed(spark.range(1), [], "id", "id", 5).first().bucket is None
+    assert ranks.bucketed(spark.range(0), [], "id", "id", 5).collect() == []
 
 
 def test_folds(spark):

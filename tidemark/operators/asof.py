@@ -23,47 +23,18 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.grouped import map_sorted_groups
+from tidemark.functions.shards import sharded, time_shards
 
 NEVER = np.iinfo("int64").max
-#: Hot keys, and shards of hot keys beyond the first of each, at most; an entity left whole has at most that part of all rows.
-MOST_SHARDS = 10_000
 #: Versions tried per event at once before the rest of a group goes through the heaps.
 TRIES = 64
 
 
-def time_shards(rows: DataFrame, hot_rows: int, most: int = MOST_SHARDS) -> tuple[Column, DataFrame | None]:
-    """Shard number of a row (columns ``key``, ``t``) and the hot keys' bounds; bounds is None if no key is hot.
-
-    At most ``most`` hot keys (those with most rows) and as many bounds are collected and broadcast, however
-    many rows there are: with more rows than ``most`` times ``hot_rows`` a shard holds more than ``hot_rows``.
-    """
-    counted = rows.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows)
-    hot = {r["key"]: r["n"] for r in counted.orderBy(F.desc("n"), "key").limit(most).collect()}
-    each = max(hot_rows, -(-sum(hot.values()) // most))
-    shards = {k: -(-n // each) for k, n in hot.items() if n > each}
-    if not shards:
-        return F.lit(0), None
-    spark = rows.sparkSession
-    top = max(shards.values())
-    keys = spark.createDataFrame(list(shards.items()), "key string, shards int")
-    cuts = [i / top for i in range(1, top)]
-    bounds = rows.join(F.broadcast(keys), "key").groupBy("key", "shards").agg(F.percentile_approx("t", F.lit(cuts), 10 * top).alias("q"))
-    pick = F.transform(F.sequence(F.lit(1), F.col("shards") - 1), lambda i: F.element_at("q", F.greatest(F.lit(1), F.floor(i * top / F.col("shards")).cast("int"))))
-    found = [(r["key"], sorted(set(r["b"]))) for r in bounds.select("key", pick.alias("b")).collect()]
-    return F.coalesce(F.size(F.filter("bounds", lambda b: b <= F.col("t"))), F.lit(0)), spark.createDataFrame(found, "key string, bounds array<bigint>")
-
-
-def sharded(df: DataFrame, shard: Column, bounds: DataFrame | None) -> DataFrame:
-    if bounds is None:
-        return df.withColumn("shard", F.lit(0))
-    return df.join(F.broadcast(bounds), "key", "left").withColumn("shard", shard).drop("bounds")
-
-
 def asof_join(events: DataFrame, versions: DataFrame, hot_rows: int = 500_000) -> DataFrame:
     """For each event (event_id, key, t) the id of the version (key, t, id) with the latest t strictly before the event's.
 

@@ -1,7 +1,7 @@
 """Walk-forward folds, baselines, grouped prediction metrics, bootstrap intervals, scenario sweeps.
 
 Predictions are rows (model, fold, event_id, prediction, actual). All metrics of all groups come
-from grouped aggregations; ranks are windows per group.
+from grouped aggregations over exact ranks (``ranks``), so no group has to fit one task.
 
 Defined cases: rows with a null or non-finite prediction or actual take no part; a constant
 prediction or actual has null correlations; fewer than five rows give only n, fewer than ten
@@ -10,15 +10,18 @@ no spread; one class only gives null classification metrics; empty input gives n
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import date, timedelta
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.operators.features import quantile_bucket
+from tidemark.operators.ranks import HOT_ROWS, bucketed, exact_quantiles, with_ranks
 
 
 def plus_years(day: date, years: int) -> date:
@@ -49,18 +52,23 @@ def fold_members(rows: DataFrame, day: str, folds: DataFrame, roles: tuple[str,
 def baseline_predictions(members: DataFrame, target: str, model: str, x: str = "eps_surprise_pct", sector: str = "sector") -> DataFrame:
     """Test predictions of a baseline fitted on each fold's training rows: fold, event_id, prediction, actual.
 
-    unconditional_mean: the training mean; surprise: x; prior: prev_surprise_pct; surprise_decile: the share of
+    unconditional_mean and event_day_unconditional: the training mean; surprise: x; prior: prev_surprise_pct; surprise_decile: the share of
     training deciles of x that are not above x; sector_relative: x less its sector's training mean.
     """
     train, test = members.where("role = 'train'"), members.where("role = 'test'")
-    fitted = train.groupBy("fold").agg(F.avg(target).alias("_mean"), F.avg(x).alias("_x"), F.percentile(x, F.array(*[F.lit(i / 10) for i in range(1, 10)])).alias("_cuts"))
+    # folds are few: one row each
+    fitted = train.groupBy("fold").agg(F.avg(target).alias("_mean"), F.avg(x).alias("_x"))
     seen = test.join(F.broadcast(fitted), "fold")
     zero = F.lit(0.0)
+    if model == "surprise_decile":
+        cuts = exact_quantiles(train, ["fold"], x, [i / 10 for i in range(1, 10)], "_cuts")
+        seen = seen.join(F.broadcast(cuts), "fold", "left")
     if model == "sector_relative":
         means = train.where(F.col(sector).isNotNull()).groupBy("fold", sector).agg(F.avg(x).alias("_sector"))
         seen = seen.join(means, ["fold", sector], "left")
     value = {
         "unconditional_mean": lambda: F.col("_mean"),
+        "event_day_unconditional": lambda: F.col("_mean"),
         "surprise": lambda: F.coalesce(x, zero),
         "prior": lambda: F.coalesce("prev_surprise_pct", zero),
         "surprise_decile": lambda: F.when(F.col(x).isNull(), zero).otherwise(F.size(F.filter("_cuts", lambda c: c <= F.col(x))) / 10.0),
@@ -74,41 +82,37 @@ def usable(predictions: DataFrame) -> DataFrame:
     return predictions.where(fine("prediction") & fine("actual"))
 
 
-def mean_rank(by: list[str], column: str) -> Column:
-    """Rank from 1 with ties averaged, within ``by``."""
-    low = F.rank().over(Window.partitionBy(*by).orderBy(column))
-    return low + (F.count(F.lit(1)).over(Window.partitionBy(*by, column)) - 1) / 2.0
-
-
 def pearson(x: str, y: str) -> Column:
     """Correlation of two columns, null if either hardly varies (rounding noise of a constant counts as none)."""
     flat = lambda c: F.stddev_pop(c) <= 1e-12 * (F.abs(F.avg(c)) + 1e-300)
     return F.when(~flat(x) & ~flat(y), F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
 
 
-def group_metrics(predictions: DataFrame, by: list[str]) -> DataFrame:
-    """n, mae, rmse, pearson, spearman, top_minus_bottom, roc_auc, brier, ece per group."""
-    base = usable(predictions)
-    ranked = base.withColumns({"_rp": mean_rank(by, "prediction"), "_ra": mean_rank(by, "actual"), "_y": (F.col("actual") > 0).cast("int"), "_prob": 1 / (1 + F.exp(-F.col("prediction")))})
+def group_metrics(predictions: DataFrame, by: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """n, mae, rmse, pearson, spearman, top_minus_bottom, roc_auc, brier, ece per group.
+
+    The top fifth are the predictions at or above the linear 80 % quantile, the bottom fifth those at or below the
+    20 % quantile; which these are follows from the ranks alone.
+    """
+    ranked = with_ranks(usable(predictions), by, {"_p": "prediction", "_a": "actual"}, hot_rows)
+    ranked = ranked.withColumns({"_rp": (F.col("_p_low") + F.col("_p_high")) / 2.0, "_ra": (F.col("_a_low") + F.col("_a_high")) / 2.0, "_y": (F.col("actual") > 0).cast("int"), "_prob": 1 / (1 + F.exp(-F.col("prediction")))})
     error = F.col("prediction") - F.col("actual")
-    positives = F.sum("_y")
-    core = ranked.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(F.abs(error)).alias("mae"),
-        F.sqrt(F.avg(error * error)).alias("rmse"),
-        pearson("prediction", "actual").alias("pearson"),
-        pearson("_rp", "_ra").alias("spearman"),
-        F.percentile("prediction", F.array(F.lit(0.2), F.lit(0.8))).alias("_q"),
-        positives.alias("_pos"),
-        F.sum(F.when(F.col("_y") == 1, F.col("_rp"))).alias("_ranks"),
-        F.avg((F.col("_prob") - F.col("_y")) * (F.col("_prob") - F.col("_y"))).alias("brier"),
-    )
-    keyed = ranked.join(core.select(*by, "_q"), by)
-    spread = keyed.groupBy(*by).agg((F.avg(F.when(F.col("prediction") >= F.col("_q")[1], F.col("actual"))) - F.avg(F.when(F.col("prediction") <= F.col("_q")[0], F.col("actual")))).alias("top_minus_bottom"))
-    bins = ranked.withColumn("_bin", F.least(F.lit(9), F.floor(F.col("_prob") * 10))).groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("_n"), F.avg("_prob").alias("_p"), F.avg("_y").alias("_m"))
-    calibration = bins.groupBy(*by).agg((F.sum(F.col("_n") * F.abs(F.col("_p") - F.col("_m"))) / F.sum("_n")).alias("ece"))
-    full = core.join(spread, by).join(calibration, by)
+    last = F.col("_n") - 1
+    top, low = F.col("_p_high") > F.ceil(last * 4 / 5), F.col("_p_low") - 1 <= F.floor(last / 5)
+    # by calibration bin first: one pass, and a group is never one task's work
+    parts = ranked.withColumn("_bin", F.least(F.lit(9), F.floor(F.col("_prob") * 10))).groupBy(*by, "_bin").agg(
+        F.count(F.lit(1)).alias("_n"), F.avg("_prob").alias("_p"), F.avg("_y").alias("_m"), F.sum(F.abs(error)).alias("_abs"), F.sum(error * error).alias("_sq"), F.sum("_y").alias("_pos"),
+        F.sum(F.when(F.col("_y") == 1, F.col("_rp"))).alias("_ranks"), F.sum((F.col("_prob") - F.col("_y")) * (F.col("_prob") - F.col("_y"))).alias("_brier"),
+        F.sum(F.when(top, F.col("actual"))).alias("_top"), F.count_if(top).alias("_tops"), F.sum(F.when(low, F.col("actual"))).alias("_low"), F.count_if(low).alias("_lows"),
+    )
     n, pos = F.col("n"), F.col("_pos")
+    total = lambda c: F.sum(c)
+    core = parts.groupBy(*by).agg(
+        total("_n").alias("n"), (total("_abs") / total("_n")).alias("mae"), F.sqrt(total("_sq") / total("_n")).alias("rmse"), total("_pos").alias("_pos"), total("_ranks").alias("_ranks"), (total("_brier") / total("_n")).alias("brier"),
+        (F.try_divide(total("_top"), total("_tops")) - F.try_divide(total("_low"), total("_lows"))).alias("top_minus_bottom"), (F.sum(F.col("_n") * F.abs(F.col("_p") - F.col("_m"))) / total("_n")).alias("ece"),
+    )
+    related = ranked.groupBy(*by).agg(pearson("prediction", "actual").alias("pearson"), pearson("_rp", "_ra").alias("spearman"))
+    full = core.join(related, by)
     auc = F.try_divide(F.col("_ranks") - pos * (pos + 1) / 2.0, (pos * (n - pos)).cast("double"))
     both = (pos > 0) & (pos < n) & F.col("pearson").isNotNull()
     keep = lambda c, ok: F.when(ok & (n >= 5), c)
@@ -127,44 +131,116 @@ def pooled_metrics(predictions: DataFrame) -> DataFrame:
     return every.join(group_metrics(predictions, ["model"]), "model", "left")
 
 
-def block_bootstrap(predictions: DataFrame, by: list[str], order: list[str], draws: int = 200, seed: int = 42) -> DataFrame:
-    """Block-bootstrap 95 % interval of the Pearson correlation per group: low, high.
+@lru_cache(64)
+def resampling(n: int, draws: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Blocks of each draw over n ordered rows as (first row, row after the last), and all these positions in order. A draw has n rows."""
+    size = max(5, n // 20)
+    first = np.random.default_rng(seed).integers(0, max(1, n - size + 1), size=(draws, n // size + 1))
+    length = np.full(first.shape, size)
+    length[:, -1] = n - (n // size) * size
+    return first, first + length, np.unique(np.concatenate([first.ravel(), (first + length).ravel()]))
 
-    A group's predictions are resampled as a whole, so one task holds a group: its rows are a
-    model's test predictions, which are events, not raw data. Rows are taken in ``order``.
-    Null with fewer than 20 rows or without variation.
-    """
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        p, a = rows["prediction"].to_numpy(), rows["actual"].to_numpy()
-        n = len(p)
-        low = high = np.nan
-        if n >= 20:
-            size = max(5, n // 20)
-            rng = np.random.default_rng(seed)
-            first = rng.integers(0, max(1, n - size + 1), size=(draws, n // size + 1))
-            at = (((first[:, :, None] + np.arange(size)) % n).reshape(draws, -1))[:, :n]
-            x, y = p[at] - p[at].mean(axis=1, keepdims=True), a[at] - a[at].mean(axis=1, keepdims=True)
-            norm = np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
-            if (norm > 0).any():
-                low, high = np.percentile((x * y).sum(axis=1)[norm > 0] / norm[norm > 0], [2.5, 97.5])
-        return pd.DataFrame([[*key, low, high]])
-
-    types = dict(predictions.dtypes)
-    kept = usable(predictions).select(*dict.fromkeys([*by, *order, "prediction", "actual"]))
-    return kept.groupBy(*by).applyInPandas(run, ", ".join(f"`{k}` {types[k]}" for k in by) + ", low double, high double")
+def block_sums(draws: int, seed: int):
+    """Sums of each stretch of rows between two block ends, per batch; only these leave a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            frame = batch.to_pandas()
+            out = []
+            for (key, n), rows in frame.groupby(["key", "n"], sort=False):
+                stretch = np.searchsorted(resampling(int(n), draws, seed)[2], rows["row"].to_numpy() - 1, "right")
+                x, y = rows["x"].to_numpy(), rows["y"].to_numpy()
+                sums = pd.DataFrame({"stretch": stretch, "bin": rows["bin"].to_numpy(), "c": 1.0, "x": x, "y": y, "xy": x * y, "xx": x * x, "yy": y * y}).groupby(["stretch", "bin"], as_index=False).sum()
+                out.append(sums.assign(key=key, n=n))
+            if out:
+                whole = pd.concat(out)[["key", "n", "stretch", "bin", "c", "x", "y", "xy", "xx", "yy"]]
+                yield pa.RecordBatch.from_pandas(whole.astype({"n": "int64", "stretch": "int32", "bin": "int32"}), preserve_index=False)
 
+    return run
 
-def scenario_sweep(rows: DataFrame, value: str, bucket: str, n: int, levels: list[float]) -> DataFrame:
-    """Per level of a deduction: counts and means of the top and bottom bucket and of their difference, net of it on each side."""
+
+BINS = 1024
+
+
+def block_bootstrap(predictions: DataFrame, by: list[str], order: list[str], draws: int = 200, seed: int = 42, metric: str = "pearson") -> DataFrame:
+    """Block-bootstrap 95 % interval of the Pearson correlation, or of ``top_minus_bottom``, per group: low, high.
+
+    Rows are numbered in ``order`` (a fold and an id), and every draw takes blocks of neighbouring rows. A draw's
+    statistic follows from the sums between the ends of blocks (at most 2 x 21 per draw), so rows are added up
+    where they lie and a group's task gets these sums only. For ``top_minus_bottom`` the sums are kept by
+    prediction in BINS equal bins of rank; with more rows than bins the bin a quantile falls into counts as a whole
+    on its side. Null with fewer than 20 rows or without variation.
+    """
+    if metric not in ("pearson", "top_minus_bottom"):
+        raise ValueError(f"unknown metric {metric}")
+    kept = usable(predictions).select(*dict.fromkeys([*by, *order, "prediction", "actual"]))
+    if len(order) == 1:
+        kept, order = kept.withColumn("_fold", F.lit(0)), ["_fold", *order]
+    # rows before each fold of a group: groups x folds rows
+    folds = kept.groupBy(*by, order[0]).agg(F.count(F.lit(1)).alias("_rows"), F.sum("prediction").alias("_sx"), F.sum("actual").alias("_sy"))
+    whole = Window.partitionBy(*by)
+    sofar = whole.orderBy(order[0]).rowsBetween(Window.unboundedPreceding, -1)
+    placed = folds.select(
+        *by, order[0], F.coalesce(F.sum("_rows").over(sofar), F.lit(0)).alias("_behind"), F.sum("_rows").over(whole).alias("n"),
+        (F.sum("_sx").over(whole) / F.sum("_rows").over(whole)).alias("_mx"), (F.sum("_sy").over(whole) / F.sum("_rows").over(whole)).alias("_my"),
+    )
+    rows = kept.join(placed, [*by, order[0]])
+    if metric == "top_minus_bottom":
+        rows = with_ranks(rows, by, {"_p": "prediction"}).withColumn("bin", F.when(F.col("n") <= BINS, F.col("_p_low") - 1).otherwise(F.floor((F.col("_p_low") - 1) * BINS / F.col("n"))).cast("int"))
+    else:
+        rows = rows.withColumn("bin", F.lit(0))
+    number = F.row_number().over(Window.partitionBy(*by, order[0]).orderBy(*order[1:])) + F.col("_behind")
+    key = F.to_json(F.struct(*by), {"ignoreNullFields": "false"})
+    centred = rows.where("n >= 20").select(key.alias("key"), "n", number.alias("row"), "bin", (F.col("prediction") - F.col("_mx")).alias("x"), (F.col("actual") - F.col("_my")).alias("y"))
+    sums = centred.mapInArrow(block_sums(draws, seed), "key string, n long, stretch int, bin int, c double, x double, y double, xy double, xx double, yy double")
+    sums = sums.groupBy("key", "n", "stretch", "bin").agg(*[F.sum(c).alias(c) for c in ("c", "x", "y", "xy", "xx", "yy")])
+
+    def interval(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        n = int(key[1])
+        first, after, ends = resampling(n, draws, seed)
+        from_, to = np.searchsorted(ends, first), np.searchsorted(ends, after)
+        at, bins = rows["stretch"].to_numpy(), rows["bin"].to_numpy()
+        width = bins.max() + 1
+
+        def drawn(c: str) -> np.ndarray:
+            table = np.zeros((len(ends) + 1, width))
+            np.add.at(table, (at, bins), rows[c].to_numpy())
+            running = np.cumsum(table, axis=0)
+            return np.array([(running[b] - running[a]).sum(axis=0) for a, b in zip(from_, to)])
+
+        if metric == "pearson":
+            sx, sy, sxy, sxx, syy = (drawn(c)[:, 0] for c in ("x", "y", "xy", "xx", "yy"))
+            vx, vy = sxx - sx * sx / n, syy - sy * sy / n
+            fine = (vx > 1e-12 * sxx) & (vy > 1e-12 * syy)
+            value = (sxy - sx * sy / n)[fine] / np.sqrt(vx[fine] * vy[fine])
+        else:
+            count, total = drawn("c"), drawn("y")
+            running = np.cumsum(count, axis=1)
+            high, low = (np.array([np.searchsorted(r, k, "right") for r in running]) for k in (-(-(n - 1) * 4 // 5), (n - 1) // 5))
+            place = np.arange(width)
+            top, bottom = place >= high[:, None], place <= low[:, None]
+            value = (total * top).sum(axis=1) / (count * top).sum(axis=1) - (total * bottom).sum(axis=1) / (count * bottom).sum(axis=1)
+        ends_ = np.percentile(value, [2.5, 97.5]) if len(value) else [np.nan, np.nan]
+        return pd.DataFrame([[key[0], *ends_]])
+
+    got = sums.groupBy("key", "n").applyInPandas(interval, "key string, low double, high double")
+    number_or_none = lambda c: F.nanvl(F.col(c), F.lit(None).cast("double")).alias(c)
+    groups = placed.select(*by).distinct().withColumn("key", key)
+    return groups.join(got, "key", "left").select(*by, number_or_none("low"), number_or_none("high"))
+
+
+def scenario_sweep(rows: DataFrame, value: str, bucket: str, n: int, levels: list[float], by: list[str] | None = None) -> DataFrame:
+    """Per level of a deduction (and ``by``): counts and means of the top and bottom bucket and of their difference, net of it on each side.
+
+    Rows are aggregated once; a level only shifts the means.
+    """
+    by = by or []
     side = rows.sparkSession.createDataFrame([(float(x),) for x in levels], "level double")
-    each = rows.where(F.col(bucket).isin(1, n)).join(F.broadcast(side))
     top, low = F.col(bucket) == n, F.col(bucket) == 1
-    got = each.groupBy("level").agg(
-        F.count_if(top).alias("n_top"), F.count_if(low).alias("n_bottom"), F.avg(F.when(top, F.col(value))).alias("top_gross"),
-        F.avg(F.when(top, F.col(value) - F.col("level"))).alias("top_net"), F.avg(F.when(low, -F.col(value) - F.col("level"))).alias("bottom_net"),
-    )
+    each = rows.where(F.col(bucket).isin(1, n)).groupBy(*by).agg(F.count_if(top).alias("n_top"), F.count_if(low).alias("n_bottom"), F.avg(F.when(top, F.col(value))).alias("top_gross"), F.avg(F.when(low, F.col(value))).alias("_bottom"))
+    got = each.where("n_top + n_bottom > 0").join(F.broadcast(side))
+    got = got.select(*by, "level", "n_top", "n_bottom", "top_gross", (F.col("top_gross") - F.col("level")).alias("top_net"), (-F.col("_bottom") - F.col("level")).alias("bottom_net"))
     return got.withColumn("spread_net", F.col("top_net") + F.col("bottom_net"))
 
 
@@ -175,9 +251,9 @@ def bucket_summary(rows: DataFrame, value: str, bucket: str, n: int, deduction:
     return got.withColumn("ratio", F.try_divide("annualized", F.nullif("volatility", F.lit(0.0))))
 
 
-def fold_buckets(predictions: DataFrame, n: int = 5) -> DataFrame:
+def fold_buckets(predictions: DataFrame, n: int = 5, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Adds the prediction's bucket within its model and fold (ties: event_id)."""
-    return predictions.withColumn("bucket", quantile_bucket([F.col("prediction"), F.col("event_id")], n, ["model", "fold"]))
+    return bucketed(predictions, ["model", "fold"], "prediction", "event_id", n, hot_rows=hot_rows)
 
 
 def decay_of_best(metrics: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.ranks import exact_quantiles
+
 
 def relative_surprise(actual: str, estimate: str) -> Column:
     base = F.abs(estimate)
@@ -82,24 +84,13 @@ def market_context(events: DataFrame, bars: DataFrame, least: int = 131, **windo
     return events.select("event_id").join(seen.select("event_id", *[value(c) for c in MARKET]), "event_id", "left")
 
 
-def quantile_bucket(order: list[Column], n: int, by: list[str] | None = None) -> Column:
-    """Bucket 1..n of a row's rank: cut points are the linear quantiles of the ranks, a rank on one goes below it.
-
-    Null for a group of one row. For n = 3 a rank on a cut point goes above it (the floor form). The global form (no ``by``) sorts all rows in one task: give ``by`` for large tables.
-    """
-    parts = Window.partitionBy(*by) if by else Window.partitionBy()
-    rank, rows = F.row_number().over(parts.orderBy(*order)), F.count(F.lit(1)).over(parts)
-    at = (rank - 1) * n
-    over = F.least(F.lit(n), F.floor(at / (rows - 1)) + 1) if n == 3 else F.greatest(F.lit(1), F.ceil(at / (rows - 1)))
-    return F.when(rows > 1, over.cast("int"))
-
-
 def latest_availability(parts: list[str]) -> Column:
     """When a merged row is available: the latest of its parts' stamps, nulls left out."""
     return F.greatest(*parts)
 
 
 def winsorize(df: DataFrame, column: str, low: float = 0.005, high: float = 0.995) -> DataFrame:
-    """Clips a column at two exact quantiles of the whole table (one row broadcast)."""
-    ends = df.agg(F.percentile(column, F.array(F.lit(low), F.lit(high))).alias("_q"))
-    return df.join(F.broadcast(ends)).withColumn(column, F.greatest(F.least(F.col(column), F.col("_q")[1]), F.col("_q")[0])).drop("_q")
+    """Clips a column at two exact quantiles of the whole table (one row broadcast); null stays null."""
+    ends = exact_quantiles(df, [], column, [low, high], "_q")
+    clipped = F.when(F.col(column).isNotNull(), F.greatest(F.least(F.col(column), F.col("_q")[1]), F.col("_q")[0]))
+    return df.join(F.broadcast(ends)).withColumn(column, clipped).drop("_q")

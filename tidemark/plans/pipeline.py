@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.config import Config
-from tidemark.operators import alignment, evaluation, features, integrity, labels, models, tone
+from tidemark.operators import alignment, evaluation, features, integrity, labels, models, ranks, tone
 from tidemark.operators import calendar as cal
 from tidemark.sources import synthetic  # noqa: F401 - registers its provider
 from tidemark.sources.io import fetch, read_json, read_table, write_json, write_table
@@ -68,7 +68,7 @@ class Study:
         primary = alignment.primary(self.table("event_master"))
         base = features.surprises(primary)
         full = base.join(features.market_context(primary, self.table("bars"), **windows), "event_id", "left")
-        full = full.withColumn("liquidity_bucket", features.quantile_bucket([F.col("market_cap_at_event"), F.col("event_id")], 3, ["fiscal_year"]))
+        full = ranks.bucketed(full, ["fiscal_year"], "market_cap_at_event", "event_id", 3, "liquidity_bucket")
         full = cal.with_day(full, "effective_date", self.days(), {"prev_session": "_prev"}).withColumns({"_market": cal.at_clock("_prev", 16, 5), "_cross": cal.at_clock("effective_date", 0, 0)})
         self.store("features", full.withColumn("feature_available_at", features.latest_availability(["announcement_timestamp", "_market", "_cross"])).withColumn("source_available_at", F.col("estimate_timestamp")).drop("_prev", "_market", "_cross"))
         if self.config.features["text"]:

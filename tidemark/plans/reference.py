@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.keys import norm_key
-from tidemark.operators import alignment, evaluation, features, integrity, labels, models, securities, tone
+from tidemark.operators import alignment, evaluation, features, integrity, labels, models, ranks, securities, tone
 from tidemark.operators import calendar as cal
 from tidemark.plans import views
 from tidemark.plans.data_problems import KEY
@@ -235,8 +235,8 @@ for _suffix, _w in WINDOWS.items():
     SELECT event_id, fiscal_year, CASE WHEN n > 1 THEN CAST(least(3, 1 + ((k - 1) * 3) // (n - 1)) AS INT) END AS bucket FROM k""",
 )
 def _(spark, folder):
-    bucket = features.quantile_bucket([F.col("market_cap_at_event"), F.col("event_id")], 3, ["fiscal_year"])
-    return primary(spark, folder).select("event_id", "fiscal_year", bucket.alias("bucket"))
+    rows = primary(spark, folder).select("event_id", "fiscal_year", "market_cap_at_event")
+    return ranks.bucketed(rows, ["fiscal_year"], "market_cap_at_event", "event_id", 3).drop("market_cap_at_event")
 
 
 @register(
@@ -285,8 +285,7 @@ def _(spark, folder):
 
 @register("winsorize", f"WITH {S_SUR}, q AS (SELECT quantile_cont(eps_surprise_pct, 0.005) AS a, quantile_cont(eps_surprise_pct, 0.995) AS b FROM sur) SELECT event_id, round(CASE WHEN eps_surprise_pct IS NULL THEN NULL ELSE greatest(least(eps_surprise_pct, b), a) END, {DIGITS}) AS eps_surprise_pct FROM sur CROSS JOIN q")
 def _(spark, folder):
-    clipped = features.winsorize(surprised(spark, folder).select("event_id", "eps_surprise_pct", F.col("eps_surprise_pct").isNull().alias("_no")), "eps_surprise_pct")
-    return clipped.select("event_id", F.when(~F.col("_no"), F.col("eps_surprise_pct")).alias("eps_surprise_pct"))
+    return features.winsorize(surprised(spark, folder).select("event_id", "eps_surprise_pct"), "eps_surprise_pct")
 
 
 @register("latent_override", f"WITH {S_LAB} SELECT lab.event_id, round(ev.market_cap_at_event / 1e12, {DIGITS}) AS reaction_car, {r('drift_car_20')} FROM lab LEFT JOIN ev USING (event_id)")
