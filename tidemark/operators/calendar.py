@@ -1,7 +1,8 @@
 """Exchange calendar operators: sessions from rules, day lookups, shifts by sessions.
 
 The calendar is a dimension of about 252 sessions a year, whatever the size of the data,
-so its tables are broadcast; every lookup is an equi-join on the day.
+so its sessions are read once, its day tables are made on the driver as literal relations
+and broadcast; every lookup is an equi-join on the day.
 
 Defined cases: a null day gives null lookups; days outside the calendar have no previous
 or next session on that side; shifts stop at the calendar's ends.
@@ -11,10 +12,14 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+EPOCH = date(1970, 1, 1).toordinal()
+
 #: One-off closures of the New York exchange (fixed values).
 CLOSURES = [
     "2001-09-11", "2001-09-12", "2001-09-13", "2001-09-14", "2004-06-11", "2007-01-02", "2012-10-29", "2012-10-30", "2018-12-05", "2025-01-09",
@@ -66,28 +71,44 @@ def exchange_sessions(spark: SparkSession, start: str, end: str) -> DataFrame:
     return kept.withColumn("ord", F.row_number().over(Window.orderBy("session_date")) - 1)
 
 
+def literal(spark: SparkSession, columns: dict[str, pa.Array]) -> DataFrame:
+    """A small table as a literal relation of the plan."""
+    return spark.createDataFrame(pa.table(columns))
+
+
+def picked(values: np.ndarray, at: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """Values at positions, null where a position is out of range."""
+    inside = (at >= 0) & (at < len(values))
+    chosen = values[np.clip(at, 0, max(0, len(values) - 1))] if len(values) else np.zeros(len(at), dtype="int32")
+    return pa.array(chosen.astype("int32"), mask=~inside).cast(kind)
+
+
+def session_arrays(sessions: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Day numbers and ordinals of the sessions, in order: about 252 a year."""
+    rows = sorted((r["session_date"].toordinal() - EPOCH, r["ord"]) for r in sessions.select("session_date", "ord").where("session_date is not null").collect())
+    return np.array([d for d, _ in rows], dtype="int64"), np.array([o for _, o in rows], dtype="int64")
+
+
 def day_table(sessions: DataFrame, margin: int = 400) -> DataFrame:
     """One row per calendar day: day, is_session, ord, previous and next session (strictly before and after), nearest ordinal.
 
     The nearest session of a closed day is the later one when both are equally far.
     ``margin``: calendar days covered beyond the first and last session.
     """
-    ends = sessions.agg(F.min("session_date").alias("a"), F.max("session_date").alias("b"))
-    days = ends.select(F.explode(F.sequence(F.date_sub("a", margin), F.date_add("b", margin))).alias("day"))
-    joined = days.join(F.broadcast(sessions.select(F.col("session_date"), F.col("ord"))), F.col("day") == F.col("session_date"), "left")
-    order = Window.orderBy("day")
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
-    full = joined.withColumns(
+    at, number = session_arrays(sessions)
+    days = np.arange(at[0] - margin, at[-1] + margin + 1) if len(at) else np.array([], dtype="int64")
+    first, after = np.searchsorted(at, days, "left"), np.searchsorted(at, days, "right")
+    before, open_ = first - 1, after > first
+    far = lambda i: np.where((i >= 0) & (i < len(at)), np.abs(at[np.clip(i, 0, len(at) - 1)] - days), np.iinfo("int64").max) if len(at) else days
+    near = np.where(open_, first, np.where(far(before) < far(after), before, after))
+    date_, int_ = pa.date32(), pa.int32()
+    return literal(
+        sessions.sparkSession,
         {
-            "prev_session": F.last("session_date", True).over(before),
-            "prev_ord": F.last("ord", True).over(before),
-            "next_session": F.first("session_date", True).over(after),
-            "next_ord": F.first("ord", True).over(after),
-        }
-    )
-    back, ahead = F.datediff("day", "prev_session"), F.datediff("next_session", "day")
-    near = F.when(F.col("ord").isNotNull(), F.col("ord")).when(back < ahead, F.col("prev_ord")).otherwise(F.coalesce("next_ord", "prev_ord"))
-    return full.select("day", F.col("ord").isNotNull().alias("is_session"), "ord", "prev_session", "prev_ord", "next_session", "next_ord", near.alias("near_ord"))
+            "day": pa.array(days.astype("int32")).cast(date_), "is_session": pa.array(open_), "ord": picked(number, np.where(open_, first, -1), int_), "prev_session": picked(at, before, date_), "prev_ord": picked(number, before, int_),
+            "next_session": picked(at, after, date_), "next_ord": picked(number, after, int_), "near_ord": picked(number, near, int_),
+        },
+    )
 
 
 def with_day(df: DataFrame, day: str, days: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -97,14 +118,18 @@ def with_day(df: DataFrame, day: str, days: DataFrame, columns: dict[str, str])
 
 
 def shift_table(days: DataFrame, sessions: DataFrame, shifts: dict[str, int]) -> DataFrame:
-    """Per day, the session (and ``<name>_ord``) each shift leads to from the nearest session, within the calendar. As small as the calendar."""
-    top = sessions.agg(F.max("ord").alias("__top"))
-    table = days.crossJoin(F.broadcast(top))
+    """Per day its nearest ordinal and the session (and ``<name>_ord``) each shift leads to from the nearest session, within the calendar. As small as the calendar."""
+    at, number = session_arrays(sessions)
+    rows = days.select("day", "near_ord").collect()
+    near = np.array([-1 if r["near_ord"] is None else r["near_ord"] for r in rows], dtype="int64")
+    known = np.array([r["near_ord"] is not None for r in rows], dtype=bool)
+    place = {o: i for i, o in enumerate(number.tolist())}
+    table = {"day": pa.array([r["day"] for r in rows], pa.date32()), "near_ord": pa.array(near.astype("int32"), mask=~known)}
     for name, n in shifts.items():
-        at = F.when(F.col("near_ord").isNotNull(), F.greatest(F.lit(0), F.least(F.col("near_ord") + n, F.col("__top"))))
-        side = sessions.select(F.col("session_date").alias(name), F.col("ord").alias(f"{name}_ord"))
-        table = table.withColumn("__to", at).join(F.broadcast(side), F.col("__to") == F.col(f"{name}_ord"), "left").drop("__to")
-    return table.drop("__top")
+        wanted = np.clip(near + n, 0, number.max(initial=0))
+        found = np.array([place.get(o, -1) if k else -1 for o, k in zip(wanted.tolist(), known)], dtype="int64")
+        table |= {name: picked(at, found, pa.date32()), f"{name}_ord": picked(number, found, pa.int32())}
+    return literal(days.sparkSession, table)
 
 
 def shift_sessions(df: DataFrame, day: str, n: int, days: DataFrame, sessions: DataFrame, out: str) -> DataFrame:

@@ -28,7 +28,7 @@ def surprises(events: DataFrame, when: str = "effective_date") -> DataFrame:
 
     The standard deviation runs over the security's earlier surprises only (two at least).
     """
-    base = events.withColumns({"eps_surprise": F.col("actual_eps") - F.col("estimated_eps"), "eps_surprise_pct": relative_surprise("actual_eps", "estimated_eps"), "rev_surprise_pct": relative_surprise("actual_revenue", "estimated_revenue")})
+    base = events.withColumns({"eps_surprise": F.col("actual_eps") - F.col("estimated_eps"), "eps_surprise_pct": relative_surprise("actual_eps", "estimated_eps"), "rev_surprise": F.col("actual_revenue") - F.col("estimated_revenue"), "rev_surprise_pct": relative_surprise("actual_revenue", "estimated_revenue")})
     order = Window.partitionBy("security_id").orderBy(when, "event_id")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     spread = F.when(F.count("eps_surprise_pct").over(earlier) >= 2, F.stddev_samp("eps_surprise_pct").over(earlier))
@@ -41,47 +41,49 @@ def surprises(events: DataFrame, when: str = "effective_date") -> DataFrame:
     return turn.withColumn("beat_streak", (F.sum("beat").over(inside) * F.col("beat")).cast("int")).drop("_turn", "_run")
 
 
-def bar_context(bars: DataFrame, short: int = 21, mid: int = 63, long: int = 126, volatility: int = 63, volume: int = 63) -> DataFrame:
-    """Per bar (security_id, ord, close, volume), the trailing measures as of its close."""
+MARKET = ["mom_1m", "mom_3m", "mom_6m", "dist_high", "rv_3m", "downside_vol_3m", "volume_surprise", "short_term_reversal"]
+
+
+def bar_context(bars: DataFrame, columns: list[str] | None = None, short: int = 21, mid: int = 63, long: int = 126, volatility: int = 63, volume: int = 63) -> DataFrame:
+    """Per bar (security_id, ord, close, volume), its number ``n`` and the trailing measures (all of MARKET, or ``columns``) as of its close."""
+    columns = MARKET if columns is None else columns
     order = Window.partitionBy("security_id").orderBy("ord")
     last = lambda n: order.rowsBetween(-(n - 1), 0)
     back = lambda n: F.try_divide("close", F.lag("close", n).over(order)) - 1
     base = bars.select("security_id", "ord", "close", "volume").withColumns({"n": F.row_number().over(order), "ret": back(1)})
-    # the last k falling returns: a window over the falling bars alone, on the same partitioning
-    fell = Window.partitionBy("security_id", "_down").orderBy("ord").rowsBetween(-(volatility - 1), 0)
-    base = base.withColumn("_down", F.coalesce(F.col("ret") < 0, F.lit(False)))
-    full = base.withColumn("_fall", F.when(F.col("_down"), F.stddev_samp("ret").over(fell))).withColumns(
-        {
-            "mom_1m": back(short),
-            "mom_3m": back(mid),
-            "mom_6m": back(long),
-            "dist_high": F.when(F.col("n") >= long, F.try_divide("close", F.max("close").over(last(long))) - 1),
-            "rv_3m": F.stddev_samp("ret").over(last(volatility)),
-            "downside_vol_3m": F.last("_fall", True).over(order),
-            "volume_surprise": F.try_divide("volume", F.avg("volume").over(last(volume))) - 1,
-            "short_term_reversal": F.sum("ret").over(last(5)),
-        }
-    )
-    return full.drop("_fall", "_down", "ret", "close", "volume")
-
-
-MARKET = ["mom_1m", "mom_3m", "mom_6m", "dist_high", "rv_3m", "downside_vol_3m", "volume_surprise", "short_term_reversal"]
-
-
-def market_context(events: DataFrame, bars: DataFrame, least: int = 131, **windows: int) -> DataFrame:
-    """event_id and MARKET as of the last bar strictly before the event's entry (event columns security_id, entry_ord).
-
-    Null where that bar has fewer than ``least`` bars up to it.
+    if "downside_vol_3m" in columns:
+        # the last k falling returns: a window over the falling bars alone, on the same partitioning
+        fell = Window.partitionBy("security_id", "_down").orderBy("ord").rowsBetween(-(volatility - 1), 0)
+        base = base.withColumn("_down", F.coalesce(F.col("ret") < 0, F.lit(False)))
+        base = base.withColumn("_fall", F.when(F.col("_down"), F.stddev_samp("ret").over(fell)))
+    measures = {
+        "mom_1m": lambda: back(short),
+        "mom_3m": lambda: back(mid),
+        "mom_6m": lambda: back(long),
+        "dist_high": lambda: F.when(F.col("n") >= long, F.try_divide("close", F.max("close").over(last(long))) - 1),
+        "rv_3m": lambda: F.stddev_samp("ret").over(last(volatility)),
+        "downside_vol_3m": lambda: F.last("_fall", True).over(order),
+        "volume_surprise": lambda: F.try_divide("volume", F.avg("volume").over(last(volume))) - 1,
+        "short_term_reversal": lambda: F.sum("ret").over(last(5)),
+    }
+    return base.select("security_id", "ord", "n", *[measures[c]().alias(c) for c in columns])
+
+
+def market_context(events: DataFrame, bars: DataFrame, least: int = 131, columns: list[str] | None = None, **windows: int) -> DataFrame:
+    """event_id and MARKET (or ``columns`` of it) as of the last bar strictly before the event's entry (event columns security_id, entry_ord).
+
+    Null where that bar has fewer than ``least`` bars up to it. One merge of bars and events; a security has one bar a session.
     """
-    context = bar_context(bars, **windows).withColumn("_kind", F.lit(0))
-    asked = events.select("event_id", "security_id", F.col("entry_ord").alias("ord")).withColumn("_kind", F.lit(1)).where("security_id is not null and ord is not null")
-    held = F.struct("n", *MARKET)
-    # an event sorts before the bar of its own session
+    columns = MARKET if columns is None else columns
+    context = bar_context(bars, columns, **windows)
+    # an event without security meets no bar and stands alone
+    owner = F.coalesce("security_id", F.concat(F.lit("\0"), F.col("event_id").cast("string")))
+    asked = events.select(owner.alias("security_id"), F.col("entry_ord").alias("ord"), F.lit(1).alias("_kind"), "event_id")
+    told = context.select("security_id", "ord", F.lit(0).alias("_kind"), F.struct("n", *columns).alias("_bar"))
+    # an event sorts before the bar of its own session, one without session before all
     order = Window.partitionBy("security_id").orderBy("ord", F.col("_kind").desc(), "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = context.withColumn("_bar", held).select("security_id", "ord", "_kind", "_bar", F.lit(None).cast("string").alias("event_id")).unionByName(asked, allowMissingColumns=True)
-    seen = both.withColumn("_bar", F.last("_bar", True).over(order)).where("_kind = 1")
-    value = lambda c: F.when(F.col("_bar.n") >= least, F.col(f"_bar.{c}")).alias(c)
-    return events.select("event_id").join(seen.select("event_id", *[value(c) for c in MARKET]), "event_id", "left")
+    seen = told.unionByName(asked, allowMissingColumns=True).withColumn("_bar", F.last("_bar", True).over(order)).where("_kind = 1")
+    return seen.select("event_id", *[F.when(F.col("_bar.n") >= least, F.col(f"_bar.{c}")).alias(c) for c in columns])
 
 
 def latest_availability(parts: list[str]) -> Column:

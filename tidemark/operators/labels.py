@@ -16,21 +16,27 @@ def average_bars(bars: DataFrame, by: list[str]) -> DataFrame:
     return bars.groupBy(*by, "ord").agg(F.avg("open").alias("open"), F.avg("close").alias("close"))
 
 
-def points(events: DataFrame, bars: DataFrame, on: list[str], prefix: str) -> DataFrame:
-    """Joins the bars of an event's entry, reaction exit and drift exit (columns entry_ord, rx_ord, dx_ord)."""
-    for tag in ("entry", "rx", "dx"):
-        side = bars.select(*[F.col(k).alias(f"_{k}") for k in on], F.col("ord").alias("_o"), F.col("open").alias(f"{prefix}{tag}_open"), F.col("close").alias(f"{prefix}{tag}_close"))
-        match = (F.col(f"{tag}_ord") == F.col("_o")) if not on else (F.col(f"{tag}_ord") == F.col("_o")) & (F.col(on[0]) == F.col(f"_{on[0]}"))
-        events = events.join(side, match, "left").drop("_o", *[f"_{k}" for k in on])
-    return events
+def points(events: DataFrame, bars: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Per event and session it asks for, that session's bar: event_id, sector, tag, ord, open, close.
+
+    ``names`` maps a tag to the column of its ordinal. The sessions are laid under each other, so the bars are met in one join.
+    """
+    asked = F.explode(F.array(*[F.struct(F.lit(tag).alias("tag"), F.col(column).cast("int").alias("ord")) for tag, column in names.items()]))
+    sector = F.col("sector") if "sector" in events.columns else F.lit(None).cast("string").alias("sector")
+    wanted = events.select("event_id", "security_id", sector, asked.alias("p")).select("event_id", "security_id", "sector", "p.*")
+    return wanted.join(bars.select("security_id", "ord", "open", "close"), ["security_id", "ord"], "left")
 
 
 def return_labels(events: DataFrame, bars: DataFrame, market: DataFrame, sector: DataFrame) -> DataFrame:
     """event_id, reaction and drift returns, each raw, less the market's and less the sector's.
 
     The reaction is entry open to entry close; the drift runs from the reaction exit's close to the drift exit's.
+    ``market`` (ord, open, close) and ``sector`` (sector, ord, open, close) have a row per session (and sector).
     """
-    got = points(points(points(events, bars, ["security_id"], ""), market, [], "m_"), sector, ["sector"], "s_")
+    side = lambda df, p: df.withColumnsRenamed({"open": f"{p}open", "close": f"{p}close"})
+    met = points(events, bars, {"entry": "entry_ord", "rx": "rx_ord", "dx": "dx_ord"}).join(side(market, "m_"), "ord", "left").join(side(sector, "s_"), ["sector", "ord"], "left")
+    value = lambda p, tag, c: F.max(F.when(F.col("tag") == tag, F.col(f"{p}{c}"))).alias(f"{p}{tag}_{c}")
+    got = met.groupBy("event_id").agg(*[value(p, tag, c) for p in ("", "m_", "s_") for tag, c in (("entry", "open"), ("entry", "close"), ("rx", "close"), ("dx", "close"))])
     whole = F.col("entry_close").isNotNull() & F.col("rx_close").isNotNull() & F.col("dx_close").isNotNull()
     move = lambda p, a, b: F.try_divide(F.col(f"{p}{b}"), F.col(f"{p}{a}")) - 1
     columns = {}
@@ -42,6 +48,14 @@ def return_labels(events: DataFrame, bars: DataFrame, market: DataFrame, sector:
     return got.select("event_id", *[c.alias(n) for n, c in columns.items()])
 
 
+def tradable_returns(events: DataFrame, bars: DataFrame) -> DataFrame:
+    """event_id and the gross return from entry open to the exit's close, for the reaction and the drift exit; null where a bar is missing."""
+    met = points(events, bars, {"entry": "entry_ord", "rx": "rx_ord", "dx": "dx_ord"})
+    value = lambda tag, c: F.max(F.when(F.col("tag") == tag, F.col(c)))
+    got = met.groupBy("event_id").agg(value("entry", "open").alias("_in"), value("rx", "close").alias("_rx"), value("dx", "close").alias("_dx"))
+    return got.select("event_id", (F.try_divide("_rx", "_in") - 1).alias("gross_reaction"), (F.try_divide("_dx", "_in") - 1).alias("gross_drift"))
+
+
 def realized_volatility(events: DataFrame, bars: DataFrame, least: int = 5, year: float = 252.0) -> DataFrame:
     """event_id, realized_vol_20, realized_vol_20_annualized over the bars in (entry, drift exit].
 

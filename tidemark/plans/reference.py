@@ -84,7 +84,7 @@ bars AS (SELECT {KEY.format('security_id')} AS security_id, s.ord, open, close,
   QUALIFY row_number() OVER (PARTITION BY {KEY.format('security_id')}, s.ord ORDER BY ingested_at DESC, bar_id DESC) = 1)
 """
 S_SUR = f"""{S_MASTER},
-s0 AS (SELECT *, actual_eps - estimated_eps AS eps_surprise, CASE WHEN abs(estimated_eps) > 1e-6 THEN (actual_eps - estimated_eps) / abs(estimated_eps) END AS eps_surprise_pct,
+s0 AS (SELECT *, actual_eps - estimated_eps AS eps_surprise, actual_revenue - estimated_revenue AS rev_surprise, CASE WHEN abs(estimated_eps) > 1e-6 THEN (actual_eps - estimated_eps) / abs(estimated_eps) END AS eps_surprise_pct,
   CASE WHEN abs(estimated_revenue) > 1e-6 THEN (actual_revenue - estimated_revenue) / abs(estimated_revenue) END AS rev_surprise_pct, coalesce(CAST(actual_eps - estimated_eps > 0 AS INT), 0) AS beat FROM pri),
 s1 AS (SELECT *, CASE WHEN count(eps_surprise_pct) OVER h >= 2 THEN stddev_samp(eps_surprise_pct) OVER h END AS surprise_std_hist, lag(eps_surprise_pct) OVER o AS prev_surprise_pct,
   CASE WHEN beat = lag(beat) OVER o THEN 0 ELSE 1 END AS turn
@@ -203,7 +203,7 @@ def surprised(spark: SparkSession, folder: str) -> DataFrame:
 
 
 for _name, _columns in {
-    "surprise": ["eps_surprise", "eps_surprise_pct", "rev_surprise_pct"],
+    "surprise": ["eps_surprise", "eps_surprise_pct", "rev_surprise", "rev_surprise_pct"],
     "sue_expanding_std": ["surprise_std_hist", "sue"],
     "beat_streak": ["beat", "beat_streak"],
     "prev_surprise": ["prev_surprise_pct"],
@@ -216,8 +216,8 @@ for _name, _columns in {
 WINDOWS = {"": dict(least=131, short=21, mid=63, long=126, volatility=63, volume=63), "_short": dict(least=47, short=5, mid=21, long=42, volatility=21, volume=21)}
 
 
-def context(spark: SparkSession, folder: str, suffix: str = "") -> DataFrame:
-    return features.market_context(primary(spark, folder), views.bars(spark, folder), **WINDOWS[suffix])
+def context(spark: SparkSession, folder: str, suffix: str = "", columns: list[str] | None = None) -> DataFrame:
+    return features.market_context(primary(spark, folder), views.bars(spark, folder), columns=columns, **WINDOWS[suffix])
 
 
 for _suffix, _w in WINDOWS.items():
@@ -226,7 +226,7 @@ for _suffix, _w in WINDOWS.items():
         "momentum_asof": ["mom_1m", "mom_3m", "mom_6m"], "rolling_high_distance": ["dist_high"], "rolling_vol": ["rv_3m"],
         "downside_vol": ["downside_vol_3m"], "volume_surprise": ["volume_surprise"], "reversal": ["short_term_reversal"],
     }.items():
-        register(_name + _suffix, f"WITH {_sql} SELECT event_id, {r(*_columns)} FROM ctx")(lambda spark, folder, c=_columns, s=_suffix: context(spark, folder, s).select("event_id", *c))
+        register(_name + _suffix, f"WITH {_sql} SELECT event_id, {r(*_columns)} FROM ctx")(lambda spark, folder, c=_columns, s=_suffix: context(spark, folder, s, c))
 
 
 @register(
