@@ -19,6 +19,7 @@ def parser() -> argparse.ArgumentParser:
     top.add_argument("--config", help="folder of YAML files, one per section")
     top.add_argument("--output", help="output folder")
     top.add_argument("--stocks", type=int)
+    top.add_argument("--golden", help="CSV of known cases that validate-events holds the effective dates against")
     sub = top.add_subparsers(dest="command", required=True)
     for name in ("inspect", *STEPS, "run-all"):
         one = sub.add_parser(name)
@@ -39,7 +40,7 @@ def run(study: Study, command: str, target: str = "reaction_car", model: str = "
 def main(argv: list[str] | None = None) -> int:
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(levelname)s %(message)s")
     args = parser().parse_args(argv)
-    overrides = {f"base__{k}": v for k, v in (("output", args.output), ("stocks", args.stocks)) if v is not None}
+    overrides = {f"base__{k}": v for k, v in (("output", args.output), ("stocks", args.stocks), ("golden", args.golden)) if v is not None}
     config = load_config(args.config, **overrides)
     if args.command == "inspect":
         print(config.sections, config.digest())

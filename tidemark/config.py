@@ -9,7 +9,7 @@ import os
 from dataclasses import dataclass, field
 
 DEFAULTS: dict[str, dict] = {
-    "base": {"zone": "America/New_York", "seed": 42, "provider": "synthetic", "folder": "", "output": "artifacts", "stocks": 100, "start": "2015-01-02", "end": "2025-12-31", "signal": 1.0},
+    "base": {"zone": "America/New_York", "seed": 42, "provider": "synthetic", "folder": "", "golden": "", "output": "artifacts", "stocks": 100, "start": "2015-01-02", "end": "2025-12-31", "signal": 1.0},
     "labels": {"reaction": 1, "drift": 20, "use_planted": True},
     "features": {"least": 131, "short": 21, "mid": 63, "long": 126, "volatility": 63, "volume": 63, "text": False},
     "walkforward": {"train_start": "2015-01-01", "train_end": "2018-12-31", "val_start": "2019-01-01", "val_end": "2019-12-31", "test_start": "2020-01-01", "last_end": "2025-12-31", "years": 1},

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.operators.calendar import at_clock, market_date, shift_table, with_day
 
@@ -39,7 +38,7 @@ def event_master(events: DataFrame, days: DataFrame, sessions: DataFrame, reacti
     """Aligned, stamped and de-duplicated events with entry and exit sessions.
 
     Adds market_date, effective_date, exclusion_reason, prediction_timestamp (9:35), order_submission_cutoff (9:25),
-    reaction_exit, drift_exit, their ordinals entry_ord, rx_ord, dx_ord, and data_quality_status. Duplicates are dropped before exclusion is looked at.
+    entry_session, reaction_exit, drift_exit, their ordinals entry_ord, rx_ord, dx_ord, and data_quality_status. Duplicates are dropped before exclusion is looked at.
     """
     aligned = effective_dates(events, days)
     reason = F.when(F.col("timing_class") == "intraday", "timing_intraday").when(F.col("timing_class") == "unknown", "timing_unknown").otherwise("")
@@ -52,8 +51,8 @@ def event_master(events: DataFrame, days: DataFrame, sessions: DataFrame, reacti
         }
     )
     single = first_per_period(stamped, ["security_id", "fiscal_period_end"], "announcement_timestamp", "event_id")
-    table = shift_table(days, sessions, {"rx": reaction, "dx": drift})
-    exits = with_day(single, "effective_date", table, {"rx": "reaction_exit", "dx": "drift_exit", "near_ord": "entry_ord", "rx_ord": "rx_ord", "dx_ord": "dx_ord"})
+    table = shift_table(days, sessions, {"entry": 0, "rx": reaction, "dx": drift})
+    exits = with_day(single.drop("entry_session"), "effective_date", table, {"entry": "entry_session", "rx": "reaction_exit", "dx": "drift_exit", "near_ord": "entry_ord", "rx_ord": "rx_ord", "dx_ord": "dx_ord"})
     status = F.when(F.col("announcement_timestamp").isNull(), "missing_announcement_ts").when(F.col("exclusion_reason") != "", "excluded").otherwise("ok")
     return exits.withColumn("data_quality_status", status)
 
@@ -80,8 +79,11 @@ def alignment_report(master: DataFrame, days: DataFrame) -> DataFrame:
 def golden_report(cases: DataFrame, days: DataFrame) -> DataFrame:
     """Accuracy of effective dates against expected ones: n, accuracy, valid classes, share of repeated (ticker, stamp) rows."""
     valid = F.col("timing_class").isin(CLASSES)
-    dated = effective_dates(cases.withColumn("timing_class", F.when(valid, F.col("timing_class")).otherwise("unknown")), days)
-    repeat = F.row_number().over(Window.partitionBy("ticker", "announcement_timestamp").orderBy("expected_effective_date")) > 1
-    marked = dated.withColumn("_repeat", repeat.cast("int"))
+    dated = effective_dates(cases.withColumns({"_told": F.col("timing_class"), "timing_class": F.when(valid, F.col("timing_class")).otherwise("unknown")}), days)
+    valid = F.col("_told").isin(CLASSES)
     right = F.coalesce(F.col("effective_date") == F.col("expected_effective_date"), F.lit(False)).cast("int")
-    return marked.agg(F.count(F.lit(1)).alias("n"), F.avg(right).alias("effective_date_accuracy"), F.avg(valid.cast("int")).alias("timing_valid_rate"), F.avg("_repeat").alias("duplicate_rate"))
+    # equal (ticker, stamp) rows are combined before the shuffle; each but the first is a repeat
+    each = dated.withColumn("_valid", valid.cast("int")).groupBy("ticker", "announcement_timestamp").agg(F.count(F.lit(1)).alias("n"), F.sum(right).alias("right"), F.sum(F.coalesce("_valid", F.lit(0))).alias("valid"))
+    n = F.sum("n")
+    share = lambda c: F.try_divide(c, n.cast("double"))
+    return each.agg(F.coalesce(n, F.lit(0)).alias("n"), share(F.sum("right")).alias("effective_date_accuracy"), share(F.sum("valid")).alias("timing_valid_rate"), share(n - F.count(F.lit(1))).alias("duplicate_rate"))

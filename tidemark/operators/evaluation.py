@@ -251,6 +251,34 @@ def bucket_summary(rows: DataFrame, value: str, bucket: str, n: int, deduction:
     return got.withColumn("ratio", F.try_divide("annualized", F.nullif("volatility", F.lit(0.0))))
 
 
+def positions(events: DataFrame, returns: DataFrame, predictions: DataFrame, horizons: dict[str, str], n: int = 5) -> DataFrame:
+    """horizon, model, fold, event_id, prediction, gross and bucket (within horizon, model and fold) of the events that have both a return and a prediction.
+
+    ``horizons`` maps a horizon to its column of ``returns``. All horizons go through one join.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(c).alias("gross")) for h, c in horizons.items()]))
+    told = predictions.where(F.col("prediction").isNotNull()).select("model", "fold", "event_id", "prediction")
+    held = events.select("event_id").join(returns.select("event_id", each.alias("r")), "event_id").join(told, "event_id").select("r.horizon", "model", "fold", "event_id", "prediction", "r.gross")
+    return bucketed(held.where("gross is not null"), ["horizon", "model", "fold"], "prediction", "event_id", n)
+
+
+def book_summary(rows: DataFrame, n: int, deduction: float, by: list[str], per_year: float = 4.0) -> DataFrame:
+    """Top bucket of ``positions`` per ``by``: n_top, annualized, volatility, ratio, hit_rate, turnover; and the annualised difference of both sides."""
+    net, low = F.col("gross") - deduction, -F.col("gross") - deduction
+    top, bottom = F.col("bucket") == n, F.col("bucket") == 1
+    got = rows.groupBy(*by).agg(
+        F.count_if(top).alias("n_top"), F.count_if(bottom).alias("n_bottom"), (F.avg(F.when(top, net)) * per_year).alias("annualized"), (F.stddev_samp(F.when(top, net)) * per_year**0.5).alias("volatility"),
+        F.avg(F.when(top, (net > 0).cast("int"))).alias("hit_rate"), ((F.avg(F.when(top, net)) + F.avg(F.when(bottom, low))) * per_year).alias("spread_annualized"),
+    )
+    return got.withColumn("ratio", F.try_divide("annualized", F.nullif("volatility", F.lit(0.0)))).withColumn("turnover", F.when(F.col("n_top") > 0, F.lit(1.0)))
+
+
+def book_by_year(rows: DataFrame, folds: DataFrame, n: int, deduction: float, by: list[str]) -> DataFrame:
+    """Mean net return of the top bucket per ``by`` and year in which a fold's test begins."""
+    years = folds.select("fold", F.year("test_start").alias("year"))
+    return rows.where(F.col("bucket") == n).join(F.broadcast(years), "fold").groupBy(*by, "year").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("gross") - deduction).alias("mean_net"))
+
+
 def fold_buckets(predictions: DataFrame, n: int = 5, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Adds the prediction's bucket within its model and fold (ties: event_id)."""
     return bucketed(predictions, ["model", "fold"], "prediction", "event_id", n, hot_rows=hot_rows)

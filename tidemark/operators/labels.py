@@ -74,3 +74,17 @@ def override(labels: DataFrame, other: DataFrame, key: str, columns: dict[str, s
     """Replaces label columns by those of another table (null where it has no row); ``columns`` maps label to other name."""
     side = other.select(key, *[F.col(o).alias(f"_{c}") for c, o in columns.items()])
     return labels.join(side, key, "left").select(*[F.col(f"_{c}").alias(c) if c in columns else F.col(c) for c in labels.columns])
+
+
+#: Which planted column stands for which labels, and by what factor.
+PLANTED = {
+    "planted_reaction": ["reaction_car", "reaction_car_market_adj", "reaction_car_sector_adj"], "planted_drift": ["drift_car_20", "drift_car_20_market_adj", "drift_car_20_sector_adj"],
+    "planted_volatility": ["realized_vol_20"],
+}
+
+
+def override_planted(labels: DataFrame, events: DataFrame, year: float = 252.0) -> DataFrame:
+    """All eight label columns from the events' planted reaction, drift and volatility (null where the event has none)."""
+    planted = events.select("event_id", *PLANTED, (F.col("planted_volatility") * year**0.5).alias("_annual"))
+    columns = {label: source for source, held in PLANTED.items() for label in held} | {"realized_vol_20_annualized": "_annual"}
+    return override(labels, planted, "event_id", columns)

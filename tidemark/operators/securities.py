@@ -20,6 +20,14 @@ def cap_bucket(size: Column | str, large: float = LARGE, mid: float = MID) -> Co
     return F.when(c >= large, "large_cap").when(c >= mid, "mid_cap").when(c.isNotNull(), "small_cap")
 
 
+def build_master(listed: DataFrame) -> DataFrame:
+    """One version per listed security (columns of ``listed``: security_id, ticker, cik, company_name, sector, industry, market_cap, listing_date), valid from its listing."""
+    return listed.select(
+        "security_id", "ticker", "cik", "company_name", "sector", "industry", F.col("market_cap").alias("market_cap_usd"), cap_bucket("market_cap").alias("cap_bucket"), F.col("listing_date").alias("valid_at"),
+        "listing_date", F.lit(None).cast("date").alias("delisting_date"),
+    )
+
+
 def valid_versions(master: DataFrame, day: Column) -> DataFrame:
     """Versions valid on a day, all of a key if several overlap."""
     listed = F.col("delisting_date").isNull() | (F.col("delisting_date") > day)

@@ -14,6 +14,8 @@ from tidemark.operators import alignment, evaluation, features, integrity, label
 from tidemark.operators import calendar as cal
 from tidemark.plans import views
 from tidemark.plans.data_problems import KEY
+from tidemark.session import shared_folder
+from tidemark.sources import contracts
 from tidemark.sources.tables import table
 from tidemark.streaming import stream
 
@@ -182,19 +184,19 @@ def _(spark, folder):
     return master(spark, folder).groupBy("exclusion_reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-#: Known announcements (public facts): ticker, New York wall time, class, first session it can be traded in.
-GOLDEN = [
-    ("AAPL", "2020-01-28 16:30:00", "after_market_close", "2020-01-29"), ("AMZN", "2020-10-30 16:00:00", "after_market_close", "2020-11-02"), ("JPM", "2020-01-14 06:45:00", "before_market_open", "2020-01-14"),
-    ("JPM", "2020-01-14 06:45:00", "before_market_open", "2020-01-14"), ("XYZ", "2020-09-04 16:05:00", "after_market_close", "2020-09-08"), ("XYZ", "2020-02-01 08:00:00", "before_market_open", "2020-02-03"),
-]
-
-
-@register("golden_report", "SELECT CAST(6 AS BIGINT) AS n, 1.0::DOUBLE AS effective_date_accuracy, 1.0::DOUBLE AS timing_valid_rate, round(1 / 6::DOUBLE, 8) AS duplicate_rate")
+@register(
+    "golden_report",
+    f"""WITH {S_DIM}, g AS (SELECT a.ticker, {_time('a.announcement_timestamp').replace(' AS a.announcement_timestamp', ' AS t')}, a.timing_class, m.effective_trading_date AS e FROM announcements a JOIN event_master m ON {KEY.format('m.event_id')} = {KEY.format('a.event_id')}),
+    h AS (SELECT g.*, CASE WHEN timing_class = 'before_market_open' AND dim.is_session THEN dim.day ELSE dim.next_session END AS d, row_number() OVER (PARTITION BY ticker, t) AS k
+      FROM g LEFT JOIN dim ON dim.day = CAST(t AT TIME ZONE 'America/New_York' AS DATE))
+    SELECT count(*) AS n, round(avg(CAST(coalesce(d = e, false) AS INT)), {DIGITS}) AS effective_date_accuracy, round(avg(CAST(coalesce(timing_class IN ('before_market_open', 'after_market_close', 'intraday', 'unknown'), false) AS INT)), {DIGITS}) AS timing_valid_rate,
+      round(avg(CAST(k > 1 AS INT)), {DIGITS}) AS duplicate_rate FROM h""",
+)
 def _(spark, folder):
-    cases = spark.createDataFrame(GOLDEN, "ticker string, t string, timing_class string, e string").select(
-        "ticker", F.to_utc_timestamp(F.col("t").cast("timestamp"), views.ZONE).alias("announcement_timestamp"), "timing_class", F.col("e").cast("date").alias("expected_effective_date")
-    )
-    return alignment.golden_report(cases, cal.day_table(cal.exchange_sessions(spark, "2019-12-01", "2020-12-31")))
+    """Effective dates of the announcements against the ones the event master names."""
+    told = table(spark, folder, "announcements").select(norm_key("event_id").alias("k"), "ticker", views.dated("announcement_timestamp"), "timing_class")
+    known = table(spark, folder, "event_master").select(norm_key("event_id").alias("k"), F.col("effective_trading_date").alias("expected_effective_date"))
+    return alignment.golden_report(told.join(known, "k").drop("k"), views.days(spark, folder))
 
 
 # ---- features ----
@@ -288,10 +290,25 @@ def _(spark, folder):
     return features.winsorize(surprised(spark, folder).select("event_id", "eps_surprise_pct"), "eps_surprise_pct")
 
 
-@register("latent_override", f"WITH {S_LAB} SELECT lab.event_id, round(ev.market_cap_at_event / 1e12, {DIGITS}) AS reaction_car, {r('drift_car_20')} FROM lab LEFT JOIN ev USING (event_id)")
+@register(
+    "latent_override",
+    f"""WITH {S_LAB}, x AS (SELECT lab.event_id, surprise_pct / 100 AS r, beta / 100 AS d, annual_vol / sqrt(252) AS v FROM lab LEFT JOIN announcements a ON a.event_id = lab.event_id)
+    SELECT event_id, {', '.join(f'round({c}, {DIGITS}) AS {n}' for c, ns in (('r', LABELS[:3]), ('d', LABELS[3:]), ('v', ['realized_vol_20']), ('v * sqrt(252)', ['realized_vol_20_annualized'])) for n in ns)} FROM x""",
+)
+def _(spark, folder):
+    """All eight labels replaced; the announcements' own surprise, beta and volatility stand in for planted values."""
+    planted = table(spark, folder, "announcements").select("event_id", (F.col("surprise_pct") / 100).alias("planted_reaction"), (F.col("beta") / 100).alias("planted_drift"), (F.col("annual_vol") / 252**0.5).alias("planted_volatility"))
+    full = labelled(spark, folder).join(labels.realized_volatility(primary(spark, folder), views.bars(spark, folder)), "event_id")
+    return labels.override_planted(full, planted)
+
+
+S_RET = f"""{S_MASTER}, {S_BARS}, ret AS (SELECT p.event_id, x.close / e.open - 1 AS gross_reaction, d.close / e.open - 1 AS gross_drift FROM pri p LEFT JOIN bars e ON e.security_id = p.security_id AND e.ord = entry_ord
+  LEFT JOIN bars x ON x.security_id = p.security_id AND x.ord = rx_ord LEFT JOIN bars d ON d.security_id = p.security_id AND d.ord = dx_ord)"""
+
+
+@register("tradable_returns", f"WITH {S_RET} SELECT event_id, {r('gross_reaction', 'gross_drift')} FROM ret")
 def _(spark, folder):
-    planted = views.events(spark, folder).select("event_id", (F.col("market_cap_at_event") / 1e12).alias("planted"))
-    return labels.override(labelled(spark, folder).select("event_id", "reaction_car", "drift_car_20"), planted, "event_id", {"reaction_car": "planted"})
+    return labels.tradable_returns(primary(spark, folder), views.bars(spark, folder))
 
 
 @register(
@@ -357,11 +374,32 @@ def _(spark, folder):
     return integrity.contract_report(table(spark, folder, "announcements"), CONTRACT)
 
 
-# ---- text ----
+def _contract_sql() -> str:
+    """Null counts and values outside the allowed ones of the seven tables, which have all columns."""
+    sources = {"events": "announcements", "prices": "prices", "estimates": "estimates", "filings": "filings", "event_master": "event_master", "features": "features", "labels": "lab8"}
+    parts = []
+    for name, contract in contracts.CONTRACTS.items():
+        for f in contract.columns:
+            if not f.nullable:
+                parts.append(f"SELECT '{name}' AS table_name, 'not_null' AS rule, '{f.name}' AS \"column\", count(*) FILTER (WHERE {f.name} IS NULL) AS violations FROM {sources[name]}")
+        for c, values in contract.allowed.items():
+            parts.append(f"SELECT '{name}', 'allowed', '{c}', count(*) FILTER (WHERE {c} NOT IN {_in(values)}) FROM {sources[name]}")
+    return f"WITH {S_MASTER}, lab8 AS (SELECT event_id FROM pri) " + " UNION ALL ".join(parts)
+
+
 def _in(words: list[str]) -> str:
     return "(" + ", ".join(f"'{w}'" for w in words) + ")"
 
 
+@register("contracts_all", _contract_sql())
+def _(spark, folder):
+    """The contracts of all seven tables, against the stored tables and the labels made from them."""
+    stored = {"events": "announcements"} | {n: n for n in ("prices", "estimates", "filings", "event_master", "features")}
+    made = labelled(spark, folder).join(labels.realized_volatility(primary(spark, folder), views.bars(spark, folder)), "event_id")
+    return contracts.table_report({name: table(spark, folder, source) for name, source in stored.items()} | {"labels": made})
+
+
+# ---- text ----
 TONE_LISTS = {"pos_freq": tone.POSITIVE, "neg_freq": tone.NEGATIVE, "uncertainty_freq": tone.UNCERTAINTY, "litigation_freq": tone.LITIGATION}
 S_TONE = (
     """t AS (SELECT filing_id, event_id, security_id, filing_timestamp, coalesce(text, '') AS x, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda w: w <> '') AS t FROM filings),
@@ -410,7 +448,7 @@ def _(spark, folder):
 
 _fit = f"{S_MEM}, fit AS (SELECT fold, avg(rev_surprise_pct) AS mean, avg(eps_surprise_pct) AS x, quantile_cont(eps_surprise_pct, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS cuts FROM mem WHERE role = 'train' GROUP BY 1), sec AS (SELECT fold, sector, avg(eps_surprise_pct) AS sx FROM mem WHERE role = 'train' AND sector IS NOT NULL GROUP BY 1, 2)"
 for _name, _expr in {
-    "unconditional_mean": "fit.mean", "surprise": "coalesce(eps_surprise_pct, 0)", "prior": "coalesce(prev_surprise_pct, 0)",
+    "unconditional_mean": "fit.mean", "event_day_unconditional": "fit.mean", "surprise": "coalesce(eps_surprise_pct, 0)", "prior": "coalesce(prev_surprise_pct, 0)",
     "surprise_decile": "CASE WHEN eps_surprise_pct IS NULL THEN 0 ELSE len(list_filter(fit.cuts, lambda c: c <= eps_surprise_pct)) / 10.0 END",
     "sector_relative": "coalesce(eps_surprise_pct - coalesce(sx, fit.x), 0)",
 }.items():
@@ -456,6 +494,7 @@ def _(spark, folder):
     return evaluation.fold_buckets(evaluation.usable(views.predictions(spark, folder))).select("model", "fold", "event_id", "bucket")
 
 
+#: Levels of the deduction: 0, 5, 10, 20, 30 and 50 hundredths of a percent (fixed values).
 COSTS = [0.0, 0.0005, 0.001, 0.002, 0.003, 0.005]
 
 
@@ -478,6 +517,46 @@ def _(spark, folder):
     return evaluation.bucket_summary(evaluation.fold_buckets(evaluation.usable(views.predictions(spark, folder))), "actual", "bucket", 5, 0.002, ["model", "fold"])
 
 
+S_BOOK = f"""{_fit}, {S_BARS}, bret AS (SELECT p.event_id, x.close / e.open - 1 AS reaction, d.close / e.open - 1 AS drift FROM pri p JOIN bars e ON e.security_id = p.security_id AND e.ord = entry_ord
+  LEFT JOIN bars x ON x.security_id = p.security_id AND x.ord = rx_ord LEFT JOIN bars d ON d.security_id = p.security_id AND d.ord = dx_ord),
+pos AS (SELECT 'reaction' AS horizon, mem.fold, event_id, coalesce(eps_surprise_pct, 0) AS prediction, reaction AS gross FROM mem JOIN bret USING (event_id) WHERE role = 'test' AND reaction IS NOT NULL
+  UNION ALL SELECT 'drift', mem.fold, event_id, coalesce(eps_surprise_pct, 0), drift FROM mem JOIN bret USING (event_id) WHERE role = 'test' AND drift IS NOT NULL),
+bkt AS (SELECT *, row_number() OVER (PARTITION BY horizon, fold ORDER BY prediction, event_id) AS k, count(*) OVER (PARTITION BY horizon, fold) AS n FROM pos),
+book AS (SELECT *, CASE WHEN n > 1 THEN CAST(greatest(1, ((k - 1) * 5 + n - 2) // (n - 1)) AS INT) END AS bucket FROM bkt)"""
+
+
+def book(spark: SparkSession, folder: str) -> DataFrame:
+    """The surprise baseline's positions at both horizons."""
+    events = primary(spark, folder)
+    told = evaluation.baseline_predictions(members(spark, folder), "rev_surprise_pct", "surprise").withColumn("model", F.lit("surprise"))
+    return evaluation.positions(events, labels.tradable_returns(events, views.bars(spark, folder)), told, {"reaction": "gross_reaction", "drift": "gross_drift"})
+
+
+@register(
+    "backtest_sweep",
+    f"""WITH {S_BOOK}, l AS (SELECT unnest({COSTS})::DOUBLE AS level) SELECT horizon, level, count(*) FILTER (WHERE bucket = 5) AS n_top, count(*) FILTER (WHERE bucket = 1) AS n_bottom, round(avg(gross) FILTER (WHERE bucket = 5), {DIGITS}) AS top_gross,
+    round(avg(gross - level) FILTER (WHERE bucket = 5), {DIGITS}) AS top_net, round(avg(-gross - level) FILTER (WHERE bucket = 1), {DIGITS}) AS bottom_net, round(avg(gross - level) FILTER (WHERE bucket = 5) + avg(-gross - level) FILTER (WHERE bucket = 1), {DIGITS}) AS spread_net
+    FROM book CROSS JOIN l WHERE bucket IN (1, 5) GROUP BY ALL""",
+)
+def _(spark, folder):
+    return evaluation.scenario_sweep(book(spark, folder), "gross", "bucket", 5, COSTS, ["horizon"])
+
+
+@register(
+    "backtest_primary",
+    f"""WITH {S_BOOK}, s AS (SELECT horizon, count(*) FILTER (WHERE bucket = 5) AS n_top, count(*) FILTER (WHERE bucket = 1) AS n_bottom, avg(gross - 0.002) FILTER (WHERE bucket = 5) * 4 AS annualized, stddev_samp(gross - 0.002) FILTER (WHERE bucket = 5) * 2 AS volatility,
+    avg(CAST(gross - 0.002 > 0 AS INT)) FILTER (WHERE bucket = 5) AS hit_rate, (avg(gross - 0.002) FILTER (WHERE bucket = 5) + avg(-gross - 0.002) FILTER (WHERE bucket = 1)) * 4 AS spread_annualized FROM book GROUP BY 1)
+    SELECT horizon, n_top, n_bottom, {r('annualized', 'volatility', 'hit_rate', 'spread_annualized')}, round(annualized / nullif(volatility, 0), {DIGITS}) AS ratio, CASE WHEN n_top > 0 THEN 1.0::DOUBLE END AS turnover FROM s""",
+)
+def _(spark, folder):
+    return evaluation.book_summary(book(spark, folder), 5, 0.002, ["horizon"])
+
+
+@register("backtest_by_year", f"WITH {S_BOOK} SELECT horizon, CAST(year(fo.e) AS INT) AS year, count(*) AS n, round(avg(gross - 0.002), {DIGITS}) AS mean_net FROM book JOIN fo USING (fold) WHERE bucket = 5 GROUP BY 1, 2")
+def _(spark, folder):
+    return evaluation.book_by_year(book(spark, folder), evaluation.make_folds(spark, *FOLDS), 5, 0.002, ["horizon"])
+
+
 @register("decay_best_model", f"WITH {metric_sql('model, fold')}, m AS (SELECT model, avg(pearson) AS p FROM met WHERE pearson IS NOT NULL GROUP BY 1), bst AS (SELECT model FROM m ORDER BY p DESC, model DESC LIMIT 1) SELECT model, fold, {r('pearson')} FROM met SEMI JOIN bst USING (model)")
 def _(spark, folder):
     return evaluation.decay_of_best(evaluation.group_metrics(views.predictions(spark, folder), ["model", "fold"]))
@@ -500,7 +579,10 @@ def _(spark, folder):
 def modelled(spark: SparkSession, folder: str, model: models.Trained) -> DataFrame:
     rows = surprised(spark, folder).join(context(spark, folder, "_short"), "event_id", "left")
     wanted = evaluation.fold_members(rows, "effective_date", evaluation.make_folds(spark, *FOLDS))
-    return models.walk_forward(wanted, "rev_surprise_pct", [model], [c for c in models.NUMERIC if c != "rev_surprise_pct"])[0]
+    got, failed = models.walk_forward(wanted, "rev_surprise_pct", [model], [c for c in models.NUMERIC if c != "rev_surprise_pct"])
+    if failed:
+        raise RuntimeError(f"not fitted: {failed}")
+    return got
 
 
 for _model in models.standard_models():
@@ -508,39 +590,54 @@ for _model in models.standard_models():
 
 
 # ---- streams over the event table ----
-def streamed(spark: SparkSession, folder: str, plan: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+def streamed(spark: SparkSession, folder: str, plan: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Appends what is final: windows the watermark (a day behind the latest stamp) has passed."""
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
     rows = stream.read_folder(spark, folder, "events.parquet", schema).withColumn("ts", F.col("ts").cast("timestamp"))
-    return stream.run_available(plan(rows), f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}", mode)
+    return stream.run_available(plan(rows), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")
+
+
+_final = "(SELECT max(ts) FROM events) - INTERVAL 1 DAY"
 
 
 @register(
     "stream_tumbling",
-    f"SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%dT%H:%M:%SZ') AS start, strftime(time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY, '%Y-%m-%dT%H:%M:%SZ') AS \"end\", event_type, count(*) AS n, round(sum(value), {DIGITS}) AS total FROM events GROUP BY ALL",
+    f"""SELECT strftime(w, '%Y-%m-%dT%H:%M:%SZ') AS start, strftime(w + INTERVAL 1 DAY, '%Y-%m-%dT%H:%M:%SZ') AS "end", event_type, count(*) AS n, round(sum(value), {DIGITS}) AS total
+    FROM (SELECT *, time_bucket(INTERVAL 1 DAY, ts) AS w FROM events) WHERE w + INTERVAL 1 DAY <= {_final} GROUP BY ALL""",
 )
 def _(spark, folder):
-    return streamed(spark, folder, lambda s: stream.windowed_activity(s, "ts", "event_type", "value", "1 day"), "complete")
+    return streamed(spark, folder, lambda s: stream.windowed_activity(s, "ts", "event_type", "value", "1 day"))
 
 
 @register(
     "stream_sliding",
     f"""SELECT strftime(w, '%Y-%m-%dT%H:%M:%SZ') AS start, strftime(w + INTERVAL 2 DAY, '%Y-%m-%dT%H:%M:%SZ') AS "end", event_type, count(*) AS n, round(sum(value), {DIGITS}) AS total
-    FROM (SELECT *, unnest([time_bucket(INTERVAL 1 DAY, ts), time_bucket(INTERVAL 1 DAY, ts) - INTERVAL 1 DAY]) AS w FROM events) GROUP BY ALL""",
+    FROM (SELECT *, unnest([time_bucket(INTERVAL 1 DAY, ts), time_bucket(INTERVAL 1 DAY, ts) - INTERVAL 1 DAY]) AS w FROM events) WHERE w + INTERVAL 2 DAY <= {_final} GROUP BY ALL""",
 )
 def _(spark, folder):
-    return streamed(spark, folder, lambda s: stream.windowed_activity(s, "ts", "event_type", "value", "2 days", "1 day"), "complete")
+    return streamed(spark, folder, lambda s: stream.windowed_activity(s, "ts", "event_type", "value", "2 days", "1 day"))
 
 
 @register(
     "stream_sessions",
-    """WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER o < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts)),
+    f"""WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER o < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts)),
     b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM a)
-    SELECT strftime(min(ts), '%Y-%m-%dT%H:%M:%SZ') AS start, strftime(max(ts) + INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%SZ') AS "end", user_id, count(*) AS n FROM b GROUP BY user_id, k""",
+    SELECT strftime(min(ts), '%Y-%m-%dT%H:%M:%SZ') AS start, strftime(max(ts) + INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%SZ') AS "end", user_id, count(*) AS n FROM b GROUP BY user_id, k HAVING max(ts) + INTERVAL 2 HOUR <= {_final}""",
 )
 def _(spark, folder):
-    return streamed(spark, folder, lambda s: stream.sessions(s, "ts", "user_id", "2 hours"), "complete")
+    return streamed(spark, folder, lambda s: stream.sessions(s, "ts", "user_id", "2 hours"))
 
 
-@register("stream_state")
+@register("stream_first_delivery", "SELECT DISTINCT user_id, event_type FROM events WHERE ts IS NOT NULL")
+def _(spark, folder):
+    """One row per user and kind of event; in one delivery all repeats lie within the watermark."""
+    return streamed(spark, folder, lambda s: stream.first_delivery(s.where("ts is not null").select("ts", "user_id", "event_type"), "ts", ["user_id", "event_type"]).select("user_id", "event_type"))
+
+
+@register(
+    "stream_state",
+    f"""SELECT event_type, count(*) OVER w AS n, round(value, {DIGITS}) AS value, round(avg(value) OVER w, {DIGITS}) AS mean, round(CASE WHEN count(*) OVER w > 1 THEN stddev_samp(value) OVER w END, {DIGITS}) AS deviation
+    FROM events WHERE value IS NOT NULL AND NOT isnan(value) WINDOW w AS (PARTITION BY event_type ORDER BY ts NULLS LAST, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+)
 def _(spark, folder):
-    return streamed(spark, folder, lambda s: stream.running_surprise(s, "event_type", "value"), "append")
+    return streamed(spark, folder, lambda s: stream.running_surprise(s, "event_type", "value", ["ts", "event_id"]))

@@ -38,10 +38,11 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet", by: list[str] |
 
 
 def read_cases(spark: SparkSession, path: str, zone: str = "America/New_York") -> DataFrame:
-    """Known cases from a CSV (ticker, announcement_timestamp as wall time, timing_class, expected_effective_date); empty if there is no file."""
-    schema = "ticker string, announcement_timestamp timestamp_ntz, timing_class string, expected_effective_date date"
-    rows = spark.read.csv(path, header=True, schema=schema) if os.path.exists(path) else spark.createDataFrame([], schema)
-    return rows.withColumn("announcement_timestamp", F.to_utc_timestamp(F.col("announcement_timestamp").cast("timestamp"), zone))
+    """Known cases from a CSV with a header (ticker, announcement_timestamp as wall time, timing_class, expected_effective_date; more columns are ignored); empty if there is no file. An unreadable stamp or day is null."""
+    names = {"ticker": "string", "announcement_timestamp": "timestamp_ntz", "timing_class": "string", "expected_effective_date": "date"}
+    rows = spark.read.csv(path, header=True) if os.path.exists(path) else spark.createDataFrame([], ", ".join(f"{n} string" for n in names))
+    typed = rows.select(*[F.col(n).try_cast(t).alias(n) for n, t in names.items()])
+    return typed.withColumn("announcement_timestamp", F.to_utc_timestamp(F.col("announcement_timestamp").cast("timestamp"), zone))
 
 
 def write_json(value: object, path: str) -> None:
