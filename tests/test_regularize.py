@@ -64,3 +64,42 @@ def test_closed_days_belong_to_the_last_session(spark):
     df = spark.createDataFrame([("2024-01-03",), ("2024-01-05",), ("2024-01-07",), ("2024-01-08",), ("2024-02-01",), (None,)], "d string").withColumn("d", F.to_date("d"))
     assert sorted(r.o for r in session_of(df, "d", sessions, "o").collect()) == [1, 1, 2, 2]
     assert session_of(df, "d", sessions.limit(0), "o").collect() == []
+
+
+def plain_imputation(values, window=16, rank=3, tolerance=1e-3):
+    """The same by its definition: a full singular value decomposition and antidiagonal means, until the entries settle."""
+    gap = np.isnan(values)
+    at = np.arange(len(values))
+    filled = np.interp(at, at[~gap], values[~gap])
+    centre = values[~gap].mean()
+    x = filled - centre
+    scale = np.abs(x).max()
+    window = min(window, len(x) // 2)
+    while True:
+        k = len(x) - window + 1
+        hankel = np.array([[x[i + j] for j in range(k)] for i in range(window)])
+        u, s, v = np.linalg.svd(hankel, full_matrices=False)
+        low = (u[:, :rank] * s[:rank]) @ v[:rank]
+        smooth = np.array([np.mean([low[i, t - i] for i in range(window) if 0 <= t - i < k]) for t in at])
+        moved = np.abs(smooth - x)[gap].max()
+        x = np.where(gap, smooth, x)
+        if moved <= tolerance * scale:
+            return x + centre
+
+
+def test_filled_values_with_production_parameters(spark):
+    """Random walks with short and long gaps: every filled value is that of the definition."""
+    rng = np.random.default_rng(6)
+    rows, want = [], {}
+    for name in "abcd":
+        walk = 50 * np.exp(np.cumsum(rng.normal(0, 0.02, 200)))
+        hidden = rng.random(200) < 0.1
+        hidden[60:60 + 15 * (ord(name) - 96)] = True
+        hidden[[0, 199]] = False
+        rows += [(name, int(i), float(v), 1) for i, v in enumerate(walk) if not hidden[i]]
+        want[name] = plain_imputation(np.where(hidden, np.nan, walk))
+    df = spark.createDataFrame(rows, "s string, slot int, v double, stamp int")
+    got = regularize(df, ["s"], "slot", "v", ["stamp"], flag="settled").toPandas()
+    assert got.settled.all()
+    for name, part in got.groupby("s"):
+        assert part.sort_values("slot").v.to_numpy() == pytest.approx(want[name], rel=1e-6)

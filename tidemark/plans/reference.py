@@ -519,8 +519,8 @@ def _(spark, folder):
 
 S_BOOK = f"""{_fit}, {S_BARS}, bret AS (SELECT p.event_id, x.close / e.open - 1 AS reaction, d.close / e.open - 1 AS drift FROM pri p JOIN bars e ON e.security_id = p.security_id AND e.ord = entry_ord
   LEFT JOIN bars x ON x.security_id = p.security_id AND x.ord = rx_ord LEFT JOIN bars d ON d.security_id = p.security_id AND d.ord = dx_ord),
-pos AS (SELECT 'reaction' AS horizon, mem.fold, event_id, coalesce(eps_surprise_pct, 0) AS prediction, reaction AS gross FROM mem JOIN bret USING (event_id) WHERE role = 'test' AND reaction IS NOT NULL
-  UNION ALL SELECT 'drift', mem.fold, event_id, coalesce(eps_surprise_pct, 0), drift FROM mem JOIN bret USING (event_id) WHERE role = 'test' AND drift IS NOT NULL),
+pos AS (SELECT 'reaction' AS horizon, mem.fold, event_id, coalesce(eps_surprise_pct, 0) AS prediction, reaction AS gross FROM mem JOIN fit ON fit.fold = mem.fold JOIN bret USING (event_id) WHERE role = 'test' AND reaction IS NOT NULL
+  UNION ALL SELECT 'drift', mem.fold, event_id, coalesce(eps_surprise_pct, 0), drift FROM mem JOIN fit ON fit.fold = mem.fold JOIN bret USING (event_id) WHERE role = 'test' AND drift IS NOT NULL),
 bkt AS (SELECT *, row_number() OVER (PARTITION BY horizon, fold ORDER BY prediction, event_id) AS k, count(*) OVER (PARTITION BY horizon, fold) AS n FROM pos),
 book AS (SELECT *, CASE WHEN n > 1 THEN CAST(greatest(1, ((k - 1) * 5 + n - 2) // (n - 1)) AS INT) END AS bucket FROM bkt)"""
 
