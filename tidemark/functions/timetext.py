@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from datetime import date, datetime, timedelta
-from functools import lru_cache
 from zoneinfo import ZoneInfo
 
 NONE, INSTANT, WALL, DAY = 0, 1, 2, 3
@@ -37,13 +36,21 @@ TIME = re.compile(
 )
 
 
-@lru_cache(4096)
+#: Zone names seen before, at most ZONES_KEPT; it only saves work. (A wrapped cache would be pickled by reference.)
+ZONES: dict[str | None, str | None] = {}
+ZONES_KEPT = 4096
+
+
 def known_zone(name: str | None) -> str | None:
     """The zone's name if it is one, else null."""
-    try:
-        return ZoneInfo(name.strip()) and name.strip() if name else None
-    except (KeyError, ValueError, OSError):
-        return None
+    if name not in ZONES:
+        if len(ZONES) >= ZONES_KEPT:
+            ZONES.clear()
+        try:
+            ZONES[name] = ZoneInfo(name.strip()) and name.strip() if name else None
+        except (KeyError, ValueError, OSError):
+            ZONES[name] = None
+    return ZONES[name]
 
 
 def read_day(match: re.Match, order: str | None) -> date | None:

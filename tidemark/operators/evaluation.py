@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from datetime import date, timedelta
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -131,7 +130,6 @@ def pooled_metrics(predictions: DataFrame) -> DataFrame:
     return every.join(group_metrics(predictions, ["model"]), "model", "left")
 
 
-@lru_cache(64)
 def resampling(n: int, draws: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Blocks of each draw over n ordered rows as (first row, row after the last), and all these positions in order. A draw has n rows."""
     size = max(5, n // 20)
@@ -145,11 +143,14 @@ def block_sums(draws: int, seed: int):
     """Sums of each stretch of rows between two block ends, per batch; only these leave a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key_, ends = None, np.array([], dtype="int64")
         for batch in batches:
             frame = batch.to_pandas()
             out = []
             for (key, n), rows in frame.groupby(["key", "n"], sort=False):
-                stretch = np.searchsorted(resampling(int(n), draws, seed)[2], rows["row"].to_numpy() - 1, "right")
+                if (key, n) != key_:  # a task's rows come group by group
+                    key_, ends = (key, n), resampling(int(n), draws, seed)[2]
+                stretch = np.searchsorted(ends, rows["row"].to_numpy() - 1, "right")
                 x, y = rows["x"].to_numpy(), rows["y"].to_numpy()
                 sums = pd.DataFrame({"stretch": stretch, "bin": rows["bin"].to_numpy(), "c": 1.0, "x": x, "y": y, "xy": x * y, "xx": x * x, "yy": y * y}).groupby(["stretch", "bin"], as_index=False).sum()
                 out.append(sums.assign(key=key, n=n))
