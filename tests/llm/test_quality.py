@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm.quality import FUNCTIONS, KINDS, STATS, learn_types, statistics, text_statistics, text_types, votes_of
+from tidemark.llm.quality import COMMON, FUNCTIONS, KINDS, STATS, learn_types, statistics, text_statistics, text_types, votes_of
 
 PROSE = "The company said that it would restate net debt for last year, and that this is in line with what was said in the spring. We will come back to it later."
 TEXTS = {
@@ -58,3 +58,12 @@ def test_votes_are_one_bit_each():
     stats = np.array([statistics(PROSE)])
     named = [n for i, (n, _, _) in enumerate(FUNCTIONS) if votes_of(stats)[0] >> i & 1]
     assert "common_words" in named and "dump" not in named
+
+
+def test_function_words_of_another_language(spark):
+    """Italian prose is prose where its function words are given; without them it isn't known as such."""
+    text = "Il consiglio ha detto che il debito della società non è cambiato nel corso dell'anno, e che per il prossimo anno non si aspetta una crescita del mercato. I costi sono in linea con quelli dell'anno prima."
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    share = lambda **o: text_statistics(df, **o).first().common_share
+    assert share(common={"it": "il la i le di che e per non si in una con del della nel è ha sono"}) > 0.4 > share(common={"en": COMMON["en"]})
+    assert share() == share(common=COMMON)

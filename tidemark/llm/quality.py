@@ -16,7 +16,7 @@ their own; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re as plain
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -90,25 +90,30 @@ def numeric(cell: str) -> bool:
     return bool(NUMERIC.match(cell.strip()))
 
 
-#: Facts of tokens seen before, at most FACTS_KEPT of at most 40 characters; it only saves work.
-FACTS: dict[str, tuple] = {}
-FACTS_KEPT = 200_000
+class TokenFacts:
+    """What the statistics need to know of each token, with ``common`` as function words. Keeps the facts of at most ``most`` tokens of at most 40 characters, which only saves work."""
 
+    def __init__(self, common: Iterable[str], most: int = 200_000):
+        self.common, self.most, self.kept = frozenset(common), most, {}
 
-def token_facts(token: str) -> tuple:
-    """Whether a token is numeric, a byte of a dump, has symbols inside, is a function word; its characters, words,
-    characters in words, furniture words, odd characters, digits, East Asian characters and kana; the words."""
-    words = WORD.findall(token.lower())
-    plain = token.isascii()
-    found = (
-        numeric(token), bool(HEX.match(token)), bool(INSIDE.search(token)), token.lower().strip(EDGE) in COMMON_WORDS, len(token), len(words), sum(map(len, words)), sum(w in FURNITURE for w in words),
-        len(ODD.findall(token)), sum(map(str.isdigit, token)), 0 if plain else len(HAN.findall(token)), 0 if plain else len(KANA.findall(token)), words,
-    )
-    if len(token) <= 40:
-        if len(FACTS) >= FACTS_KEPT:
-            FACTS.clear()
-        FACTS[token] = found
-    return found
+    def of(self, tokens: list[str]) -> list[tuple]:
+        known = self.kept.get
+        return [known(t) or self.fresh(t) for t in tokens]
+
+    def fresh(self, token: str) -> tuple:
+        """Whether a token is numeric, a byte of a dump, has symbols inside, is a function word; its characters, words,
+        characters in words, furniture words, odd characters, digits, East Asian characters and kana; the words."""
+        words = WORD.findall(token.lower())
+        plain = token.isascii()
+        found = (
+            numeric(token), bool(HEX.match(token)), bool(INSIDE.search(token)), token.lower().strip(EDGE) in self.common, len(token), len(words), sum(map(len, words)), sum(w in FURNITURE for w in words),
+            len(ODD.findall(token)), sum(map(str.isdigit, token)), 0 if plain else len(HAN.findall(token)), 0 if plain else len(KANA.findall(token)), words,
+        )
+        if len(token) <= 40:
+            if len(self.kept) >= self.most:
+                self.kept.clear()
+            self.kept[token] = found
+        return found
 
 
 class Line:
@@ -116,11 +121,10 @@ class Line:
 
     __slots__ = ("text", "tokens", "facts", "words", "sums")
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, facts: TokenFacts):
         self.text = text
         self.tokens = text.split()
-        known = FACTS.get
-        self.facts = [known(t) or token_facts(t) for t in self.tokens]
+        self.facts = facts.of(self.tokens)
         *counts, self.words = zip(*self.facts)
         self.sums = list(map(sum, counts))
 
@@ -168,9 +172,10 @@ def inline_items(text: str) -> list[str]:
     return [x for x in parts if x.strip()]
 
 
-def statistics(text: str) -> list[float]:
+def statistics(text: str, facts: TokenFacts | None = None) -> list[float]:
     """The STATS of a text that is not blank."""
-    lines = [Line(x) for x in BREAK.split(text) if x.strip()]
+    facts = facts or TokenFacts(COMMON_WORDS)
+    lines = [Line(x, facts) for x in BREAK.split(text) if x.strip()]
     tokens = [t for x in lines for t in x.tokens]
     total = len(tokens)
     number, dump, inside, common, solid, words, letters, furniture, odd, digits, han, kana = map(sum, zip(*(x.sums for x in lines)))
@@ -247,24 +252,33 @@ def votes_of(stats: np.ndarray) -> np.ndarray:
     return mask
 
 
-def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column(1).to_pylist()
-        real = [i for i, t in enumerate(texts) if t is not None and t.strip()]
-        stats = np.full((len(texts), len(STATS)), np.nan)
-        mask = np.full(len(texts), -1, dtype="int64")
-        if real:
-            stats[real] = [statistics(texts[i]) for i in real]
-            mask[real] = votes_of(stats[real])
-        columns = [pa.array(column, mask=np.isnan(column)) for column in stats.T]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(mask, mask=mask < 0)], names=[batch.schema.names[0], *STATS, "votes"])
+def measure(common: Iterable[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        facts = TokenFacts(common)
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            real = [i for i, t in enumerate(texts) if t is not None and t.strip()]
+            stats = np.full((len(texts), len(STATS)), np.nan)
+            mask = np.full(len(texts), -1, dtype="int64")
+            if real:
+                stats[real] = [statistics(texts[i], facts) for i in real]
+                mask[real] = votes_of(stats[real])
+            columns = [pa.array(column, mask=np.isnan(column)) for column in stats.T]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(mask, mask=mask < 0)], names=[batch.schema.names[0], *STATS, "votes"])
+
+    return run
 
 
-def text_statistics(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, the STATS and the votes (bit mask) of every document."""
+def text_statistics(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", common: dict[str, str] | None = None) -> DataFrame:
+    """doc_id, the STATS and the votes (bit mask) of every document.
+
+    ``common``: function words per language, blank-separated (COMMON unless given). Prose of a language that is neither
+    in it nor written with kana is not known as prose, so a corpus in other languages wants their lists here.
+    """
     kind = dict(documents.dtypes)[doc_id]
     schema = ", ".join([f"`{doc_id}` {kind}", *(f"{s} double" for s in STATS), "votes long"])
-    return spread(documents.select(doc_id, text)).mapInArrow(measure, schema)
+    words = COMMON_WORDS if common is None else frozenset(" ".join(common.values()).split())
+    return spread(documents.select(doc_id, text)).mapInArrow(measure(words), schema)
 
 
 def learn_types(patterns: np.ndarray, counts: np.ndarray, rounds: int = 10_000, strength: float = 20.0) -> np.ndarray:
