@@ -48,6 +48,15 @@ def test_buckets_do_not_depend_on_shards(rows):
     assert plain == {r.i: r.bucket for r in bucketed(df, ["g"], "v", "i", 5, hot_rows=9).collect()}
 
 
+@pytest.mark.parametrize("n", [2, 3, 4, 5, 6, 7, 8, 10, 12, 20])
+def test_buckets_of_any_number_equal_quantile_cuts_of_ranks(spark, n):
+    sizes = [2, 3, 5, 7, 11, 13, 21, 31, 61, 121, 241]
+    frame = pd.DataFrame([(g, i) for g in sizes for i in range(g)], columns=["g", "i"])
+    got = bucketed(spark.createDataFrame(frame), ["g"], "i", "i", n).toPandas().sort_values(["g", "i"])
+    for g, part in got.groupby("g"):
+        assert part.bucket.tolist() == (pd.qcut(pd.Series(range(1, g + 1)), n, labels=False) + 1).tolist(), g
+
+
 def test_metrics_do_not_depend_on_shards(rows):
     _, df = rows
     told = df.select(F.col("g").alias("model"), F.col("v").alias("prediction"), F.col("w").alias("actual"))

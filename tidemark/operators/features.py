@@ -96,3 +96,9 @@ def winsorize(df: DataFrame, column: str, low: float = 0.005, high: float = 0.99
     ends = exact_quantiles(df, [], column, [low, high], "_q")
     clipped = F.when(F.col(column).isNotNull(), F.greatest(F.least(F.col(column), F.col("_q")[1]), F.col("_q")[0]))
     return df.join(F.broadcast(ends)).withColumn(column, clipped).drop("_q")
+
+
+def standardize(df: DataFrame, column: str, out: str) -> DataFrame:
+    """Adds a column less its mean over its deviation, both over the whole table (one row broadcast)."""
+    ends = df.agg(F.avg(column).alias("_mean"), F.stddev_pop(column).alias("_spread"))
+    return df.join(F.broadcast(ends)).withColumn(out, (F.col(column) - F.col("_mean")) / (F.col("_spread") + 1e-9)).drop("_mean", "_spread")

@@ -11,8 +11,11 @@ of one group are never cut apart; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import accumulate
+from operator import add
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -76,12 +79,21 @@ def exact_quantiles(df: DataFrame, by: list[str], column: str, at: list[float],
 
 
 def bucketed(df: DataFrame, by: list[str], column: str, tie: str, n: int, out: str = "bucket", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Adds the bucket 1..n of a row's rank by (column, tie) within ``by``: cut points are the linear quantiles of the ranks, a rank on one goes below it.
+    """Adds the bucket 1..n of a row's rank by (column, tie) within ``by``: 1 and the number of cut points below the rank.
 
-    Null for a group of one row. For n = 3 a rank on a cut point goes above it (the floor form).
+    Cut points are the linear quantiles of the ranks at the even shares of n, in the usual double arithmetic, so that ranks on a cut
+    fall as they do in common libraries. Null for a group of one row.
     """
     rows = with_ranks(df, by, {"_b": (column, tie)}, hot_rows)
     rank, total = F.col("_b_row"), F.col("_n")
-    at = (rank - 1) * n
-    over = F.least(F.lit(n), F.floor(at / (total - 1)) + 1) if n == 3 else F.greatest(F.lit(1), F.ceil(at / (total - 1)))
+
+    def below(share: float) -> Column:
+        place = (total - 1) * F.lit(share)
+        whole = F.floor(place)
+        part = place - whole
+        cut = F.when(part < 0.5, (whole + 1) + part).otherwise((whole + 2) - (1 - part))
+        return (cut < rank).cast("int")
+
+    shares = (np.linspace(0, 1, n + 1) * 100.0 / 100)[1:-1].tolist()
+    over = reduce(add, map(below, shares), F.lit(1))
     return rows.withColumn(out, F.when(total > 1, over.cast("int"))).drop("_b_row", "_n")

@@ -231,6 +231,29 @@ for _suffix, _w in WINDOWS.items():
         register(_name + _suffix, f"WITH {_sql} SELECT event_id, {r(*_columns)} FROM ctx")(lambda spark, folder, c=_columns, s=_suffix: context(spark, folder, s, c))
 
 
+@register("surprise_zscore", f"WITH {S_SUR}, z AS (SELECT avg(eps_surprise_pct) AS m, stddev_pop(eps_surprise_pct) AS s FROM sur) SELECT event_id, round((eps_surprise_pct - m) / (s + 1e-9), {DIGITS}) AS z FROM sur CROSS JOIN z")
+def _(spark, folder):
+    return features.standardize(surprised(spark, folder).select("event_id", "eps_surprise_pct"), "eps_surprise_pct", "z").select("event_id", "z")
+
+
+S_MATRIX = market_sql(*WINDOWS["_short"].values()) + S_SUR.removeprefix(S_MASTER).rstrip() + f""",
+liq AS (SELECT event_id, row_number() OVER (PARTITION BY fiscal_year ORDER BY market_cap_at_event NULLS FIRST, event_id) AS k, count(*) OVER (PARTITION BY fiscal_year) AS n FROM pri),
+mat AS (SELECT sur.*, {', '.join('ctx.' + c for c in features.MARKET)}, CASE WHEN n > 1 THEN CAST(least(3, 1 + ((k - 1) * 3) // (n - 1)) AS INT) END AS liquidity_bucket FROM sur LEFT JOIN ctx USING (event_id) LEFT JOIN liq USING (event_id))
+"""
+MATRIX = [c for c in models.NUMERIC if not c.startswith("beat")]
+
+
+def matrix(spark: SparkSession, folder: str) -> DataFrame:
+    """Surprises, market context and liquidity bucket of each primary event."""
+    full = surprised(spark, folder).join(context(spark, folder, "_short"), "event_id", "left")
+    return ranks.bucketed(full, ["fiscal_year"], "market_cap_at_event", "event_id", 3, "liquidity_bucket")
+
+
+@register("feature_matrix", f"WITH {S_MATRIX} SELECT event_id, {r(*[c for c in MATRIX if c != 'market_cap_at_event'])}, market_cap_at_event, beat, beat_streak, liquidity_bucket FROM mat")
+def _(spark, folder):
+    return matrix(spark, folder).select("event_id", *MATRIX, "beat", "beat_streak", "liquidity_bucket")
+
+
 @register(
     "liquidity_tercile",
     f"""WITH {S_MASTER}, k AS (SELECT event_id, fiscal_year, row_number() OVER (PARTITION BY fiscal_year ORDER BY market_cap_at_event NULLS FIRST, event_id) AS k, count(*) OVER (PARTITION BY fiscal_year) AS n FROM pri)
@@ -306,6 +329,13 @@ S_RET = f"""{S_MASTER}, {S_BARS}, ret AS (SELECT p.event_id, x.close / e.open -
   LEFT JOIN bars x ON x.security_id = p.security_id AND x.ord = rx_ord LEFT JOIN bars d ON d.security_id = p.security_id AND d.ord = dx_ord)"""
 
 
+@register("training_matrix", f"WITH {S_MATRIX}{S_LAB.removeprefix(S_MASTER).replace(f', {S_BARS},', ',', 1).rstrip()} SELECT event_id, {r('eps_surprise_pct', 'mom_1m', 'reaction_car', 'drift_car_20')}, market_cap_at_event FROM mat JOIN lab USING (event_id) WHERE reaction_car IS NOT NULL")
+def _(spark, folder):
+    """Features met with labels, as models are trained on them."""
+    made = labelled(spark, folder).where("reaction_car is not null")
+    return matrix(spark, folder).join(made, "event_id").select("event_id", "eps_surprise_pct", "mom_1m", "market_cap_at_event", "reaction_car", "drift_car_20")
+
+
 @register("tradable_returns", f"WITH {S_RET} SELECT event_id, {r('gross_reaction', 'gross_drift')} FROM ret")
 def _(spark, folder):
     return labels.tradable_returns(primary(spark, folder), views.bars(spark, folder))
@@ -353,6 +383,18 @@ def _(spark, folder):
     return out
 
 
+@register(
+    "violation_sample",
+    f"""SELECT feature_id, {utc('f.feature_available_at', 'feature_available_at')}, {utc('m.order_submission_cutoff', 'order_submission_cutoff')} FROM features f JOIN event_master m ON {KEY.format('m.event_id')} = {KEY.format('f.event_id')}
+    WHERE f.feature_available_at >= m.order_submission_cutoff ORDER BY feature_id, 3 LIMIT 5""",
+)
+def _(spark, folder):
+    """The first five late features, as a report shows them; ``pit_violations`` counts all."""
+    cut = table(spark, folder, "event_master").select(norm_key("event_id").alias("event_id"), "order_submission_cutoff")
+    rows = table(spark, folder, "features", "feature_id", "event_id", "feature_available_at").withColumn("event_id", norm_key("event_id")).join(cut, "event_id")
+    return integrity.late_features(rows).select("feature_id", "feature_available_at", "order_submission_cutoff").orderBy("feature_id", "order_submission_cutoff").limit(5)
+
+
 CONTRACT = integrity.Contract(
     T.StructType([T.StructField("event_id", T.StringType(), False), T.StructField("security_id", T.StringType(), False), T.StructField("timing_class", T.StringType()), T.StructField("announcement_timestamp", T.TimestampType(), False), T.StructField("source", T.StringType(), False)]),
     {"timing_class": ["before_market_open", "after_market_close"], "cap_bucket": ["large_cap", "mid_cap", "small_cap"]},

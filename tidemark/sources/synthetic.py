@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators.calendar import at_clock, day_table, exchange_sessions, with_day
+from tidemark.operators.features import standardize
 from tidemark.operators.securities import build_master, cap_bucket
 from tidemark.sources.io import provider
 
@@ -93,9 +94,7 @@ def make_events(stocks: DataFrame, days: DataFrame, first_year: int, last_year:
     z = normal(seed, "surprise", *keys)
     sales = F.col("market_cap") * 0.05
     told = on.withColumns({"surprise_pct": 6 * z, "_stamp": stamp, "_timing": timing})
-    # one row: the surprises of all events, standardised together
-    ends = told.agg(F.avg("surprise_pct").alias("_mean"), F.stddev_pop("surprise_pct").alias("_spread"))
-    rows = told.join(F.broadcast(ends)).withColumn("_z", (F.col("surprise_pct") - F.col("_mean")) / (F.col("_spread") + 1e-9))
+    rows = standardize(told, "surprise_pct", "_z")
     size = F.when(F.col("cap_bucket") == "small_cap", SIZES["small_cap"]).when(F.col("cap_bucket") == "mid_cap", SIZES["mid_cap"]).otherwise(SIZES["large_cap"])
     strength = signal * STRENGTH * size * F.when(F.col("annual_vol") >= 0.4, VOLATILE).otherwise(1.0) * F.greatest(F.lit(0.05), 1 - LOSS * (F.col("fiscal_year") - first_year))
     stamp, timing, z = F.col("_stamp"), F.col("_timing"), F.col("_z")
