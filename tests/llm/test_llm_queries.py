@@ -18,6 +18,11 @@ def test_query_without_sql_runs(spark, name):
     assert queries.QUERIES[name](spark, FOLDER).count() > 0
 
 
+def test_no_vote_in_queries_that_trust_decides(spark):
+    held = {name: "MapInArrow" in queries.QUERIES[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString() for name in ("p4_found", "p4_survivors", "p4_consensus")}
+    assert held == {"p4_found": False, "p4_survivors": False, "p4_consensus": True}
+
+
 def test_labelled_texts_get_their_type(spark):
     found = queries.p10_types(spark, FOLDER)
     labels = spark.read.parquet(f"{FOLDER}/doc_labels.parquet")
